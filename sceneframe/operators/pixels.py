@@ -73,7 +73,7 @@ def equalize_histogram(df: DataFrame, value: str = "v", name: str = "v", bins: i
         .withColumn("_c", curve)
         .withColumn(
             name,
-            F.when(hi == lo, F.lit(1.0)).otherwise(
+            F.when(hi == lo, F.lit(0.5)).otherwise(
                 F.get("_c", F.col("_k")) * (1 - F.col("_f")) + F.get("_c", F.col("_k") + 1) * F.col("_f")
             ),
         )
