@@ -29,16 +29,14 @@ def parse_answer_objects(answer: Column) -> Column:
             {"columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"},
         ),
     )
-    shaped = F.transform(
-        parsed,
-        lambda o: F.struct(
-            F.coalesce(F.nullif(o["label"], F.lit("")), o["class"]).alias("class"),
-            F.coalesce(F.when(F.size(o["bbox_2d"]) > 0, o["bbox_2d"]), o["bbox"]).alias("bbox"),
-            o["_malformed"].alias("malformed"),
-        ),
-    )
-    kept = F.filter(shaped, lambda o: o["malformed"].isNull() & o["class"].isNotNull() & o["bbox"].isNotNull())
-    return F.transform(kept, lambda o: F.struct(o["class"].alias("class"), o["bbox"].alias("bbox")))
+    def label(o: Column) -> Column:
+        return F.coalesce(F.nullif(o["label"], F.lit("")), o["class"])
+
+    def box(o: Column) -> Column:
+        return F.coalesce(F.when(F.size(o["bbox_2d"]) > 0, o["bbox_2d"]), o["bbox"])
+
+    kept = F.filter(parsed, lambda o: o["_malformed"].isNull() & label(o).isNotNull() & box(o).isNotNull())
+    return F.transform(kept, lambda o: F.struct(label(o).alias("class"), box(o).alias("bbox")))
 
 
 def frame_key(video_id: Column, fid: Column) -> Column:

@@ -45,12 +45,12 @@ def match_error(tile: Column, pattern: Column, rule: str, height: int, width: in
     """
     if rule == "rounded":
         error = F.zip_with(tile, pattern, lambda a, b: F.abs(F.rint(a) - F.rint(b)))
+    elif rule == "plain":
+        error = F.zip_with(tile, pattern, lambda a, b: F.rint(F.abs(a - b)))
     else:
         image = F.transform(tile, F.rint) if rule == "twisted" else tile
-        error = F.zip_with(image, pattern, lambda a, b: F.abs(a - b))
-        if rule in ("block", "twisted"):
-            error = _block_means(error, height, width, 2 if rule == "block" else 3)
-        error = F.transform(error, F.rint)
+        means = _block_means(F.zip_with(image, pattern, lambda a, b: F.abs(a - b)), height, width, 2 if rule == "block" else 3)
+        error = F.transform(means, F.rint)
     return F.aggregate(error, F.lit(0.0), lambda acc, v: acc + v) / F.size(error)
 
 

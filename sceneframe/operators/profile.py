@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sceneframe.functions.boxes import box_area
@@ -10,16 +12,27 @@ from sceneframe.functions.text import elapsed_seconds, memory_megabytes
 VIABLE_TRANSITIONS = 5000  # fixed value: default bar of the viability report
 
 
+def appearance(fid: Column, pos: Column, digits: int = 18) -> Column:
+    """Sort key of a detection: frame first, then the position inside it, packed into one decimal.
+
+    A decimal keeps the minimum in a hash aggregate; a struct would force a sort of the detections.
+    """
+    whole = "decimal(38,0)"
+    return (fid.cast(whole) * F.lit(Decimal(10 ** digits)) + pos.cast(whole)).cast(whole)
+
+
 def primary_category(detections: DataFrame, categories: DataFrame, videos: DataFrame | None = None,
-                     video: str = "video_id", tid: str = "tid", fid: str = "fid", pos: str = "pos") -> DataFrame:
+                     video: str = "video_id", tid: str = "tid", first: Column | None = None) -> DataFrame:
     """Category of the track seen in the most frames; ties by total area, then by first appearance.
 
     Two aggregations and no window: each combines map-side, so a hot video costs one partial row
-    per track and task. With ``videos`` given, videos without detections appear with a null primary.
+    per track and task. ``first`` orders appearances, by default frame and position. With ``videos``
+    given, videos without detections appear with a null primary.
     """
     area = box_area(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))
+    seen = first if first is not None else appearance(F.col("fid"), F.col("pos"))
     tracks = detections.groupBy(video, tid).agg(
-        F.count("*").alias("n"), F.sum(area).alias("area"), F.min(F.struct(fid, pos)).alias("first")
+        F.count("*").alias("n"), F.sum(area).alias("area"), F.min(seen).alias("first")
     )
     best = tracks.groupBy(video).agg(
         F.min_by(tid, F.struct(-F.col("n"), -F.col("area"), F.col("first"))).alias(tid)

@@ -8,9 +8,9 @@ from sceneframe.functions.boxes import MAX_OBJECTS
 
 
 def subject_categories(subjects: DataFrame, video: str = "video_id", tid: str = "tid",
-                       category: str = "category", order: str = "pos") -> DataFrame:
+                       category: str = "category", order: list[str] = ["pos"]) -> DataFrame:
     """One category per ``(video, tid)``; the last listed one wins."""
-    return subjects.groupBy(video, tid).agg(F.max_by(category, order).alias(category))
+    return subjects.groupBy(video, tid).agg(F.max_by(category, F.struct(*order)).alias(category))
 
 
 def name_objects(detections: DataFrame, categories: DataFrame, video: str = "video_id", tid: str = "tid",
@@ -33,13 +33,14 @@ def frames_present(detections: DataFrame, frames: DataFrame, keys: list[str] = [
     return detections.join(frames.select(*keys), keys, "left_semi")
 
 
-def rank_slots(detections: DataFrame, state: str, area: Column, order: str = "pos", k: int = MAX_OBJECTS) -> DataFrame:
+def rank_slots(detections: DataFrame, state: str, area: Column, order: list[str] = ["pos"],
+               k: int = MAX_OBJECTS) -> DataFrame:
     """Slots 0..k-1 by descending area, ties in input order.
 
     ``row_number() <= k`` becomes a partial and a final group limit, so at most ``k`` rows per state
     and input partition are shuffled even when one state holds most rows.
     """
-    by_area = Window.partitionBy(state).orderBy(F.col("_area").desc(), F.col(order).asc())
+    by_area = Window.partitionBy(state).orderBy(F.col("_area").desc(), *order)
     return (
         detections.withColumn("_area", area)
         .withColumn("_rank", F.row_number().over(by_area))
@@ -54,10 +55,12 @@ def unique_names(slots: DataFrame, state: str, category: str, name: str = "name"
 
     Runs on ranked slots (at most k rows per state) and reuses their partitioning by state.
     """
-    same = Window.partitionBy(state, category)
-    nth = F.row_number().over(same.orderBy("slot")) - 1
+    # one sort serves both: the count frame spans the whole (state, class) group
+    same = Window.partitionBy(state, category).orderBy("slot")
+    whole = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nth = F.row_number().over(same) - 1
     return (
-        slots.withColumn("_same", F.count("*").over(same))
+        slots.withColumn("_same", F.count("*").over(whole))
         .withColumn("_nth", nth)
         .withColumn(
             name,
@@ -72,8 +75,8 @@ def unique_names(slots: DataFrame, state: str, category: str, name: str = "name"
 def pad_slots(slots: DataFrame, state: str, zeros: list[str], name: str = "name", k: int = MAX_OBJECTS) -> DataFrame:
     """Exactly ``k`` rows per state: missing slots get zeros, the name ``pad_<slot>`` and ``is_pad``.
 
-    Ranked slots are already partitioned by state and bounded by ``k``, so packing them into an
-    array, appending the tail of a constant pad array and unpacking needs no further shuffle.
+    Ranked slots are already partitioned by state and bounded by ``k``, so counting them needs no
+    further shuffle or sort. The last real slot of a state emits the tail of a constant pad array.
     """
     types = dict(slots.dtypes)
     fields = ["slot", name, *zeros]
@@ -87,9 +90,11 @@ def pad_slots(slots: DataFrame, state: str, zeros: list[str], name: str = "name"
         )
         for i in range(k)
     ])
-    packed = slots.groupBy(state).agg(F.array_sort(F.collect_list(real)).alias("_slots"))
-    filled = F.concat(F.col("_slots"), F.slice(pads, F.size("_slots") + 1, F.lit(k)))
-    return packed.select(state, F.inline(filled))
+    counted = slots.withColumn("_n", F.count("*").over(Window.partitionBy(state)).cast("int"))
+    tail = F.when(F.col("slot") == F.col("_n") - 1, F.slice(pads, F.col("_n") + 1, F.lit(k))).otherwise(
+        F.slice(pads, 1, 0)
+    )
+    return counted.select(state, F.inline(F.concat(F.array(real), tail)))
 
 
 def explode_subset(df: DataFrame, array: str, position: str, element: str) -> DataFrame:

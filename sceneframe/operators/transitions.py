@@ -131,7 +131,7 @@ def split_by_group(states: DataFrame, group: str, seed: int = 0) -> DataFrame:
 
 def one_random_successor(successors: DataFrame, pre: str = "pre", suc: str = "suc", seed: int = 0) -> DataFrame:
     """One successor per state, drawn by hash; a plain aggregate, so hot states combine map-side."""
-    return successors.groupBy(pre).agg(F.min_by(suc, F.struct(stable_hash(pre, suc, seed=seed), F.col(suc))).alias(suc))
+    return successors.groupBy(pre).agg(F.min_by(suc, stable_hash(pre, suc, seed=seed)).alias(suc))
 
 
 def expand_successors(states: DataFrame, state: str, successors: str) -> DataFrame:

@@ -28,23 +28,23 @@ from sceneframe.sources import trials as TL
 # ---- detector answers
 
 ANSWERS = """objects as (
-  select event_id as image, 0 as pos, event_type as class, (event_id % 900)::varchar || '.0,10.0,990.0,500.0' as bbox from events
-  union all select event_id, 1, 'x' || event_id, '1.0,2.0,3.0,4.0' from events
-  union all select event_id, 2, event_type, event_id::varchar || '.0,2.0' from events)"""
+  select event_id as image, 0 as pos, event_type as class, (event_id % 900)::double as b0, 10::double as b1, 990::double as b2, 500::double as b3 from events
+  union all select event_id, 1, 'x' || event_id, 1, 2, 3, 4 from events
+  union all select event_id, 2, event_type, event_id, 2, null, null from events)"""
 
 
 def _answer_rows(images):
     rows = images.select("image", F.posexplode("objects").alias("pos", "o"))
     return rows.select("image", "pos", F.col("o.class").alias("class"),
-                       F.array_join(F.col("o.bbox").cast("array<string>"), ",").alias("bbox"))
+                       *[F.get("o.bbox", F.lit(i)).alias(f"b{i}") for i in range(4)])
 
 
-@query("parse_vlm_objects", f"with {ANSWERS} select image, cast(pos as int) as pos, class, bbox from objects")
+@query("parse_vlm_objects", f"with {ANSWERS} select image, cast(pos as int) as pos, class, b0, b1, b2, b3 from objects")
 def _parse(spark, sf):
     return _answer_rows(AN.labelled_from_answers(V.vlm_raw(spark, sf)))
 
 
-@query("read_vlm_answers", f"with {ANSWERS} select image::varchar as image, cast(pos as int) as pos, class, bbox from objects")
+@query("read_vlm_answers", f"with {ANSWERS} select image::varchar as image, cast(pos as int) as pos, class, b0, b1, b2, b3 from objects")
 def _read_answers(spark, sf):
     path = scratch_path(spark, "answers")
     V.vlm_raw(spark, sf).write.json(path)
@@ -434,8 +434,8 @@ def _vote(spark, sf):
     return SA.ensemble_vote(scores, "vec_id", "s").select("vec_id", (F.round("mean", 6) + 0.0).alias("mean"), "vote")
 
 
-@query("assign_bags", f"""with {LABELLED}, n as (select doc_id, label, row_number() over (order by {h60('doc_id', 11)}, doc_id) - 1 as at from labelled where label = 0),
-d as (select doc_id, label, at // ((select count(*) from n) // 4) as bag from n)
+@query("assign_bags", f"""with {LABELLED}, n as (select doc_id, label, row_number() over (order by {h60('doc_id', 11)}, doc_id) - 1 as place from labelled where label = 0),
+d as (select doc_id, label, place // ((select count(*) from n) // 4) as bag from n)
 select doc_id, label, bag from d where bag < 4 union all select doc_id, label, b from labelled, range(4) t(b) where label = 1""")
 def _bags(spark, sf):
     return SA.assign_bags(_labelled(spark, sf).select("doc_id", "label"), ["doc_id"], "label", 4, 11)

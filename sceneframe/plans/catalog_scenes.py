@@ -50,15 +50,14 @@ binned as (select state_id, slot, name, cx1//5 as x1b, cy1//5 as y1b, cx2//5 as
 select state_id, cast(slot as int) as slot, name, cast(x1b as int) as x1b, cast(y1b as int) as y1b,
        cast(x2b as int) as x2b, cast(y2b as int) as y2b, is_pad from binned""")
 def _scene_slots(spark, sf):
-    return scene_slots(V.detections(spark, sf))
+    return scene_slots(V.detections(spark, sf), order=V.ORDER)
 
 
 @query("box_area", f"""with {V.DETECTIONS}
 select state_id, p1, p2, p3, cast((xmax-xmin)*(ymax-ymin) as bigint) as area from detections""")
 def _box_area(spark, sf):
     return V.detections(spark, sf).select(
-        "state_id", F.col("pos.l_linenumber").alias("p1"), F.col("pos.l_partkey").alias("p2"),
-        F.col("pos.l_suppkey").alias("p3"), raw_area().alias("area"))
+        "state_id", *V.ORDER, raw_area().alias("area"))
 
 
 # boxes shifted so that some leave the image or turn inside out
@@ -69,9 +68,9 @@ shifted as (select state_id, p1, p2, p3, xmin - 150 as xmin, ymin - 30 as ymin,
 
 def _shifted(spark, sf):
     d = V.detections(spark, sf)
-    n = F.col("pos.l_linenumber")
+    n = F.col("p1")
     return d.select(
-        "state_id", n.alias("p1"), F.col("pos.l_partkey").alias("p2"), F.col("pos.l_suppkey").alias("p3"),
+        "state_id", *V.ORDER,
         (F.col("xmin") - 150).alias("xmin"), (F.col("ymin") - 30).alias("ymin"),
         (F.col("xmax") - n * 60).alias("xmax"), (F.col("ymax") - n * 4).alias("ymax"), "width", "height")
 
@@ -101,14 +100,15 @@ def _bin_boxes(spark, sf):
 
 
 @query("onehot_boxes", f"""with {SHIFTED}, c as (select state_id, p1, p2, p3, {CANVAS} from shifted)
-select state_id, p1, p2, p3,
-  repeat('0', cx1//5) || '1' || repeat('0', 59 - cx1//5) || repeat('0', cy1//5) || '1' || repeat('0', 39 - cy1//5) ||
-  repeat('0', cx2//5) || '1' || repeat('0', 59 - cx2//5) || repeat('0', cy2//5) || '1' || repeat('0', 39 - cy2//5)
-  as code from c""")
+select state_id, p1, p2, p3, cx1//5 as at1, cy1//5 as at2, cx2//5 as at3, cy2//5 as at4, 4 as ones, 200 as width from c""")
 def _onehot_boxes(spark, sf):
-    return _bin_boxes(spark, sf).select(
-        "state_id", "p1", "p2", "p3",
-        F.array_join(B.onehot_boxes(*cols("x1b", "y1b", "x2b", "y2b")).cast("array<string>"), "").alias("code"))
+    """Where each group has its first one, how many ones there are in all, and the length."""
+    code = B.onehot_boxes(*cols("x1b", "y1b", "x2b", "y2b"))
+    one = F.lit(1).cast("byte")
+    at = [F.array_position(F.slice("code", start, size), one) - 1 for start, size in ((1, 60), (61, 40), (101, 60), (161, 40))]
+    return _bin_boxes(spark, sf).withColumn("code", code).select(
+        "state_id", "p1", "p2", "p3", *[a.cast("int").alias(f"at{i + 1}") for i, a in enumerate(at)],
+        F.size(F.array_remove("code", F.lit(0).cast("byte"))).alias("ones"), F.size("code").alias("width"))
 
 
 @query("decode_boxes", f"""with {SHIFTED}, c as (select state_id, p1, p2, p3, {CANVAS} from shifted),
@@ -144,7 +144,7 @@ select state_id, p1, p2, p3, cast(trunc(xmin/1000.0::double*width) as int) as x1
 def _rescale(spark, sf):
     box = B.rescale_box_units(F.array(*cols("xmin", "ymin", "xmax", "ymax")), F.col("width"), F.col("height"))
     return V.detections(spark, sf).withColumn("b", box).select(
-        "state_id", F.col("pos.l_linenumber").alias("p1"), F.col("pos.l_partkey").alias("p2"), F.col("pos.l_suppkey").alias("p3"),
+        "state_id", *V.ORDER,
         *[F.col("b")[i].alias(n) for i, n in enumerate(["x1", "y1", "x2", "y2"])])
 
 
@@ -177,7 +177,7 @@ def _assemble(spark, sf):
     from sceneframe.operators.pixels import assemble_state
     patches = V.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("state_id"), F.col("embedding").cast("array<double>").alias("patch"))
-    full = assemble_state(scene_slots(V.detections(spark, sf)).join(patches, "state_id"))
+    full = assemble_state(_scene_slots(spark, sf).join(patches, "state_id"))
     return full.select(
         "state_id", "slot", F.size("features").alias("width"),
         F.array_join(F.slice("features", 65, 200).cast("array<int>").cast("array<string>"), "").alias("code"),
@@ -190,10 +190,9 @@ def _assemble(spark, sf):
 select d.state_id, p1, p2, p3, coalesce(c.category, 'obj' || d.tid) as name
 from detections d left join categories c on d.video_id = c.video_id and d.tid = c.tid""")
 def _name_objects(spark, sf):
-    cats = S.subject_categories(V.subjects(spark, sf))
+    cats = S.subject_categories(V.subjects(spark, sf), order=["fid", *V.ORDER])
     d = S.name_objects(V.detections(spark, sf), cats)
-    return d.select("state_id", F.col("pos.l_linenumber").alias("p1"), F.col("pos.l_partkey").alias("p2"),
-                    F.col("pos.l_suppkey").alias("p3"), "name")
+    return d.select("state_id", *V.ORDER, "name")
 
 
 @query("frames_present", f"""with {V.DETECTIONS}, {V.FRAMES}
@@ -207,14 +206,13 @@ def _frames_present(spark, sf):
 @query("rank_slots", f"""with {RANKED}
 select state_id, cast(slot as int) as slot, category, xmin, ymin, xmax, ymax from ranked""")
 def _rank_slots(spark, sf):
-    return S.rank_slots(V.detections(spark, sf), "state_id", raw_area()).select(
+    return S.rank_slots(V.detections(spark, sf), "state_id", raw_area(), V.ORDER).select(
         "state_id", "slot", "category", "xmin", "ymin", "xmax", "ymax")
 
 
 @query("unique_names", f"with {NAMED} select state_id, cast(slot as int) as slot, name from named")
 def _unique_names(spark, sf):
-    ranked = S.rank_slots(V.detections(spark, sf).select("state_id", "category", "pos", "xmin", "ymin", "xmax", "ymax"),
-                          "state_id", raw_area())
+    ranked = S.rank_slots(V.detections(spark, sf), "state_id", raw_area(), V.ORDER)
     return S.unique_names(ranked, "state_id", "category").select("state_id", "slot", "name")
 
 
@@ -259,7 +257,8 @@ def _label_subset(spark, sf):
 @query("primary_category", f"""with {V.DETECTIONS}, {V.SUBJECTS}, {V.CATEGORIES}, {V.PRIMARIES}
 select video_id, primary_category as "primary" from primaries""")
 def _primary(spark, sf):
-    return P.primary_category(V.detections(spark, sf), S.subject_categories(V.subjects(spark, sf)))
+    return P.primary_category(V.detections(spark, sf), S.subject_categories(V.subjects(spark, sf), order=["fid", *V.ORDER]),
+                              first=V.seen_first())
 
 
 @query("category_filter_strict", f"""with {V.DETECTIONS}, {V.SUBJECTS}, {V.CATEGORIES}, {V.PRIMARIES}

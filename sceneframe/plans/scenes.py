@@ -15,9 +15,9 @@ def raw_area():
 
 
 def scene_slots(detections: DataFrame, state: str = "state_id", category: str = "category",
-                unique: bool = True, k: int = MAX_OBJECTS) -> DataFrame:
+                order: list[str] = ["pos"], unique: bool = True, k: int = MAX_OBJECTS) -> DataFrame:
     """The ``k`` largest named, binned and padded objects of every state, in one shuffle by state."""
-    ranked = rank_slots(detections, state, raw_area(), "pos", k)
+    ranked = rank_slots(detections, state, raw_area(), order, k)
     named = unique_names(ranked, state, category) if unique else ranked.withColumn("name", F.col(category))
     box = canvas_box(*[F.col(c) for c in ["xmin", "ymin", "xmax", "ymax", "width", "height"]])
     binned = named.withColumn("_box", box).select(

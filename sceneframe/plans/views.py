@@ -6,9 +6,12 @@ No view needs a window, so a hot key costs nothing here.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneframe.functions.codes import unit_slice
+from sceneframe.operators.profile import appearance
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,12 +19,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per object: a line of an order. ``pos`` orders the objects of a state."""
+    """One row per object: a line of an order. ``p1, p2, p3`` order the objects of a state."""
     lines = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("state_id"),
         (F.col("l_orderkey") % 50).alias("video_id"),
         F.col("l_orderkey").alias("fid"),
-        F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
+        F.col("l_linenumber").alias("p1"), F.col("l_partkey").alias("p2"), F.col("l_suppkey").alias("p3"),
         F.col("l_linenumber").alias("tid"),
         (F.col("l_quantity").cast("long") * 10).alias("xmin"),
         F.round(F.col("l_discount") * 1000).cast("long").alias("ymin"),
@@ -29,10 +32,19 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
         (F.round(F.col("l_discount") * 1000).cast("long") + F.round(F.col("l_tax") * 5000).cast("long") + 20).alias("ymax"),
         F.lit(900).alias("width"),
         F.lit(600).alias("height"),
-        "l_partkey",
     )
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category"))
-    return lines.join(part, "l_partkey").drop("l_partkey")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("p2"), F.col("p_type").alias("category"))
+    return lines.join(part, "p2")
+
+
+ORDER = ["p1", "p2", "p3"]
+
+
+def seen_first():
+    """Appearance key of a detection; the position is packed from its three parts."""
+    p1, p2, p3 = (F.col(c).cast("decimal(38,0)") for c in ORDER)
+    position = p1 * F.lit(Decimal(10 ** 21)) + p2 * F.lit(Decimal(10 ** 10)) + p3
+    return appearance(F.col("fid"), position, 22)
 
 
 DETECTIONS = """
@@ -52,7 +64,7 @@ def subjects(spark: SparkSession, sf: str) -> DataFrame:
     """Listed subjects of each video with repeated tracks; track 7 is never listed."""
     return (
         detections(spark, sf).where(F.col("tid") != 7)
-        .select("video_id", "tid", "category", F.struct("fid", "pos").alias("pos"))
+        .select("video_id", "tid", "category", "fid", *ORDER)
     )
 
 
