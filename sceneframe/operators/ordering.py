@@ -85,7 +85,7 @@ def total_rows(df: DataFrame) -> Column:
 
 
 def with_halo(df: DataFrame, group: str, position: str, before: int, chunk: int) -> DataFrame:
-    """Copy each row into the chunk it belongs to and into a later chunk whose frames reach back to it.
+    """Copy each row into the chunk it belongs to and into the later chunks whose frames reach back to it.
 
     A sliding frame of ``before`` earlier rows can then run per ``(group, _chunk)``; keep the rows
     with ``_own = _chunk`` afterwards. ``position`` must be a dense ordinal inside the group, so a
@@ -93,4 +93,4 @@ def with_halo(df: DataFrame, group: str, position: str, before: int, chunk: int)
     """
     own = F.floor(F.col(position) / F.lit(chunk))
     reach = F.floor((F.col(position) + F.lit(before)) / F.lit(chunk))
-    return df.withColumn("_own", own).withColumn("_chunk", F.explode(F.array_distinct(F.array(own, reach))))
+    return df.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, reach)))

@@ -36,7 +36,7 @@ def _value_range(df: DataFrame, value: str) -> Column:
 def normalize_pixels(df: DataFrame, value: str = "v", name: str = "v") -> DataFrame:
     """Global min-max to 0..1; a constant table becomes all zero."""
     lo, hi = _value_range(df, value)["lo"], _value_range(df, value)["hi"]
-    return df.withColumn(name, F.when(hi == lo, F.col(value) - lo).otherwise((F.col(value) - lo) / (hi - lo)))
+    return df.withColumn(name, F.when(hi == lo, F.col(value) - lo).otherwise((F.col(value) - lo) / F.nullif(hi - lo, F.lit(0.0))))
 
 
 def cdf(histogram: DataFrame, bin: str = "bin", n: str = "n") -> DataFrame:
@@ -48,7 +48,7 @@ def cdf(histogram: DataFrame, bin: str = "bin", n: str = "n") -> DataFrame:
 
 def histogram(df: DataFrame, value: str, lo: Column, hi: Column, bins: int = BINS) -> DataFrame:
     """Counts of equal-width bins, the last one closed; every bin appears."""
-    width = (hi - lo) / bins
+    width = F.nullif((hi - lo) / bins, F.lit(0.0))
     bin = F.least(F.lit(bins - 1), F.floor((F.col(value) - lo) / width)).cast("int")
     counted = df.groupBy(F.when(hi == lo, F.lit(0)).otherwise(bin).alias("bin")).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
@@ -65,7 +65,7 @@ def equalize_histogram(df: DataFrame, value: str = "v", name: str = "v", bins: i
     lo, hi = bounds["lo"], bounds["hi"]
     shares = cdf(histogram(df, value, lo, hi, bins))
     curve = shares.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "cdf"))), lambda s: s["cdf"]).alias("c")).scalar()
-    t = (F.col(value) - lo) / ((hi - lo) / bins) - F.lit(0.5)
+    t = (F.col(value) - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)) - F.lit(0.5)
     k = F.least(F.greatest(F.floor(t), F.lit(0)), F.lit(bins - 2)).cast("int")
     return (
         df.withColumn("_t", t).withColumn("_k", k)
@@ -92,7 +92,7 @@ def preprocess(df: DataFrame, value: str = "v", name: str = "v") -> DataFrame:
     first = cdf(histogram(df, value, lo, hi)).where("bin = 0").select("cdf").scalar()
     level = equalize_histogram(df, value, name)
     # all values equal: equalized and normalised to zero
-    unit = F.when(first == 1, F.lit(0.0)).otherwise((F.col(name) - first) / (1 - first))
+    unit = F.when(first == 1, F.lit(0.0)).otherwise((F.col(name) - first) / F.nullif(1 - first, F.lit(0.0)))
     return level.withColumn(name, enhance_contrast(unit))
 
 

@@ -33,7 +33,7 @@ def class_balance(rows: DataFrame, label: str) -> DataFrame:
     counts = rows.agg(
         F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives")
     )
-    checked = F.when(F.col("negatives") > F.col("positives"), F.col("negatives") / F.col("positives")).otherwise(
+    checked = F.when(F.col("negatives") > F.col("positives"), F.try_divide("negatives", "positives")).otherwise(
         F.raise_error(F.lit("negatives must outnumber positives")).cast("double")
     )
     return counts.withColumn("ratio", checked)
@@ -45,7 +45,7 @@ def assign_bags(rows: DataFrame, keys: list[str], label: str, bags: int, seed: i
     Negatives beyond the last full bag are left out; positives are repeated per bag inside the row.
     """
     negatives = rows.where(F.col(label) == 0)
-    per_bag = F.floor(total_rows(negatives) / F.lit(bags))
+    per_bag = F.nullif(F.floor(total_rows(negatives) / F.lit(bags)), F.lit(0))
     placed = hashed_position(negatives, keys, seed, "_at")
     dealt = placed.withColumn("bag", F.floor(F.col("_at") / per_bag)).where(F.col("bag") < bags).drop("_at")
     positives = rows.where(F.col(label) == 1).withColumn(
