@@ -55,6 +55,20 @@ def histogram(df: DataFrame, value: str, lo: Column, hi: Column, bins: int = BIN
     return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _curve(shares: DataFrame) -> Column:
+    """The CDF as one array value in bin order."""
+    ordered = F.array_sort(F.collect_list(F.struct("bin", "cdf")))
+    return shares.agg(F.transform(ordered, lambda s: s["cdf"]).alias("c")).scalar()
+
+
+def _interpolated(value: Column, lo: Column, hi: Column, curve: Column, bins: int) -> Column:
+    """CDF at ``value`` by linear interpolation between bin centres; 0.5 when all values are equal."""
+    t = (value - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)) - F.lit(0.5)
+    k = F.least(F.greatest(F.floor(t), F.lit(0)), F.lit(bins - 2)).cast("int")
+    f = F.least(F.greatest(t - k, F.lit(0.0)), F.lit(1.0))
+    return F.when(hi == lo, F.lit(0.5)).otherwise(F.get(curve, k) * (1 - f) + F.get(curve, k + 1) * f)
+
+
 def equalize_histogram(df: DataFrame, value: str = "v", name: str = "v", bins: int = BINS) -> DataFrame:
     """Histogram equalization over the whole table.
 
@@ -62,23 +76,15 @@ def equalize_histogram(df: DataFrame, value: str = "v", name: str = "v", bins: i
     linear interpolation between bin centres. The pixels themselves are never shuffled.
     """
     bounds = _value_range(df, value)
-    lo, hi = bounds["lo"], bounds["hi"]
-    shares = cdf(histogram(df, value, lo, hi, bins))
-    curve = shares.agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "cdf"))), lambda s: s["cdf"]).alias("c")).scalar()
-    t = (F.col(value) - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)) - F.lit(0.5)
-    k = F.least(F.greatest(F.floor(t), F.lit(0)), F.lit(bins - 2)).cast("int")
-    return (
-        df.withColumn("_t", t).withColumn("_k", k)
-        .withColumn("_f", F.least(F.greatest(F.col("_t") - F.col("_k"), F.lit(0.0)), F.lit(1.0)))
-        .withColumn("_c", curve)
-        .withColumn(
-            name,
-            F.when(hi == lo, F.lit(0.5)).otherwise(
-                F.get("_c", F.col("_k")) * (1 - F.col("_f")) + F.get("_c", F.col("_k") + 1) * F.col("_f")
-            ),
-        )
-        .drop("_t", "_k", "_f", "_c")
-    )
+    curve = _curve(cdf(histogram(df, value, bounds["lo"], bounds["hi"], bins)))
+    level = _interpolated(F.col(value), F.col("_b.lo"), F.col("_b.hi"), F.col("_c"), bins)
+    return df.withColumn("_b", bounds).withColumn("_c", curve).withColumn(name, level).drop("_b", "_c")
+
+
+def _preprocessed(level: Column, first: Column) -> Column:
+    """Normalised and enhanced level; all zero when every value is equal."""
+    unit = F.when(first == 1, F.lit(0.0)).otherwise((level - first) / F.nullif(1 - first, F.lit(0.0)))
+    return enhance_contrast(unit)
 
 
 def preprocess(df: DataFrame, value: str = "v", name: str = "v") -> DataFrame:
@@ -88,12 +94,27 @@ def preprocess(df: DataFrame, value: str = "v", name: str = "v") -> DataFrame:
     first bin, so the normalisation range is known from the curve without a third scan.
     """
     bounds = _value_range(df, value)
-    lo, hi = bounds["lo"], bounds["hi"]
-    first = cdf(histogram(df, value, lo, hi)).where("bin = 0").select("cdf").scalar()
+    first = cdf(histogram(df, value, bounds["lo"], bounds["hi"])).where("bin = 0").select("cdf").scalar()
     level = equalize_histogram(df, value, name)
-    # all values equal: equalized and normalised to zero
-    unit = F.when(first == 1, F.lit(0.0)).otherwise((F.col(name) - first) / F.nullif(1 - first, F.lit(0.0)))
-    return level.withColumn(name, enhance_contrast(unit))
+    return level.withColumn("_first", first).withColumn(name, _preprocessed(F.col(name), F.col("_first"))).drop("_first")
+
+
+def preprocess_patches(df: DataFrame, patch: str = "patch", name: str = "patch") -> DataFrame:
+    """The same over array columns: one patch array per row, one histogram for the whole table.
+
+    Values are exploded only to be counted (256 rows per task leave the stage); the patches are
+    rewritten in place.
+    """
+    values = df.select(F.explode(patch).alias("v"))
+    bounds = _value_range(values, "v")
+    shares = cdf(histogram(values, "v", bounds["lo"], bounds["hi"]))
+    first = shares.where("bin = 0").select("cdf").scalar()
+    lo, hi, curve = F.col("_b.lo"), F.col("_b.hi"), F.col("_c")
+    return (
+        df.withColumn("_b", bounds).withColumn("_c", _curve(shares)).withColumn("_first", first)
+        .withColumn(name, F.transform(patch, lambda v: _preprocessed(_interpolated(v, lo, hi, curve, BINS), F.col("_first"))))
+        .drop("_b", "_c", "_first")
+    )
 
 
 def block_mean_downsample(df: DataFrame, step_y: int, step_x: int, height: int, width: int,

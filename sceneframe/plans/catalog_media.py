@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sceneframe.functions import boxes as B
@@ -129,6 +132,25 @@ def _names_manifest(spark, sf):
     return AN.with_saved_names(states, saved).select("ordinal", "id", F.col("object_names")[0].alias("first_name"))
 
 
+@query("read_array_archive", """select vec_id as state_id, r as row, round(list_sum([x::double for x in embedding[r*32+1:r*32+32]]), 5) as total
+from embeddings, range(2) t(r)""")
+def _archives(spark, sf):
+    """Each state packed into an archive of a 2 x 32 array, then read back."""
+    def pack(batches):
+        for batch in batches:
+            contents = []
+            for e in batch["embedding"]:
+                buffer = io.BytesIO()
+                np.savez(buffer, states=np.asarray(e, dtype=np.float64).reshape(2, 32))
+                contents.append(buffer.getvalue())
+            yield pd.DataFrame({"path": batch["vec_id"].astype(str), "content": contents})
+
+    files = V.table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(pack, "path string, content binary")
+    rows = AN.decode_archives(files, "states array<double>")
+    return rows.select(F.col("file").cast("long").alias("state_id"), "row",
+                       F.round(F.aggregate("states", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
+
+
 # ---- pixels
 
 def _px(spark, sf):
@@ -184,6 +206,14 @@ def _preprocess(spark, sf):
     return PX.preprocess(_px(spark, sf)).select("img", "y", "x", F.round("v", 6).alias("v"))
 
 
+@query("preprocess_patches", f"""with {EQUALIZED}, s as (select min(v) as lo, max(v) as hi from eq)
+select img, y, x, round(greatest(least(((v - lo) / (hi - lo) - 0.5) * 3, 0.5), -0.5) + 0.5, 6) as v from eq, s""")
+def _preprocess_patches(spark, sf):
+    patches = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("img"), F.col("embedding").cast("array<double>").alias("patch"))
+    p = PX.preprocess_patches(patches).select("img", F.posexplode("patch").alias("i", "v"))
+    return p.select("img", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.round("v", 6).alias("v"))
+
+
 @query("block_mean_downsample", f"""with {V.PIXELS}
 select img, cast(y // 3 as int) as y, cast(x // 2 as int) as x, round(avg(v), 6) + 0.0 as v from pixels where y < 6 and x < 8 group by img, y // 3, x // 2""")
 def _block_mean(spark, sf):

@@ -10,6 +10,7 @@ from sceneframe.operators import profile as P
 from sceneframe.operators import slots as S
 from sceneframe.operators import transitions as R
 from sceneframe.operators.ordering import hashed_position, natural_position
+from sceneframe.plans import datasets as D
 from sceneframe.plans import views as V
 from sceneframe.plans.registry import query
 from sceneframe.plans.scenes import raw_area, scene_slots
@@ -532,3 +533,32 @@ def _frame_key(spark, sf):
 @query("subsample_frames", f"with {V.FRAMES} select video_id, fid from frames where fid % 10 = 0")
 def _subsample(spark, sf):
     return V.frames(spark, sf).where(T.keeps_frame(F.col("fid"), 3)).select("video_id", "fid")
+
+
+# ---- dataset plans
+
+@query("video_slots", f"""with {V.DETECTIONS}, {V.SUBJECTS}, {V.CATEGORIES}, {V.PRIMARIES}, {V.FRAMES},
+loaded as (select d.*, coalesce(c.category, 'obj' || d.tid) as name from detections d
+  join primaries p on p.video_id = d.video_id and p.primary_category = 'ECONOMY'
+  left join categories c on c.video_id = d.video_id and c.tid = d.tid
+  where d.fid in (select fid from frames where has_jpg)),
+r as (select *, row_number() over (partition by state_id order by (xmax-xmin)*(ymax-ymin) desc, p1, p2, p3) - 1 as slot from loaded qualify slot < 10),
+c as (select state_id, slot, name, {CANVAS} from r)
+select state_id, cast(slot as int) as slot, name, cast(cx1//5 as int) as x1b, cast(cy1//5 as int) as y1b,
+       cast(cx2//5 as int) as x2b, cast(cy2//5 as int) as y2b, false as is_pad from c
+union all select state_id, cast(i as int), 'pad_' || i, 0, 0, 0, 0, true
+from (select state_id, count(*) as n from c group by state_id), range(10) t(i) where i >= n""")
+def _video_slots(spark, sf):
+    jpgs = V.frames(spark, sf).where("has_jpg")
+    return D.video_slots(
+        V.detections(spark, sf), V.subjects(spark, sf), jpgs, order=V.ORDER, category="ECONOMY", frame_keys=["fid"],
+        subject_order=["fid", *V.ORDER], first=V.seen_first())
+
+
+@query("video_splits", f"""with {V.FRAMES}, f as (select video_id, fid from frames where has_jpg),
+t as (select * from (select video_id, fid as pre, lead(fid) over (partition by video_id order by fid) as suc from f) where suc is not null),
+g as (select *, row_number() over (order by video_id, pre) - 1 as number from t), c as (select count(*) as t, 2 * count(*) as n from g),
+e as (select number as position, pre as state from g union all select number + t, suc from g, c)
+select position, state, {SPLIT_END} from e, c""")
+def _video_splits(spark, sf):
+    return D.video_splits(V.frames(spark, sf).where("has_jpg").select("video_id", "fid"))

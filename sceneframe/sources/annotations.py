@@ -137,11 +137,10 @@ def read_frames_pixels(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_array_archive(spark: SparkSession, path: str, schema: str, rows_per_batch: int = 1024) -> DataFrame:
-    """Rows of ``.npz`` archives: ``file``, ``row`` and the arrays named in ``schema``.
+def decode_archives(files: DataFrame, schema: str, rows_per_batch: int = 1024) -> DataFrame:
+    """Rows of ``.npz`` contents ``(path, content)``: ``file``, ``row`` and the arrays named in ``schema``.
 
-    Every named array is sliced along its first axis and flattened per row. One archive is one
-    task; convert to Parquet once and read that afterwards.
+    Every named array is sliced along its first axis and flattened per row.
     """
     fields = [part.split()[0] for part in schema.split(",")]
 
@@ -150,14 +149,19 @@ def read_array_archive(spark: SparkSession, path: str, schema: str, rows_per_bat
             for file, content in zip(batch["path"], batch["content"]):
                 with np.load(io.BytesIO(content)) as archive:
                     arrays = [archive[f] for f in fields]
-                    count = len(arrays[0])
-                    for start in range(0, count, rows_per_batch):
-                        stop = min(count, start + rows_per_batch)
-                        columns = {f: list(a[start:stop].reshape(stop - start, -1)) for f, a in zip(fields, arrays)}
-                        yield pd.DataFrame({"file": file, "row": np.arange(start, stop), **columns})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
-    return files.mapInPandas(decode, f"file string, row long, {schema}")
+                count = len(arrays[0])
+                for start in range(0, count, rows_per_batch):
+                    stop = min(count, start + rows_per_batch)
+                    columns = {f: list(a[start:stop].reshape(stop - start, -1)) for f, a in zip(fields, arrays)}
+                    yield pd.DataFrame({"file": file, "row": np.arange(start, stop), **columns})
+
+    return files.select("path", "content").mapInPandas(decode, f"file string, row long, {schema}")
+
+
+def read_array_archive(spark: SparkSession, path: str, schema: str, rows_per_batch: int = 1024) -> DataFrame:
+    """Archives of a folder, one task per file; convert to Parquet once and read that afterwards."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path)
+    return decode_archives(files, schema, rows_per_batch)
 
 
 def read_names_manifest(spark: SparkSession, path: str) -> DataFrame:

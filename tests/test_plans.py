@@ -5,7 +5,7 @@ from conftest import SF_DIR
 
 from sceneframe.plans import catalog
 
-PYTHON_BOUNDARY = {"crop_resize", "score_states", "run_trials", "explain_predicates", "classify_rows"}
+PYTHON_BOUNDARY = {"crop_resize", "read_array_archive", "score_states", "run_trials", "explain_predicates", "classify_rows"}
 
 
 def plan(df) -> str:
