@@ -52,13 +52,10 @@ def grid_bin(coord: Column) -> Column:
 
 
 def onehot(index: Column, size: int) -> Column:
-    """0/1 array of length ``size``; three array builders, so it stays inside generated code."""
-    zero = F.lit(0).cast("byte")
-    return F.concat(
-        F.array_repeat(zero, index.cast("int")),
-        F.array(F.lit(1).cast("byte")),
-        F.array_repeat(zero, (F.lit(size - 1) - index).cast("int")),
-    )
+    """0/1 array of length ``size``: a window over one constant array, folded once per plan."""
+    zeros = F.array_repeat(F.lit(0).cast("byte"), size - 1)
+    strip = F.concat(zeros, F.array(F.lit(1).cast("byte")), zeros)
+    return F.slice(strip, F.lit(size) - index.cast("int"), F.lit(size))
 
 
 def onehot_boxes(x1b: Column, y1b: Column, x2b: Column, y2b: Column, x_bins: int = X_BINS, y_bins: int = Y_BINS) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sceneframe.operators.ordering import hashed_position, stable_hash, total_rows
 
-TOP_LIMIT = 100_000  # samples up to this size use a top-n; larger ones a dense position
+TOP_LIMIT = 10_000  # samples up to this size use a top-n; larger ones a dense position
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
