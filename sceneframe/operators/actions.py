@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sceneframe.functions.arrays import exploded
 from sceneframe.functions.codes import apply_effects
 
 
@@ -52,7 +53,7 @@ def action_entropy(transitions: DataFrame, action: str = "action", pre: str = "p
     """Mean over used actions of the summed bit entropy of their pre states."""
     tiny = F.lit(1e-20)  # fixed value inside the logarithm
     p = F.col("p")
-    per_bit = transitions.select(action, F.posexplode(pre).alias("idx", "bit")).groupBy(action, "idx").agg(F.avg("bit").alias("p"))
+    per_bit = exploded(transitions, pre, "idx", "bit", [action]).groupBy(action, "idx").agg(F.avg("bit").alias("p"))
     per_action = per_bit.groupBy(action).agg(F.sum(-(p * F.log(p + tiny) + (1 - p) * F.log(1 - p + tiny))).alias("h"))
     return per_action.agg(F.avg("h").alias("h_z_given_a"))
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sceneframe.functions.arrays import exploded
+
 
 def bit_stats(states: DataFrame, bits: str = "bits", by: list[str] = []) -> DataFrame:
     """Activation, ever-1, ever-0 and effective bits over the table (or per ``by``)."""
-    per_bit = states.select(*by, F.posexplode(bits).alias("idx", "bit")).groupBy(*by, "idx").agg(
+    per_bit = exploded(states, bits, "idx", "bit", by).groupBy(*by, "idx").agg(
         F.min("bit").alias("lo"), F.max("bit").alias("hi"), F.sum("bit").alias("total"), F.count("*").alias("n")
     )
     return per_bit.groupBy(*by).agg(
@@ -25,7 +27,7 @@ def code_variance(encodings: DataFrame, state: str, bits: str = "bits", by: list
     not one row per bit. A state has a fixed number of repeats.
     """
     packed = encodings.select(*by, state, bits).repartition(*by, state)
-    variances = packed.select(*by, state, F.posexplode(bits).alias("idx", "bit")).groupBy(*by, state, "idx").agg(
+    variances = exploded(packed, bits, "idx", "bit", [*by, state]).groupBy(*by, state, "idx").agg(
         F.var_pop("bit").alias("v")
     )
     # variances of r repeated 0/1 values take at most r + 1 values, so the exact median keeps few counts
@@ -56,7 +58,7 @@ def prediction_match(predictions: DataFrame, truth: str, predicted: str) -> Data
         "row_match", F.aggregate("miss", F.lit(1.0), lambda acc, d: acc * (1 - d))
     )
     # the row product is carried by the first bit only, so one pass serves both means
-    per_bit = rows.select("row_match", F.posexplode("miss").alias("idx", "d")).groupBy("idx").agg(
+    per_bit = exploded(rows, "miss", "idx", "d", ["row_match"]).groupBy("idx").agg(
         F.avg("d").alias("miss"), F.count("*").alias("n"),
         F.sum(F.when(F.col("idx") == 0, F.col("row_match"))).alias("row_match"),
     )

@@ -29,34 +29,40 @@ def stable_hash(*keys: Column | str, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def _offsets(counts: DataFrame, bucket: str, n: str) -> DataFrame:
-    """Rows before each bucket. ``counts`` has one row per bucket, a fixed small number."""
-    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(bucket, F.coalesce(F.sum(n).over(before), F.lit(0)).alias("_before"))
+def _offsets(counts: DataFrame, total: str | None) -> DataFrame:
+    """Rows before each bucket and, when named, the total. One row per bucket, a fixed small number."""
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_n").over(everything))
+    return offsets.drop("_n")
 
 
 def hashed_position(df: DataFrame, keys: list[str], seed: int = 0, name: str = "position",
-                    bucket_bits: int = 12) -> DataFrame:
-    """Add the dense 0-based position in hash order. ``keys`` must identify a row."""
+                    total: str | None = None, bucket_bits: int = 12) -> DataFrame:
+    """Add the dense 0-based position in hash order. ``keys`` must identify a row.
+
+    ``total`` names an extra column with the number of rows, known from the bucket counts.
+    """
+    bucket = F.shiftright(stable_hash(*keys, seed=seed), HASH_BITS - bucket_bits)
+    counts = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_n"))
     work = df.withColumn("_h", stable_hash(*keys, seed=seed)).withColumn(
         "_bucket", F.shiftright("_h", HASH_BITS - bucket_bits)
     )
-    counts = (
-        df.select(F.shiftright(stable_hash(*keys, seed=seed), HASH_BITS - bucket_bits).alias("_bucket"))
-        .groupBy("_bucket").agg(F.count("*").alias("_n"))
-    )
     within = Window.partitionBy("_bucket").orderBy("_h", *keys)
     ranked = work.withColumn("_rank", F.row_number().over(within) - 1)
     # at most 2**bucket_bits offset rows, whatever the data size
     return (
-        ranked.join(F.broadcast(_offsets(counts, "_bucket", "_n")), "_bucket")
+        ranked.join(F.broadcast(_offsets(counts, total)), "_bucket")
         .withColumn(name, (F.col("_before") + F.col("_rank")).cast("long"))
         .drop("_bucket", "_h", "_rank", "_before")
     )
 
 
-def natural_position(df: DataFrame, order: list[str], name: str = "position", partitions: int | None = None) -> DataFrame:
-    """Add the dense 0-based position in the given total order.
+def natural_position(df: DataFrame, order: list[str], name: str = "position", total: str | None = None,
+                     partitions: int | None = None) -> DataFrame:
+    """Add the dense 0-based position in the given total order, and the number of rows as ``total``.
 
     One shuffle and one write of ``df``; pass only the id columns and join features back later.
     The write happens when the operator is called.
@@ -73,7 +79,7 @@ def natural_position(df: DataFrame, order: list[str], name: str = "position", pa
     # one offset row per range partition
     return (
         numbered.withColumn("_bucket", bucket)
-        .join(F.broadcast(_offsets(counts, "_bucket", "_n")), "_bucket")
+        .join(F.broadcast(_offsets(counts, total)), "_bucket")
         .withColumn(name, F.col("_before") + F.col("_mid").bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
         .drop("_bucket", "_mid", "_before")
     )

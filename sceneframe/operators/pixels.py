@@ -35,8 +35,9 @@ def _value_range(df: DataFrame, value: str) -> Column:
 
 def normalize_pixels(df: DataFrame, value: str = "v", name: str = "v") -> DataFrame:
     """Global min-max to 0..1; a constant table becomes all zero."""
-    lo, hi = _value_range(df, value)["lo"], _value_range(df, value)["hi"]
-    return df.withColumn(name, F.when(hi == lo, F.col(value) - lo).otherwise((F.col(value) - lo) / F.nullif(hi - lo, F.lit(0.0))))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    scaled = F.when(hi == lo, F.col(value) - lo).otherwise((F.col(value) - lo) / F.nullif(hi - lo, F.lit(0.0)))
+    return df.withColumn("_b", _value_range(df, value)).withColumn(name, scaled).drop("_b")
 
 
 def cdf(histogram: DataFrame, bin: str = "bin", n: str = "n") -> DataFrame:
@@ -46,11 +47,12 @@ def cdf(histogram: DataFrame, bin: str = "bin", n: str = "n") -> DataFrame:
     return histogram.withColumn("cdf", F.sum(n).over(up_to) / F.sum(n).over(everything))
 
 
-def histogram(df: DataFrame, value: str, lo: Column, hi: Column, bins: int = BINS) -> DataFrame:
-    """Counts of equal-width bins, the last one closed; every bin appears."""
-    width = F.nullif((hi - lo) / bins, F.lit(0.0))
-    bin = F.least(F.lit(bins - 1), F.floor((F.col(value) - lo) / width)).cast("int")
-    counted = df.groupBy(F.when(hi == lo, F.lit(0)).otherwise(bin).alias("bin")).agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
+    """Counts of equal-width bins over the value range, the last one closed; every bin appears."""
+    ranged = df.select(value).withColumn("_b", _value_range(df, value))
+    lo, hi = F.col("_b.lo"), F.col("_b.hi")
+    bin = F.least(F.lit(bins - 1), F.floor((F.col(value) - lo) / F.nullif((hi - lo) / bins, F.lit(0.0)))).cast("int")
+    counted = ranged.groupBy(F.when(hi == lo, F.lit(0)).otherwise(bin).alias("bin")).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -75,28 +77,33 @@ def equalize_histogram(df: DataFrame, value: str = "v", name: str = "v", bins: i
     Two small subqueries, the value range and the ``bins``-long CDF array, feed one projection:
     linear interpolation between bin centres. The pixels themselves are never shuffled.
     """
-    bounds = _value_range(df, value)
-    curve = _curve(cdf(histogram(df, value, bounds["lo"], bounds["hi"], bins)))
     level = _interpolated(F.col(value), F.col("_b.lo"), F.col("_b.hi"), F.col("_c"), bins)
-    return df.withColumn("_b", bounds).withColumn("_c", curve).withColumn(name, level).drop("_b", "_c")
+    return _with_curve(df, df, value, bins).withColumn(name, level).drop("_b", "_c")
+
+
+def _with_curve(df: DataFrame, values: DataFrame, value: str, bins: int = BINS) -> DataFrame:
+    """Attach the value range ``_b`` and the CDF array ``_c`` of ``values``, each one subquery."""
+    return df.withColumn("_b", _value_range(values, value)).withColumn("_c", _curve(cdf(histogram(values, value, bins))))
 
 
 def _preprocessed(level: Column, first: Column) -> Column:
-    """Normalised and enhanced level; all zero when every value is equal."""
+    """Normalised and enhanced level; all zero when every value is equal.
+
+    Equalized values rise with the CDF, whose last entry is 1 and whose first is the share of the
+    first bin, so the normalisation range is known without a third scan.
+    """
     unit = F.when(first == 1, F.lit(0.0)).otherwise((level - first) / F.nullif(1 - first, F.lit(0.0)))
     return enhance_contrast(unit)
 
 
-def preprocess(df: DataFrame, value: str = "v", name: str = "v") -> DataFrame:
-    """Equalize, normalise and enhance.
+def _pixel_level(value: Column) -> Column:
+    level = _interpolated(value, F.col("_b.lo"), F.col("_b.hi"), F.col("_c"), BINS)
+    return _preprocessed(level, F.get(F.col("_c"), F.lit(0)))
 
-    Equalized values rise with the CDF, whose last entry is 1 and whose first is the share of the
-    first bin, so the normalisation range is known from the curve without a third scan.
-    """
-    bounds = _value_range(df, value)
-    first = cdf(histogram(df, value, bounds["lo"], bounds["hi"])).where("bin = 0").select("cdf").scalar()
-    level = equalize_histogram(df, value, name)
-    return level.withColumn("_first", first).withColumn(name, _preprocessed(F.col(name), F.col("_first"))).drop("_first")
+
+def preprocess(df: DataFrame, value: str = "v", name: str = "v") -> DataFrame:
+    """Equalize, normalise and enhance a pixel table."""
+    return _with_curve(df, df, value).withColumn(name, _pixel_level(F.col(value))).drop("_b", "_c")
 
 
 def preprocess_patches(df: DataFrame, patch: str = "patch", name: str = "patch") -> DataFrame:
@@ -106,15 +113,7 @@ def preprocess_patches(df: DataFrame, patch: str = "patch", name: str = "patch")
     rewritten in place.
     """
     values = df.select(F.explode(patch).alias("v"))
-    bounds = _value_range(values, "v")
-    shares = cdf(histogram(values, "v", bounds["lo"], bounds["hi"]))
-    first = shares.where("bin = 0").select("cdf").scalar()
-    lo, hi, curve = F.col("_b.lo"), F.col("_b.hi"), F.col("_c")
-    return (
-        df.withColumn("_b", bounds).withColumn("_c", _curve(shares)).withColumn("_first", first)
-        .withColumn(name, F.transform(patch, lambda v: _preprocessed(_interpolated(v, lo, hi, curve, BINS), F.col("_first"))))
-        .drop("_b", "_c", "_first")
-    )
+    return _with_curve(df, values, "v").withColumn(name, F.transform(patch, _pixel_level)).drop("_b", "_c")
 
 
 def block_mean_downsample(df: DataFrame, step_y: int, step_x: int, height: int, width: int,

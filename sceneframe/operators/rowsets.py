@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sceneframe.operators.ordering import hashed_position, total_rows
+from sceneframe.operators.ordering import hashed_position
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -23,9 +23,9 @@ def real_fake_dataset(real: DataFrame, fake: DataFrame, keys: list[str], seed: i
     ``keys`` identify a row within its own table.
     """
     both = real.withColumn("label", F.lit(1)).unionByName(fake.withColumn("label", F.lit(0)))
-    placed = hashed_position(both, ["label", *keys], seed)
-    cut = F.floor(total_rows(both) * F.lit(0.9))
-    return placed.withColumn("split", F.when(F.col("position") < cut, "train").otherwise("test"))
+    placed = hashed_position(both, ["label", *keys], seed, total="_total")
+    train = F.col("position") < F.floor(F.col("_total") * F.lit(0.9))
+    return placed.withColumn("split", F.when(train, "train").otherwise("test")).drop("_total")
 
 
 def merge_config(defaults: Column, override: Column) -> Column:

@@ -44,10 +44,9 @@ def assign_bags(rows: DataFrame, keys: list[str], label: str, bags: int, seed: i
 
     Negatives beyond the last full bag are left out; positives are repeated per bag inside the row.
     """
-    negatives = rows.where(F.col(label) == 0)
-    per_bag = F.nullif(F.floor(total_rows(negatives) / F.lit(bags)), F.lit(0))
-    placed = hashed_position(negatives, keys, seed, "_at")
-    dealt = placed.withColumn("bag", F.floor(F.col("_at") / per_bag)).where(F.col("bag") < bags).drop("_at")
+    placed = hashed_position(rows.where(F.col(label) == 0), keys, seed, "_at", total="_negatives")
+    per_bag = F.nullif(F.floor(F.col("_negatives") / F.lit(bags)), F.lit(0))
+    dealt = placed.withColumn("bag", F.floor(F.col("_at") / per_bag)).where(F.col("bag") < bags)
     positives = rows.where(F.col(label) == 1).withColumn(
         "bag", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bags - 1).cast("long")))
     )

@@ -83,13 +83,16 @@ def gather_transitions(transitions: DataFrame, states: DataFrame, state: str, fe
     return transitions.join(pre, "pre").join(suc, "suc")
 
 
-def endpoints(transitions: DataFrame, number: str, interleaved: bool = False) -> DataFrame:
-    """Both ends of every transition in one order: all pre then all suc, or pre and suc alternating."""
+def endpoints(transitions: DataFrame, number: str, interleaved: bool = False, total: Column | None = None) -> DataFrame:
+    """Both ends of every transition in one order: all pre then all suc, or pre and suc alternating.
+
+    ``total`` is the number of transitions when the caller knows it; it is counted otherwise.
+    """
     t = F.col(number)
     if interleaved:
         pre_at, suc_at = t * 2, t * 2 + 1
     else:
-        pre_at, suc_at = t, t + total_rows(transitions)
+        pre_at, suc_at = t, t + (total if total is not None else total_rows(transitions))
     return transitions.select(
         F.inline(F.array(
             F.struct(pre_at.cast("long").alias("position"), F.col("pre").alias("state")),
@@ -107,17 +110,19 @@ def split_of(position: Column, n: Column) -> Column:
     )
 
 
-def positional_split(placed: DataFrame, position: str = "position", states: Column | None = None) -> DataFrame:
+def positional_split(placed: DataFrame, position: str = "position", states: Column | None = None,
+                     rows: Column | None = None) -> DataFrame:
     """Add ``split``. Below 100 states every row is in all three splits.
 
-    ``states`` counts the states when ``placed`` holds endpoints; by default its own rows.
+    ``rows`` is the number of rows when known, counted otherwise. ``states`` counts the states when
+    ``placed`` holds endpoints; by default its rows.
     """
-    rows = total_rows(placed)
-    small = (states if states is not None else rows) < SMALL_SET
-    names = F.when(small, F.array(F.lit("train"), F.lit("val"), F.lit("test"))).otherwise(
-        F.array(split_of(F.col(position), rows))
+    n = rows if rows is not None else total_rows(placed)
+    counted = placed.withColumn("_rows", n).withColumn("_states", states if states is not None else F.col("_rows"))
+    names = F.when(F.col("_states") < SMALL_SET, F.array(F.lit("train"), F.lit("val"), F.lit("test"))).otherwise(
+        F.array(split_of(F.col(position), F.col("_rows")))
     )
-    return placed.withColumn("split", F.explode(names))
+    return counted.withColumn("split", F.explode(names)).drop("_rows", "_states")
 
 
 def split_by_group(states: DataFrame, group: str, seed: int = 0) -> DataFrame:

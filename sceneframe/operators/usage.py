@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sceneframe.functions.arrays import exploded
 from sceneframe.functions.codes import predicate_of, unit_of
 
 # A predicate above the first rate is always on, below the second always off.
@@ -17,7 +18,7 @@ def predicate_usage(states: DataFrame, predicates: int, bits: str = "bits") -> D
     Each bit is exploded and counted map-side, so only one row per bit and task is shuffled. The
     class uses the exact rate, the report the rate rounded to four digits (half even).
     """
-    rates = states.select(F.posexplode(bits).alias("idx", "bit")).groupBy("idx").agg(
+    rates = exploded(states, bits, "idx", "bit").groupBy("idx").agg(
         (F.sum("bit") / F.count("*")).alias("rate")
     )
     usage = F.when(F.col("rate") > ALWAYS_ON, "always_on").when(F.col("rate") < ALWAYS_OFF, "always_off").otherwise("variable")
@@ -48,7 +49,7 @@ def head_states(states: DataFrame, order: str, n: int) -> DataFrame:
 
 def mean_attention(states: DataFrame, attention: str = "attention") -> DataFrame:
     """Mean weight of every ``(unit, arg, obj)``."""
-    units = states.select(F.posexplode(attention).alias("unit", "_u"))
+    units = exploded(states, attention, "unit", "_u")
     args = units.select("unit", F.posexplode("_u").alias("arg", "_a"))
     objs = args.select("unit", "arg", F.posexplode("_a").alias("obj", "w"))
     return objs.groupBy("unit", "arg", "obj").agg(F.avg("w").alias("weight"))

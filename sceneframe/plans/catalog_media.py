@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sceneframe.functions.arrays import exploded
 from sceneframe.functions import boxes as B
 from sceneframe.functions import text as T
 from sceneframe.operators import curves as K
@@ -37,7 +38,7 @@ ANSWERS = """objects as (
 
 
 def _answer_rows(images):
-    rows = images.select("image", F.posexplode("objects").alias("pos", "o"))
+    rows = exploded(images, "objects", "pos", "o", ["image"])
     return rows.select("image", "pos", F.col("o.class").alias("class"),
                        *[F.get("o.bbox", F.lit(i)).alias(f"b{i}") for i in range(4)])
 
@@ -190,9 +191,7 @@ eq as (select img, y, x, a.c * (1 - f) + z.c * f as v from f join cdf a on a.bin
 
 @query("cdf", f"with {EQUALIZED} select cast(bin as int) as bin, round(c, 9) as cdf from cdf")
 def _cdf(spark, sf):
-    p = _px(spark, sf)
-    r = p.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-    return PX.cdf(PX.histogram(p, "v", r["lo"], r["hi"])).select("bin", F.round("cdf", 9).alias("cdf"))
+    return PX.cdf(PX.histogram(_px(spark, sf), "v")).select("bin", F.round("cdf", 9).alias("cdf"))
 
 
 @query("equalize_histogram", f"with {EQUALIZED} select img, y, x, round(v, 6) as v from eq")
@@ -210,7 +209,7 @@ def _preprocess(spark, sf):
 select img, y, x, round(greatest(least(((v - lo) / (hi - lo) - 0.5) * 3, 0.5), -0.5) + 0.5, 6) as v from eq, s""")
 def _preprocess_patches(spark, sf):
     patches = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("img"), F.col("embedding").cast("array<double>").alias("patch"))
-    p = PX.preprocess_patches(patches).select("img", F.posexplode("patch").alias("i", "v"))
+    p = exploded(PX.preprocess_patches(patches), "patch", "i", "v", ["img"])
     return p.select("img", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.round("v", 6).alias("v"))
 
 
@@ -259,16 +258,16 @@ def _tiles(spark, sf):
 
 
 def _panels(spark, sf):
-    """The distinct tiles as panels, numbered by their bits; two of every three are in the library."""
+    """The distinct tiles as panels, numbered by their bits; the library lacks those with two set pixels."""
     t = F.col("tile")
     number = (t[0] * 8 + t[1] * 4 + t[2] * 2 + t[3]).cast("int")
-    return _tiles(spark, sf).select(number.alias("panel"), F.col("tile").alias("pattern")).distinct().where("panel % 3 <> 0")
+    return _tiles(spark, sf).select(number.alias("panel"), F.col("tile").alias("pattern")).distinct().where("bit_count(panel) <> 2")
 
 
 TILES = """bits as (select vec_id as state_id, i // 8 as y, i % 8 as x, cast(embedding[i+1] > 0 as int) as b from embeddings, range(64) t(i)),
 tiles as (select state_id, (y // 2) * 4 + x // 2 as cell, string_agg(b::varchar, '' order by y, x) as tile from bits group by state_id, y // 2, x // 2),
 panels as (select distinct substr(tile,1,1)::int * 8 + substr(tile,2,1)::int * 4 + substr(tile,3,1)::int * 2 + substr(tile,4,1)::int as panel, tile as pattern from tiles
-   where (substr(tile,1,1)::int * 8 + substr(tile,2,1)::int * 4 + substr(tile,3,1)::int * 2 + substr(tile,4,1)::int) % 3 <> 0)"""
+   where substr(tile,1,1)::int + substr(tile,2,1)::int + substr(tile,3,1)::int + substr(tile,4,1)::int <> 2)"""
 EQUAL_MATCH = TILES + """, m as (select t.state_id, t.cell, p.panel from tiles t left join panels p on p.pattern = t.tile)"""
 BLOCK_MATCH = TILES + """, m as (select t.state_id, t.cell, p.panel from tiles t left join panels p on
    round_even(((substr(tile,1,1) <> substr(pattern,1,1))::int + (substr(tile,2,1) <> substr(pattern,2,1))::int
@@ -299,12 +298,12 @@ def _match_rounded(spark, sf):
     return _match_rows(_matches(spark, sf, "rounded"))
 
 
-PANELS = [p for p in range(16) if p % 3]
+PANELS = [p for p in range(16) if p.bit_count() != 2]
 
 
 @query("configs_from_matches", f"""with {EQUAL_MATCH},
 c as (select e.vec_id as state_id, p.i as panel, coalesce(sum(m.cell), 0) as pos
-      from embeddings e join range(16) p(i) on p.i % 3 <> 0 left join m on m.state_id = e.vec_id and m.panel = p.i group by 1, 2)
+      from embeddings e join range(16) p(i) on bit_count(p.i) <> 2 left join m on m.state_id = e.vec_id and m.panel = p.i group by 1, 2)
 select state_id, string_agg(pos::varchar, ',' order by panel) as config from c group by state_id""")
 def _configs(spark, sf):
     c = G.configs_from_matches(_matches(spark, sf, "rounded"), "state_id", PANELS)

@@ -9,7 +9,7 @@ from sceneframe.functions import text as T
 from sceneframe.operators import profile as P
 from sceneframe.operators import slots as S
 from sceneframe.operators import transitions as R
-from sceneframe.operators.ordering import hashed_position, natural_position
+from sceneframe.operators.ordering import natural_position, total_rows
 from sceneframe.plans import datasets as D
 from sceneframe.plans import views as V
 from sceneframe.plans.registry import query
@@ -436,7 +436,9 @@ def _natural(spark, sf):
 select o_orderkey, position, case when position < floor(n * 0.9::double) then 'train'
    when position < floor(n * 0.95::double) then 'val' else 'test' end as split from placed, n""")
 def _positional_split(spark, sf):
-    return R.positional_split(_natural(spark, sf))
+    orders = V.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    placed = natural_position(orders, ["o_orderdate", "o_orderkey"], total="n")
+    return R.positional_split(placed, rows=F.col("n")).select("o_orderkey", "position", "split")
 
 
 SPLIT_END = """case when position < floor(n * 0.9::double) then 'train'
@@ -457,14 +459,17 @@ def _state_pairs(spark, sf):
 e as (select number as position, pre as state from pairs union all select number + t, suc from pairs, c)
 select position, state, {SPLIT_END} from e, c""")
 def _endpoints(spark, sf):
-    return R.positional_split(R.endpoints(_state_pairs(spark, sf), "number"))
+    pairs = _state_pairs(spark, sf)
+    count = total_rows(pairs)
+    return R.positional_split(R.endpoints(pairs, "number", total=count), rows=count * 2)
 
 
 @query("endpoint_order_interleaved", f"""with {STATE_PAIRS},
 e as (select 2 * number as position, pre as state from pairs union all select 2 * number + 1, suc from pairs)
 select position, state, {SPLIT_END} from e, c""")
 def _endpoints_interleaved(spark, sf):
-    return R.positional_split(R.endpoints(_state_pairs(spark, sf), "number", interleaved=True))
+    pairs = _state_pairs(spark, sf)
+    return R.positional_split(R.endpoints(pairs, "number", interleaved=True), rows=total_rows(pairs) * 2)
 
 
 def h60(expr: str, seed: int) -> str:

@@ -44,8 +44,8 @@ def video_splits(frames: DataFrame, video: str = "video_id", fid: str = "fid") -
     """
     pairs = sequential_in_group(frames, video, fid)
     placed = natural_position(pairs, [video, "pre"], "number")
-    ends = endpoints(placed, "number")
-    return positional_split(ends, states=total_rows(frames))
+    count = total_rows(placed)
+    return positional_split(endpoints(placed, "number", total=count), states=total_rows(frames), rows=count * 2)
 
 
 def write_splits(slots: DataFrame, splits: DataFrame, state: str, path: str) -> None:

@@ -10,6 +10,7 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sceneframe.functions.arrays import exploded
 from sceneframe.functions.codes import unit_slice
 from sceneframe.operators.profile import appearance
 
@@ -203,7 +204,7 @@ trials as (select p_partkey as trial, p_retailprice as eval, p_brand as u, p_typ
 
 
 def bits_long(df: DataFrame, column: str, name: str, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.posexplode(column).alias("idx", name))
+    return exploded(df, column, "idx", name, keep)
 
 
 def units(spark: SparkSession, sf: str, n: int = 8, predicates: int = 8) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sceneframe.functions.arrays import exploded
 from sceneframe.functions.boxes import normalized_to_corners
 from sceneframe.functions.text import parse_answer_objects, parse_frame_path
 from sceneframe.operators.slots import skip_empty as without_empty
@@ -90,7 +91,7 @@ def read_labeled_images(spark: SparkSession, path: str, max_images: int | None =
 
 def image_detections(images: DataFrame) -> DataFrame:
     """``(image, pos, class, box)``: one row per labelled object."""
-    objects = images.select("image", F.posexplode("objects").alias("pos", "_o"))
+    objects = exploded(images, "objects", "pos", "_o", ["image"])
     return objects.select(
         "image", "pos", F.col("_o.class").alias("class"),
         *[F.col("_o.bbox")[i].alias(c) for i, c in enumerate(["xmin", "ymin", "xmax", "ymax"])],
@@ -111,7 +112,7 @@ def normalized_detections(images: DataFrame) -> DataFrame:
 
     ``images`` holds ``image, width, height, detections array<struct<label, bounding_box>>``.
     """
-    boxes = images.select("image", "width", "height", F.posexplode("detections").alias("pos", "_d"))
+    boxes = exploded(images, "detections", "pos", "_d", ["image", "width", "height"])
     held = boxes.where(F.size("_d.bounding_box") > 0)
     corners = normalized_to_corners(F.col("_d.bounding_box"), F.col("width"), F.col("height"))
     return held.select("image", "pos", F.col("_d.label").alias("class"), corners.alias("_c")).select(
