@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import packed_ids, quality_cascade, retrieval_packing, secret_owners
+from sceneframe.llm import jaccard_join, line_windows, packed_ids, quality_cascade, retrieval_packing, secret_owners
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,31 @@ def op9(spark, sf_dir):
 @register("op10_retrieval_packing")
 def op10(spark, sf_dir):
     return retrieval_packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY))
+
+
+@register("op6_line_windows", oracle=r"""
+    WITH t AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+                      generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents),
+    s AS (SELECT doc_id, line, nr, row_number() OVER (PARTITION BY doc_id ORDER BY nr) - 1 AS place
+          FROM t WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    w AS (SELECT doc_id, place, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS win
+          FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY place)),
+    f AS (SELECT *, min((doc_id, place)) OVER (PARTITION BY win) AS first FROM w WHERE win IS NOT NULL),
+    c AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = first[1] THEN greatest(place, first[2] + 3) ELSE place END,
+                                               place + 3)) AS place
+          FROM f WHERE (doc_id, place) <> first),
+    gone AS (SELECT s.doc_id, s.nr FROM s JOIN c USING (doc_id, place)),
+    left_over AS (SELECT t.doc_id, string_agg(t.line, chr(10) ORDER BY t.nr) AS text, count(*) AS n
+                  FROM t ANTI JOIN gone USING (doc_id, nr) GROUP BY t.doc_id)
+    SELECT d.doc_id, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines,
+           coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(l.n, 0) AS n_removed,
+           CASE WHEN d.text IS NOT NULL THEN coalesce(l.text, '') END AS text
+    FROM documents d LEFT JOIN left_over l USING (doc_id)
+""")
+def op6(spark, sf_dir):
+    return line_windows.report(documents(spark, sf_dir))
+
+
+@register("op7_jaccard_join")
+def op7(spark, sf_dir):
+    return jaccard_join.report(documents(spark, sf_dir))
