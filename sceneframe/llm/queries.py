@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import jaccard_join, lattice_lm, line_windows, packed_ids, quality_cascade, retrieval_packing, secret_owners
+from sceneframe.llm import jaccard_join, language_id, lattice_lm, line_windows, packed_ids, quality_cascade, retrieval_packing, secret_owners
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,3 +99,8 @@ def op7(spark, sf_dir):
 @register("op3_lattice_lm")
 def op3(spark, sf_dir):
     return lattice_lm.score_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_VOCABULARY))
+
+
+@register("op4_language_families")
+def op4(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
