@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import byte_bpe, jaccard_join, language_id, lattice_lm, line_windows, packed_ids, quality_cascade, retrieval_packing, secret_owners
+from sceneframe.llm import byte_bpe, jaccard_join, language_id, lattice_lm, line_windows, packed_ids, quality_cascade, retrieval_packing, secret_owners, weighted_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,8 @@ def op4(spark, sf_dir):
 def op2(spark, sf_dir):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     return byte_bpe.decode_documents(byte_bpe.encode_documents(documents(spark, sf_dir), path, pattern), path, pattern)
+
+
+@register("op5_weighted_samples")
+def op5(spark, sf_dir):
+    return weighted_samples.fingerprints(documents(spark, sf_dir))
