@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sceneframe.llm.text import whole_text, words
 
 SHINGLE = 5
-SAMPLES = 48
-PER_ROW = 12  # samples that one row draws; as many as compile to methods of a size that the JVM optimizes
+SAMPLES = 32
+PER_ROW = 8  # samples that one row draws; as many as compile to methods of a size that the JVM optimizes
 BITS = 16
 LEAST = -(1 << 63)
 
@@ -42,15 +42,18 @@ def shingle_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return some.select(*keep, F.inline(slices)).select(*keep, F.xxhash64(*[f"w{k}" for k in range(SHINGLE)]).alias("term"))
 
 
-def _unit(bits: Column) -> Column:
-    """The low 32 bits as a number between 0 and 1."""
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") + 0.5) / F.lit(float(1 << 32))
+def _unit(bits: Column, width: int) -> Column:
+    """The low ``width`` bits as a number between 0 and 1."""
+    return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) / F.lit(float(1 << width))
 
 
-def _gamma(*seed: Column | str) -> Column:
-    """Gamma(2, 1) from the two halves of a hash."""
-    bits = F.xxhash64(*seed)
-    return -F.log(_unit(bits) * _unit(F.shiftrightunsigned(bits, 32)))
+def _value(seed: Column, k: int, log_weight: Column) -> Column:
+    """``a`` of one sample: 21 bits each for the two parts of ``r`` and for ``b``, 32 each for the two parts of ``c``."""
+    one, two = F.xxhash64(seed, F.lit(2 * k)), F.xxhash64(seed, F.lit(2 * k + 1))
+    r = -F.log(_unit(one, 21) * _unit(F.shiftrightunsigned(one, 21), 21))
+    b = _unit(F.shiftrightunsigned(one, 42), 21)
+    c = -F.log(_unit(two, 32) * _unit(F.shiftrightunsigned(two, 32), 32))
+    return c * F.exp(-r * (F.floor(log_weight / r + b) - b + 1))
 
 
 def sampled(weighted: DataFrame, keys: list[str], versions: int, samples: int = SAMPLES, per_row: int = PER_ROW) -> DataFrame:
@@ -60,15 +63,10 @@ def sampled(weighted: DataFrame, keys: list[str], versions: int, samples: int =
     out = [F.when(F.col(f"w{v}") == F.col("weight"), 0.0).otherwise(F.lit(float("inf"))).alias(f"out{v}") for v in range(versions)]
     rows = weighted.select("*", F.explode(weights).alias("weight"))
     rows = rows.select(*keys, "term", F.log(F.col("weight").cast("double")).alias("lw"), *out)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples // per_row - 1))).alias("part"))
-
-    def value(k: int) -> Column:
-        seed = lambda name: (F.col("term"), F.col("part"), F.lit(k), F.lit(name))
-        r, b, c = _gamma(*seed("r")), _unit(F.xxhash64(*seed("b"))), _gamma(*seed("c"))
-        return c * F.exp(-r * (F.floor(F.col("lw") / r + b) - b + 1))
-
+    rows = rows.select(*keys, "term", "lw", *[f"out{v}" for v in range(versions)], F.explode(F.sequence(F.lit(0), F.lit(samples // per_row - 1))).alias("part"))
+    rows = rows.withColumn("seed", F.xxhash64("term", "part"))
     least = rows.groupBy(*keys, "part").agg(*[
-        F.min(value(k) + F.col(f"out{v}")).alias(f"m{v}_{k}") for k in range(per_row) for v in range(versions)])
+        F.min(_value(F.col("seed"), k, F.col("lw")) + F.col(f"out{v}")).alias(f"m{v}_{k}") for k in range(per_row) for v in range(versions)])
     code = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << BITS)).cast("int")
     parts = least.select(*keys, "part", *[
         F.when(F.col(f"m{v}_0") == F.lit(float("inf")), F.array().cast("array<int>")).otherwise(
