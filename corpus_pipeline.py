@@ -1,8 +1,8 @@
 """Corpus cleaning from raw documents to packed training windows.
 
-Stages, in order: quality rules (rejected documents go), line dedup (repeated three-line windows go), n-gram Jaccard join
-(one document of each linked group stays), secret scans (secrets are blanked out), packing. Each stage reads what the one
-before it has written.
+Stages, in order: quality rules (rejected documents go), line dedup (repeated three-line windows go, and documents that
+nothing is left of), n-gram Jaccard join (one document of each linked group stays), secret scans (secrets are blanked out),
+packing. Each stage reads what the one before it has written; all but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sceneframe.llm import quality_cascade, retrieval_packing
+from sceneframe.llm import jaccard_join, line_windows, quality_cascade, retrieval_packing, secret_owners
 from sceneframe.session import written
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,12 +20,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_cascade.keep(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_windows.cleaned(docs)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.one_per_class(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_owners.redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("quality rules", quality_rules), ("packing", packing)]
-ORACLE_SQL = None  # no SQL for token ids; tests hold run() against a brute-force version
+STAGES = [
+    ("quality rules", quality_rules), ("line dedup", line_dedup), ("n-gram Jaccard join", ngram_jaccard_join),
+    ("secret scans", secret_scans), ("packing", packing),
+]
+ORACLE_SQL = None  # SQL has no token ids; tests hold run() against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

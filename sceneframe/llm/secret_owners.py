@@ -143,9 +143,14 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.concat_ws(mark, F.concat(before, F.array(tail))))
 
 
-def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source") -> DataFrame:
-    """The documents with all base spans and live bare tokens blanked out, in their own columns."""
+def redact(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source", length: str | None = "n_chars") -> DataFrame:
+    """The documents with all base spans and live bare tokens blanked out, in their own columns.
+
+    ``length`` names the column that holds the number of characters and is set anew where the text changes.
+    """
     rows = classified(scan(docs, text, repository, owner, docs.columns))
     carried = {c: F.col(f"c_{c}") for c in docs.columns}
-    clean = F.when(F.size("spans") == 0, carried[text]).otherwise(redacted(carried[text], F.col("spans")))
-    return rows.select(*[(clean if c == text else carried[c]).alias(c) for c in docs.columns])
+    touched = F.size("spans") > 0
+    rows = rows.withColumn("clean", F.when(touched, redacted(carried[text], F.col("spans"))).otherwise(carried[text]))
+    new = {text: F.col("clean"), length: F.when(touched, F.length("clean").cast("bigint")).otherwise(carried.get(length, F.lit(None)))}
+    return rows.select(*[new.get(c, carried[c]).alias(c) for c in docs.columns])

@@ -8,6 +8,7 @@ from llm_helpers import clashing, rows
 from sceneframe.llm import secret_owners as s
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+BARE_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}")
 LIVE, COPIED = "Zk3v9QpL2xW8mN4rT6yB", "Qw8eR5tY1uI0oP3aS6dF"
 HEXA = "0123456789abcdef0123"
 ROWS = [
