@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneframe.operators import profile as P
 from sceneframe.operators.slots import subject_categories
@@ -18,6 +18,13 @@ def _videos(spark: SparkSession, args: argparse.Namespace):
     return docs, AN.video_detections(docs), AN.video_subjects(docs)
 
 
+def _print_all(report: DataFrame) -> None:
+    """Every row, tab-separated; rows stream through the driver partition by partition."""
+    print(*report.columns, sep="\t")
+    for row in report.toLocalIterator():
+        print(*("" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row), sep="\t")
+
+
 def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     """Viability of every category, and of all videos together."""
     _, detections, subjects = _videos(spark, args)
@@ -28,7 +35,7 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     report = P.viability(subjects, frames, args.threshold)
     if args.category:
         report = report.where(F.col("category") == args.category)
-    report.orderBy(F.col("listed_videos").desc(), "category").show(1000, truncate=False)
+    _print_all(report.orderBy(F.col("listed_videos").desc(), "category"))
     return 0
 
 
@@ -40,7 +47,7 @@ def audit(spark: SparkSession, args: argparse.Namespace) -> int:
         loaded = primaries.join(subjects.where(F.col("category") == args.category).select("video_id"), "video_id", "left_semi")
     else:
         loaded = primaries.where(F.col("primary") == args.category)
-    P.category_audit(loaded, args.category).show()
+    _print_all(P.category_audit(loaded, args.category))
     return 0 if P.audit_verdict(loaded, args.category).first()["passed"] else 1
 
 
@@ -49,8 +56,8 @@ def answers(spark: SparkSession, args: argparse.Namespace) -> int:
     images = AN.labelled_from_answers(AN.read_vlm_answers(spark, args.input, not args.json_lines))
     images.write.mode("overwrite").json(args.output)
     written = spark.read.schema(AN.IMAGE_SCHEMA).json(args.output)
-    P.annotation_metrics(written).where("metric <> 'label'").orderBy("metric", F.col("item").cast("int")).show(100)
-    P.top_labels(AN.image_detections(written), "class").show()
+    _print_all(P.annotation_metrics(written).where("metric <> 'label'").orderBy("metric", F.col("item").try_cast("int")))
+    _print_all(P.top_labels(AN.image_detections(written), "class"))
     return 0
 
 

@@ -72,15 +72,16 @@ def config_key(config: Column) -> Column:
 
 
 def elapsed_seconds(text: Column) -> Column:
-    """Seconds of ``[D-]HH:MM:SS``."""
-    days = F.when(F.instr(text, "-") > 0, F.split_part(text, F.lit("-"), F.lit(1)).cast("long")).otherwise(F.lit(0))
-    clock = F.split(F.regexp_replace(text, "^[0-9]+-", ""), ":")
-    return ((days * 24 + clock[0].cast("long")) * 60 + clock[1].cast("long")) * 60 + clock[2].cast("long")
+    """Seconds of ``[D-][[HH:]MM:]SS``; null for any other text."""
+    days = F.when(F.instr(text, "-") > 0, F.split_part(text, F.lit("-"), F.lit(1)).try_cast("long")).otherwise(F.lit(0))
+    clock = F.reverse(F.split(F.regexp_replace(text, "^[0-9]+-", ""), ":"))
+    part = lambda k: F.when(F.size(clock) > k, F.get(clock, F.lit(k)).try_cast("long")).otherwise(F.lit(0))
+    return F.when(F.size(clock) <= 3, ((days * 24 + part(2)) * 60 + part(1)) * 60 + part(0))
 
 
 def memory_megabytes(text: Column) -> Column:
     """Megabytes of ``NNN[K|M|G]``; any other last character counts as bytes."""
-    number = text.substr(F.lit(1), F.length(text) - 1).cast("double")
+    number = text.substr(F.lit(1), F.length(text) - 1).try_cast("double")
     unit = F.substring(text, -1, 1)
     return (
         F.when(unit == "K", number / 1024)

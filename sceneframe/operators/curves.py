@@ -1,7 +1,7 @@
 """Training curves: stopping rules over sliding windows of epochs and scheduled values.
 
-Epochs of a run are dense ordinals 0, 1, 2, ... Windows run over chunks of a run with a halo of the
-preceding epochs, so a very long run spreads over many tasks.
+Epochs of a run may have gaps and start anywhere; windows count observations. They run over chunks of a run with a halo
+of the preceding observations, so a very long run spreads over many tasks and the result does not depend on the chunk.
 """
 
 from __future__ import annotations
@@ -19,17 +19,30 @@ HIGH_VALUE = 0.2
 DELAY_MARGIN = 0.1
 
 
+def _numbered(log: DataFrame, run: str, epoch: str, chunk: int) -> DataFrame:
+    """Add ``_at``, the 0-based number of each observation in its run.
+
+    Observations are counted per chunk of the epoch axis; only the counts of a run, one per chunk, meet in one window.
+    """
+    placed = log.withColumn("_part", F.floor(F.col(epoch) / F.lit(chunk)))
+    before = Window.partitionBy(run).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(run, "_part").agg(F.count("*").alias("_n")).select(
+        run, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(run, "_part").orderBy(epoch)) - 1
+    return placed.withColumn("_rank", rank).join(counts, [run, "_part"]).withColumn("_at", F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+
+
 def _first_firing(log: DataFrame, run: str, epoch: str, value: str, fires, start: Column | float, sample: int,
                   chunk: int) -> DataFrame:
     """First epoch of each run where ``fires(window)`` holds; null when it never does.
 
-    A rule needs more than ``sample`` observations, so it can first fire at epoch ``sample``.
+    A rule needs more than ``sample`` observations of the run.
     """
-    spread = with_halo(log.select(run, epoch, value), run, epoch, sample - 1, chunk)
-    window = Window.partitionBy(run, "_chunk").orderBy(epoch)
+    spread = with_halo(_numbered(log.select(run, epoch, value), run, epoch, chunk), run, "_at", sample - 1, chunk)
+    window = Window.partitionBy(run, "_chunk").orderBy("_at")
     judged = spread.withColumn("_fires", fires(window)).where(F.col("_own") == F.col("_chunk"))
     begin = start if isinstance(start, Column) else F.lit(start)
-    stop = F.when(F.col("_fires") & (F.col(epoch) >= sample) & (F.col(epoch) >= begin), F.col(epoch))
+    stop = F.when(F.col("_fires") & (F.col("_at") >= sample) & (F.col(epoch) >= begin), F.col(epoch))
     return judged.groupBy(run).agg(F.min(stop).alias("stop_epoch"))
 
 

@@ -15,8 +15,8 @@ from sceneframe.operators.ordering import stable_hash
 
 
 def uniform(*keys: Column, seed: int = 0) -> Column:
-    """Uniform number in [0, 1) from the keys: the top 53 hash bits."""
-    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11).cast("double") / F.lit(float(1 << 53))
+    """Uniform number in [0, 1) from the keys: the top 53 of the 60 hash bits."""
+    return F.shiftright(stable_hash(*keys, seed=seed), 7).cast("double") / F.lit(float(1 << 53))
 
 
 def normal(*keys: Column, seed: int = 0) -> Column:

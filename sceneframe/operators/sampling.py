@@ -6,16 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from sceneframe.operators.ordering import hashed_position, stable_hash, total_rows
 
-TOP_LIMIT = 10_000  # samples up to this size use a top-n; larger ones a dense position
-
 
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows without replacement in hash order (all rows when there are fewer).
-
-    A small sample is a distributed top-n. A large one is numbered first, so no task holds it whole.
-    """
-    if n <= TOP_LIMIT:
-        return df.orderBy(stable_hash(*keys, seed=seed), *keys).limit(n)
+    """``n`` rows without replacement, the first in hash order (all rows when there are fewer); no task holds them all."""
     return hashed_position(df, keys, seed, "_at").where(F.col("_at") < n).drop("_at")
 
 
@@ -42,11 +35,11 @@ def class_balance(rows: DataFrame, label: str) -> DataFrame:
 def assign_bags(rows: DataFrame, keys: list[str], label: str, bags: int, seed: int = 0) -> DataFrame:
     """``bags`` training sets: an equal share of the shuffled negatives and all positives each.
 
-    Negatives beyond the last full bag are left out; positives are repeated per bag inside the row.
+    All negatives are dealt, so shares differ by one at most; with fewer negatives than bags some bags have none.
+    Positives are repeated per bag inside the row.
     """
     placed = hashed_position(rows.where(F.col(label) == 0), keys, seed, "_at", total="_negatives")
-    per_bag = F.nullif(F.floor(F.col("_negatives") / F.lit(bags)), F.lit(0))
-    dealt = placed.withColumn("bag", F.floor(F.col("_at") / per_bag)).where(F.col("bag") < bags)
+    dealt = placed.withColumn("bag", F.floor(F.col("_at") * F.lit(bags) / F.col("_negatives")))
     positives = rows.where(F.col(label) == 1).withColumn(
         "bag", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bags - 1).cast("long")))
     )

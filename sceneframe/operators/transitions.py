@@ -83,10 +83,12 @@ def gather_transitions(transitions: DataFrame, states: DataFrame, state: str, fe
     return transitions.join(pre, "pre").join(suc, "suc")
 
 
-def endpoints(transitions: DataFrame, number: str, interleaved: bool = False, total: Column | None = None) -> DataFrame:
+def endpoints(transitions: DataFrame, number: str, interleaved: bool = False, total: Column | None = None,
+              keep: list[str] = []) -> DataFrame:
     """Both ends of every transition in one order: all pre then all suc, or pre and suc alternating.
 
-    ``total`` is the number of transitions when the caller knows it; it is counted otherwise.
+    ``total`` is the number of transitions when the caller knows it; it is counted otherwise. ``keep`` names columns of the
+    transition that both ends carry, such as the video where state numbers restart in each video.
     """
     t = F.col(number)
     if interleaved:
@@ -94,6 +96,7 @@ def endpoints(transitions: DataFrame, number: str, interleaved: bool = False, to
     else:
         pre_at, suc_at = t, t + (total if total is not None else total_rows(transitions))
     return transitions.select(
+        *keep,
         F.inline(F.array(
             F.struct(pre_at.cast("long").alias("position"), F.col("pre").alias("state")),
             F.struct(suc_at.cast("long").alias("position"), F.col("suc").alias("state")),
@@ -111,15 +114,17 @@ def split_of(position: Column, n: Column) -> Column:
 
 
 def positional_split(placed: DataFrame, position: str = "position", states: Column | None = None,
-                     rows: Column | None = None) -> DataFrame:
-    """Add ``split``. Below 100 states every row is in all three splits.
+                     rows: Column | None = None, small_set: int | None = None) -> DataFrame:
+    """Add ``split``. ``rows`` is the number of rows when known, counted otherwise.
 
-    ``rows`` is the number of rows when known, counted otherwise. ``states`` counts the states when
-    ``placed`` holds endpoints; by default its rows.
+    With ``small_set`` every row is in all three splits when there are fewer states than that (``SMALL_SET`` is the usual
+    number). ``states`` counts the states when ``placed`` holds endpoints; by default its rows.
     """
     n = rows if rows is not None else total_rows(placed)
+    if small_set is None:
+        return placed.withColumn("_rows", n).withColumn("split", split_of(F.col(position), F.col("_rows"))).drop("_rows")
     counted = placed.withColumn("_rows", n).withColumn("_states", states if states is not None else F.col("_rows"))
-    names = F.when(F.col("_states") < SMALL_SET, F.array(F.lit("train"), F.lit("val"), F.lit("test"))).otherwise(
+    names = F.when(F.col("_states") < small_set, F.array(F.lit("train"), F.lit("val"), F.lit("test"))).otherwise(
         F.array(split_of(F.col(position), F.col("_rows")))
     )
     return counted.withColumn("split", F.explode(names)).drop("_rows", "_states")

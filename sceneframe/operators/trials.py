@@ -46,16 +46,16 @@ def drop_known(candidates: DataFrame, known: DataFrame, config: str = "config")
 
 def best_trial(trials: DataFrame, eval: str = "eval", order: str = "trial", keep: list[str] = ["config"]) -> DataFrame:
     """The trial with the smallest evaluation; the earliest one on a tie."""
-    best = trials.agg(F.min_by(F.struct(eval, order, *keep), F.struct(eval, order)).alias("_b"))
+    best = trials.where(F.col(eval).isNotNull()).agg(F.min_by(F.struct(eval, order, *keep), F.struct(eval, order)).alias("_b"))
     return best.select("_b.*")
 
 
 def run_trials(configs: DataFrame, task: Callable[[dict], float], key: str, config: str = "config",
                skip: tuple[type[Exception], ...] = (ValueError, MemoryError), repeats: int = 1,
                partitions: int | None = None) -> DataFrame:
-    """Evaluate every configuration with the user's ``task`` in parallel: ``(key, repeat, eval)``.
+    """Evaluate every configuration with the user's ``task`` in parallel: ``(key, repeat, eval, error)``.
 
-    Configurations that raise one of ``skip`` give no row. Trials are spread over tasks by key, so
+    Configurations that raise one of ``skip`` have a null ``eval`` and the ``error`` as text; others end the job. Trials are spread over tasks by key, so
     each executor evaluates its own share.
     """
     key_type = dict(configs.dtypes)[key]
@@ -67,12 +67,12 @@ def run_trials(configs: DataFrame, task: Callable[[dict], float], key: str, conf
             done = []
             for trial, settings, repeat in batch[[key, config, "repeat"]].itertuples(index=False):
                 try:
-                    done.append((trial, repeat, float(task(dict(settings)))))
-                except skip:
-                    continue
-            yield pd.DataFrame(done, columns=[key, "repeat", "eval"])
+                    done.append((trial, repeat, float(task(dict(settings))), None))
+                except skip as failure:
+                    done.append((trial, repeat, None, f"{type(failure).__name__}: {failure}"))
+            yield pd.DataFrame(done, columns=[key, "repeat", "eval", "error"])
 
-    return spread.mapInPandas(evaluate, f"{key} {key_type}, repeat int, eval double")
+    return spread.mapInPandas(evaluate, f"{key} {key_type}, repeat int, eval double, error string")
 
 
 def with_defaults(config: Column, defaults: dict[str, str]) -> Column:

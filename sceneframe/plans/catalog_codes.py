@@ -491,12 +491,27 @@ def _metric_report_noise(spark, sf):
 
 # ---- noise and shuffles
 
+def _u(seed: int) -> str:
+    """SQL of the uniform number of a pixel."""
+    return f"({h60("img || '|' || y || '|' || x", seed)} >> 7)::double / 9007199254740992.0::double"
+
+
+NOISE_SQL = {
+    "noise_gaussian": f"least(greatest(s + 0.3::double * sqrt(-2.0::double * ln(1.0::double - {_u(8)})) * cos(2.0::double * pi() * {_u(9)}), 0.0), 1.0)",
+    "noise_salt": f"case when {_u(4)} < 0.06::double then 1.0::double else s end",
+    "noise_pepper": f"case when {_u(4)} < 0.06::double then 0.0::double else s end",
+    "noise_flip": f"case when {_u(4)} < 0.06::double then 1.0::double - s else s end",
+}
+
+
 def _noise(name, fn):
-    @query(name)
+    @query(name, f"with {V.PIXELS}, p as (select img, y, x, 1.0::double / (1.0::double + exp(-v::double)) as s from pixels) "
+                 f"select img, y, x, round({NOISE_SQL[name]}, 9) + 0.0 as v from p")
     def run(spark, sf):
         p = V.pixels(spark, sf)
         value = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("v")))
-        return p.select("img", "y", "x", fn(value, F.col("img"), F.col("y"), F.col("x"), seed=4).alias("v"))
+        noisy = fn(value, F.col("img"), F.col("y"), F.col("x"), seed=4)
+        return p.select("img", "y", "x", (F.round(noisy, 9) + 0.0).alias("v"))
 
 
 for _name, _fn in {"noise_gaussian": X.noise_gaussian, "noise_salt": X.noise_salt,

@@ -376,6 +376,23 @@ def _plateau(spark, sf):
     return K.plateau_stop(V.epoch_log(spark, sf), "run", "epoch", "val_loss", 0.6, start=30, chunk=40)
 
 
+SPARSE_LOG = """epoch_log as (select event_id // 200 as run, 50 + 5 * (event_id % 200) as epoch, value/500 as val_loss from events where event_id % 3 <> 0)"""
+
+
+def _sparse_log(spark, sf):
+    return V.table(spark, sf, "events").where("event_id % 3 <> 0").select(
+        F.floor(F.col("event_id") / 200).alias("run"), (50 + 5 * (F.col("event_id") % 200)).alias("epoch"), (F.col("value") / 500).alias("val_loss"))
+
+
+for _chunk in (40, 1000):
+    @query(f"high_value_stop_sparse_{_chunk}", f"""with {SPARSE_LOG}, w as (select run, epoch, quantile_cont(val_loss, 0.5) {FRAME20} as med,
+      row_number() over (partition by run order by epoch) as n from epoch_log)
+    select run, min(case when n > 20 and med >= 0.2 then epoch end) as stop_epoch from w group by run""")
+    def _high_sparse(spark, sf, chunk=_chunk):
+        """A log with gaps whose runs start late; the chunk must not matter."""
+        return K.high_value_stop(_sparse_log(spark, sf), "run", "epoch", "val_loss", chunk=chunk)
+
+
 @query("gradient_stop", curve_oracle("(newest - oldest) / 20 >= 0.005"))
 def _gradient(spark, sf):
     return K.gradient_stop(V.epoch_log(spark, sf), "run", "epoch", "val_loss", 0.005, chunk=64)
@@ -464,12 +481,22 @@ def _vote(spark, sf):
 
 
 @query("assign_bags", f"""with {LABELLED}, n as (select doc_id, label, row_number() over (order by {h60('doc_id', 11)}, doc_id) - 1 as place from labelled where label = 0),
-d as (select doc_id, label, place // ((select count(*) from n) // 4) as bag from n)
-select doc_id, label, bag from d where bag < 4 union all select doc_id, label, b from labelled, range(4) t(b) where label = 1""")
+d as (select doc_id, label, place * 4 // (select count(*) from n) as bag from n)
+select doc_id, label, bag from d union all select doc_id, label, b from labelled, range(4) t(b) where label = 1""")
 def _bags(spark, sf):
     return SA.assign_bags(_labelled(spark, sf).select("doc_id", "label"), ["doc_id"], "label", 4, 11)
 
 
+@query("assign_bags_sparse", """with n as (select r_regionkey as id, row_number() over (order by ('0x' || substr(md5(r_regionkey || '|11'), 1, 15))::BIGINT, r_regionkey) - 1 as place
+  from region where r_regionkey >= 3)
+select id, 0 as label, place * 4 // (select count(*) from n) as bag from n
+union all select r_regionkey, 1, b from region, range(4) t(b) where r_regionkey < 3""")
+def _bags_sparse(spark, sf):
+    """More bags than negatives."""
+    rows = V.table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), (F.col("r_regionkey") < 3).cast("int").alias("label"))
+    return SA.assign_bags(rows, ["id"], "label", 4, 11)
+
+
 # ---- trials
 
 @query("best_trial", f"""with {V.TRIALS} select eval, trial, u || ',' || a || ',' || p as config from trials order by eval, trial limit 1""")
@@ -514,8 +541,10 @@ def _distance_task(config: dict) -> float:
     return (size - 20) ** 2 + len(config["a"])
 
 
-@query("run_trials", f"""with {V.TRIALS} select trial, r::int as repeat, ((cast(p as int) - 20) * (cast(p as int) - 20) + length(a))::double as eval
-from trials, range(2) t(r) where cast(p as int) % 7 <> 0""")
+@query("run_trials", f"""with {V.TRIALS} select trial, r::int as repeat,
+  case when cast(p as int) % 7 <> 0 then ((cast(p as int) - 20) * (cast(p as int) - 20) + length(a))::double end as eval,
+  case when cast(p as int) % 7 = 0 then 'ValueError: invalid size' end as error
+from trials, range(2) t(r)""")
 def _run_trials(spark, sf):
     return TR.run_trials(V.trials(spark, sf), _distance_task, "trial", repeats=2)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from sceneframe.functions import boxes as B
 from sceneframe.functions import text as T
@@ -563,7 +563,22 @@ def _video_slots(spark, sf):
 @query("video_splits", f"""with {V.FRAMES}, f as (select video_id, fid from frames where has_jpg),
 t as (select * from (select video_id, fid as pre, lead(fid) over (partition by video_id order by fid) as suc from f) where suc is not null),
 g as (select *, row_number() over (order by video_id, pre) - 1 as number from t), c as (select count(*) as t, 2 * count(*) as n from g),
-e as (select number as position, pre as state from g union all select number + t, suc from g, c)
-select position, state, {SPLIT_END} from e, c""")
+e as (select video_id, number as position, pre as state from g union all select video_id, number + t, suc from g, c)
+select video_id, position, state, {SPLIT_END} from e, c""")
 def _video_splits(spark, sf):
     return D.video_splits(V.frames(spark, sf).where("has_jpg").select("video_id", "fid"))
+
+
+RESTARTING = f"""{V.FRAMES}, f as (select video_id, row_number() over (partition by video_id order by fid) - 1 as fid from frames where has_jpg)"""
+
+
+@query("video_splits_restarting", f"""with {RESTARTING},
+t as (select * from (select video_id, fid as pre, lead(fid) over (partition by video_id order by fid) as suc from f) where suc is not null),
+g as (select *, row_number() over (order by video_id, pre) - 1 as number from t), c as (select count(*) as t, 2 * count(*) as n from g),
+e as (select video_id, number as position, pre as state from g union all select video_id, number + t, suc from g, c)
+select video_id, position, state, {SPLIT_END} from e, c""")
+def _video_splits_restarting(spark, sf):
+    """Frame numbers start at 0 in every video."""
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("fid")) - 1
+    frames = V.frames(spark, sf).where("has_jpg").select("video_id", place.alias("fid"))
+    return D.video_splits(frames)

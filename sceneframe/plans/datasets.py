@@ -37,18 +37,25 @@ def video_slots(detections: DataFrame, subjects: DataFrame, frames: DataFrame |
     return scene_slots(named, state, "name", order, unique, k)
 
 
-def video_splits(frames: DataFrame, video: str = "video_id", fid: str = "fid") -> DataFrame:
-    """Endpoints ``(video, state, split)`` of the sequential transitions: all pre, then all suc, cut by position.
+def video_splits(frames: DataFrame, video: str = "video_id", fid: str = "fid", small_set: int | None = None) -> DataFrame:
+    """Endpoints ``(video, position, state, split)`` of the sequential transitions: all pre, then all suc, cut by position.
 
-    ``frames`` are the loaded frames; with fewer than 100 of them every endpoint is in all splits.
+    ``frames`` are the loaded frames; frame numbers may restart in every video. With ``small_set`` every endpoint is in all
+    splits when there are fewer frames than that.
     """
     pairs = sequential_in_group(frames, video, fid)
     placed = natural_position(pairs, [video, "pre"], "number")
     count = total_rows(placed)
-    return positional_split(endpoints(placed, "number", total=count), states=total_rows(frames), rows=count * 2)
+    ends = endpoints(placed, "number", total=count, keep=[video])
+    return positional_split(ends, states=total_rows(frames), rows=count * 2, small_set=small_set)
 
 
-def write_splits(slots: DataFrame, splits: DataFrame, state: str, path: str) -> None:
-    """Slot features of every split as Parquet, one folder per split."""
-    members = splits.select(F.col("state").alias(state), "position", "split")
-    slots.join(members, state).write.mode("overwrite").partitionBy("split").parquet(path)
+def write_splits(slots: DataFrame, splits: DataFrame, keys: list[str], path: str) -> None:
+    """Slot features of every split as Parquet, one folder per split.
+
+    ``keys`` are the columns of ``slots`` that identify a state, the frame or state number last; those before it, such as
+    the video, are columns of ``splits`` too.
+    """
+    *group, state = keys
+    members = splits.select(*group, F.col("state").alias(state), "position", "split")
+    slots.join(members, keys).write.mode("overwrite").partitionBy("split").parquet(path)

@@ -80,12 +80,16 @@ def video_subjects(docs: DataFrame) -> DataFrame:
 
 def read_labeled_images(spark: SparkSession, path: str, max_images: int | None = None,
                         skip_empty: bool = True, multi_line: bool = True) -> DataFrame:
-    """Labelled images in source order (``ord``); the cut to ``max_images`` comes before dropping empty ones."""
+    """Labelled images in source order (``ord``); the cut to ``max_images`` comes before dropping empty ones.
+
+    Files count in the order of their names, whatever order they are packed into tasks.
+    """
     images = spark.read.schema(IMAGE_SCHEMA).option("multiLine", multi_line).json(path).withColumn(
         "ord", F.monotonically_increasing_id()
     )
     if max_images is not None:
-        images = images.orderBy("ord").limit(max_images)
+        place = ["_metadata.file_path", "_metadata.file_block_start", "ord"]
+        images = images.select("*", F.struct(*place).alias("_place")).orderBy("_place").limit(max_images).drop("_place")
     return without_empty(images) if skip_empty else images
 
 

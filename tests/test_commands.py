@@ -49,6 +49,27 @@ def test_extract_writes_every_table(spark, tmp_path):
 def test_splits_are_written_by_folder(spark, tmp_path):
     slots = spark.range(150).select(F.col("id").alias("state_id"), F.lit(0).alias("slot"))
     frames = spark.range(150).select(F.lit("v").alias("video_id"), F.col("id").alias("fid"))
-    D.write_splits(slots, D.video_splits(frames), "state_id", str(tmp_path / "s"))
+    slots = slots.withColumn("video_id", F.lit("v"))
+    D.write_splits(slots, D.video_splits(frames), ["video_id", "state_id"], str(tmp_path / "s"))
     got = {r.split: r["count"] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("split").count().collect()}
     assert got == {"train": 268, "val": 15, "test": 15}
+
+
+def test_frame_numbers_may_restart_in_every_video(spark, tmp_path):
+    frames = spark.range(120).select((F.col("id") % 2).cast("string").alias("video_id"), F.floor(F.col("id") / 2).alias("fid"))
+    splits = D.video_splits(frames)
+    slots = frames.withColumn("slot", F.lit(0))
+    D.write_splits(slots, splits, ["video_id", "fid"], str(tmp_path / "s"))
+    assert splits.count() == 2 * 2 * 59 and spark.read.parquet(str(tmp_path / "s")).count() == 236
+
+
+def test_small_sets_are_in_all_splits_only_when_asked(spark):
+    frames = spark.range(20).select(F.lit("v").alias("video_id"), F.col("id").alias("fid"))
+    assert D.video_splits(frames).count() == 38 and D.video_splits(frames, small_set=100).count() == 3 * 38
+
+
+def test_first_images_follow_the_file_names(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"image": "a0", "objects": []}]))
+    (tmp_path / "b.json").write_text(json.dumps([{"image": f"b{i}", "objects": []} for i in range(50)]))
+    got = AN.read_labeled_images(spark, str(tmp_path), max_images=2, skip_empty=False)
+    assert sorted(r.image for r in got.collect()) == ["a0", "b0"]

@@ -19,6 +19,7 @@ from sceneframe.operators import transitions as R
 from sceneframe.operators import trials as TR
 from sceneframe.operators import usage as U
 from sceneframe.plans.scenes import scene_slots
+from sceneframe.sources import trials as TL
 
 
 def one(spark, column):
@@ -146,6 +147,14 @@ def test_flat_curve_stops_at_the_21st_epoch(spark, chunk):
     assert K.high_value_stop(flat_curve(spark, 30), "run", "epoch", "loss", start=25, chunk=chunk).first().stop_epoch == 25
 
 
+def test_stops_count_observations_whatever_the_chunk(spark):
+    # every fifth epoch from 50 on: the 21st observation is at epoch 150
+    log = spark.range(30).select(F.lit("r").alias("run"), (50 + 5 * F.col("id")).alias("epoch"), F.lit(0.5).alias("loss"))
+    for chunk in (3, 40, 100_000):
+        assert K.plateau_stop(log, "run", "epoch", "loss", chunk=chunk).first().stop_epoch == 150
+        assert K.plateau_stop(log.where("epoch < 65"), "run", "epoch", "loss", chunk=chunk).first().stop_epoch is None
+
+
 def test_schedules(spark):
     at = lambda f, e: one(spark, f(F.lit(e), {5: 1.0, 10: 3.0}))
     assert [at(K.step_schedule, e) for e in (0, 5, 9, 10)] == [1.0, 1.0, 1.0, 3.0]
@@ -182,7 +191,7 @@ def test_primary_tie_goes_to_the_larger_area_then_to_the_first(spark):
 def test_small_sets_are_in_all_splits(spark):
     for n, expected in ((99, {"train": 99, "val": 99, "test": 99}), (100, {"train": 90, "val": 5, "test": 5})):
         placed = spark.range(n).withColumnRenamed("id", "position")
-        got = {r.split: r["count"] for r in R.positional_split(placed).groupBy("split").count().collect()}
+        got = {r.split: r["count"] for r in R.positional_split(placed, small_set=R.SMALL_SET).groupBy("split").count().collect()}
         assert got == expected
 
 
@@ -205,6 +214,17 @@ def test_job_log(spark):
     assert (r.request_seconds, r.request_mb, r.request_gb) == (118800, 16384, 16)
 
 
+def test_odd_job_log_rows(spark):
+    jobs = spark.createDataFrame([("05:30", "1G"), ("40", "xG"), ("soon", "2G"), ("1:2:3:4", "1G")], "elapsed string, max_rss string")
+    assert P.run_sizing_from_history(jobs).first().max_seconds == 330
+
+
+def test_trial_log_keeps_nan_and_reports_what_it_cannot_read(spark):
+    lines = spark.createDataFrame([('[0.5, {"a": "x"}, {}]',), ('[NaN, {"a": "y"}, {}]',), ("[oops",)], "value string")
+    got = {(r.config or {}).get("a"): r for r in TL.parse_trial_lines(lines).collect()}
+    assert got["x"].eval == 0.5 and got["y"].eval != got["y"].eval and got[None].malformed == "[oops"
+
+
 def test_manifest_guard_raises(spark):
     m = spark.createDataFrame([("dog",)], "category_filter string")
     assert P.manifest_guard(m, "dog").count() == 1
@@ -237,18 +257,21 @@ def test_positions_are_dense_with_a_hot_key(spark):
     assert sorted(r.position for r in hashed.select("position").collect()) == list(range(1000))
 
 
-def test_large_sample_equals_small_path(spark, monkeypatch):
+def test_sample_is_the_start_of_the_hash_order(spark):
     df = spark.range(500)
-    small = rows(SA.sample_rows(df, ["id"], 40, 5))
-    monkeypatch.setattr(SA, "TOP_LIMIT", 10)
-    assert rows(SA.sample_rows(df, ["id"], 40, 5)) == small and len(small) == 40
+    first = df.orderBy(O.stable_hash("id", seed=5), "id").limit(40)
+    assert rows(SA.sample_rows(df, ["id"], 40, 5)) == rows(first)
     assert len(rows(SA.sample_rows(df, ["id"], 900, 5))) == 500
 
 
-def test_bags_drop_the_remainder(spark):
-    r = spark.range(13).select("id", F.when(F.col("id") < 3, 1).otherwise(0).alias("label"))
-    bags = SA.assign_bags(r, ["id"], "label", 3, 1)
-    assert rows(bags.groupBy("bag", "label").count()) == [(b, l, 3) for b in range(3) for l in (0, 1)]
+@pytest.mark.parametrize("negatives, bags", [(10, 3), (2, 4), (4, 4), (0, 2)])
+def test_bags_hold_every_negative_once(spark, negatives, bags):
+    r = spark.range(negatives + 3).select("id", F.when(F.col("id") < 3, 1).otherwise(0).alias("label"))
+    dealt = SA.assign_bags(r, ["id"], "label", bags, 1)
+    sizes = {b: n for b, n in rows(dealt.where("label = 0").groupBy("bag").count())}
+    assert sum(sizes.values()) == negatives and all(0 <= b < bags for b in sizes)
+    assert max(sizes.values(), default=0) - min((sizes.get(b, 0) for b in range(bags))) <= 1
+    assert dealt.where("label = 1").count() == 3 * bags
 
 
 def test_trials_skip_failures_and_reraise_others(spark):
@@ -259,7 +282,9 @@ def test_trials_skip_failures_and_reraise_others(spark):
             raise ValueError("invalid")
         return float(config["x"])
 
-    assert rows(TR.run_trials(c, task, "trial")) == [(0, 0, 0.0), (1, 0, 1.0), (3, 0, 3.0)]
+    done = TR.run_trials(c, task, "trial")
+    assert rows(done) == [(0, 0, 0.0, None), (1, 0, 1.0, None), (2, 0, None, "ValueError: invalid"), (3, 0, 3.0, None)]
+    assert TR.best_trial(done, order="trial", keep=["repeat"]).first().trial == 0
     with pytest.raises(Exception, match="boom"):
         def broken(config):
             raise RuntimeError("boom")
