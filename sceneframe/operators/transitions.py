@@ -55,27 +55,6 @@ def pair_counts(states: DataFrame, group: str) -> DataFrame:
     )
 
 
-def all_pairs(positions: DataFrame, state: str, first: int, last: int, position: str = "position") -> DataFrame:
-    """Pairs ``first .. last-1`` of the ordered list of all pairs of different states.
-
-    The list has N(N-1) entries; entry ``k`` pairs state ``k div (N-1)`` with the ``k mod (N-1)``-th of
-    the others. Any slice is computed from its numbers with two equi joins, so nothing is crossed and
-    the numbers are spread evenly; the whole range gives every pair.
-    """
-    spark = positions.sparkSession
-    others = total_rows(positions) - 1
-    numbered = (
-        spark.range(first, last).withColumnRenamed("id", "pair")
-        .withColumn("_others", others)
-        .withColumn("_pre", F.floor(F.col("pair") / F.col("_others")))
-        .withColumn("_rest", F.col("pair") % F.col("_others"))
-        .withColumn("_suc", F.col("_rest") + (F.col("_rest") >= F.col("_pre")).cast("int"))
-    )
-    pre = positions.select(F.col(position).alias("_pre"), F.col(state).alias("pre"))
-    suc = positions.select(F.col(position).alias("_suc"), F.col(state).alias("suc"))
-    return numbered.join(pre, "_pre").join(suc, "_suc").select("pair", "pre", "suc")
-
-
 def gather_transitions(transitions: DataFrame, states: DataFrame, state: str, features: list[str]) -> DataFrame:
     """Features of both ends of each transition, prefixed ``pre_`` and ``suc_``."""
     pre = states.select(F.col(state).alias("pre"), *[F.col(f).alias(f"pre_{f}") for f in features])

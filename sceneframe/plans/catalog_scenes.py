@@ -228,21 +228,21 @@ def _pad_slots(spark, sf):
 
 
 @query("skip_empty", """select conv_id as image, cast(turn as bigint) as turn, len(ws) as objects from (
-  select conv_id, turn, [w for w in string_split(text, ' ') if length(w) > 12] as ws from conversations) where len(ws) > 0""")
+  select conv_id, turn, [w for w in string_split(text, ' ') if w <> ''] as ws from conversations) where len(ws) > 0""")
 def _skip_empty(spark, sf):
     images = V.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("image"), "turn",
-        F.filter(F.split("text", " ", -1), lambda w: F.char_length(w) > 12).alias("objects"))
+        F.filter(F.split("text", " ", -1), lambda w: w != "").alias("objects"))
     return S.skip_empty(images).select("image", "turn", F.size("objects").cast("long").alias("objects"))
 
 
 @query("drop_empty_frames", """select conv_id as video_id, turn as fid, cast(i as int) as pos, ws[i+1] as word from (
-  select conv_id, turn, [w for w in string_split(text, ' ') if length(w) > 12] as ws from conversations),
+  select conv_id, turn, [w for w in string_split(text, ' ') if w <> ''] as ws from conversations),
   lateral (select unnest(range(len(ws))) as i) t""")
 def _drop_empty_frames(spark, sf):
     images = V.table(spark, sf, "conversations").select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("fid"),
-        F.filter(F.split("text", " ", -1), lambda w: F.char_length(w) > 12).alias("objects"))
+        F.filter(F.split("text", " ", -1), lambda w: w != "").alias("objects"))
     return S.explode_subset(images, "objects", "pos", "word")
 
 
@@ -307,13 +307,13 @@ def _viability_total(spark, sf):
 
 
 @query("annotation_metrics", """with w as (
-  select conv_id, turn, [w for w in string_split(text, ' ') if length(w) > 12] as ws from conversations)
+  select conv_id, turn, [w for w in string_split(text, ' ') if w <> ''] as ws from conversations)
 select 'images' as metric, '' as item, count(*) as value from w
 union all select 'objects', '', cast(sum(len(ws)) as bigint) from w
 union all select 'objects_per_image', cast(len(ws) as varchar), count(*) from w group by len(ws)
 union all select 'label', u, count(*) from (select unnest(ws) as u from w) group by u""")
 def _annotation_metrics(spark, sf):
-    words = F.filter(F.split("text", " ", -1), lambda w: F.char_length(w) > 12)
+    words = F.filter(F.split("text", " ", -1), lambda w: w != "")
     images = V.table(spark, sf, "conversations").select(F.transform(words, lambda w: F.struct(w.alias("class"))).alias("objects"))
     return P.annotation_metrics(images)
 
@@ -404,10 +404,10 @@ def _sequential_global(spark, sf):
     return R.sequential_global(V.table(spark, sf, "orders"), "o_orderkey", ["o_orderdate", "o_orderkey"])
 
 
-@query("all_pairs", f"""with {V.FRAMES}
+@query("pair_counts", f"""with {V.FRAMES}
 select a.video_id, count(distinct a.fid) as states, count(*) as pairs
 from frames a join frames b on a.video_id = b.video_id and a.fid <> b.fid group by a.video_id""")
-def _all_pairs(spark, sf):
+def _pair_counts(spark, sf):
     return R.pair_counts(V.frames(spark, sf), "video_id").where("pairs > 0")
 
 

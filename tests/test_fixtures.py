@@ -242,13 +242,6 @@ def test_balance_and_calibration_guards(spark):
         SA.calibrate_scores(r.where("label = 0"), "score", "label").collect()
 
 
-def test_all_pairs_slices_cover_every_ordered_pair(spark):
-    placed = spark.range(7).select(F.col("id").alias("position"), (F.col("id") + 100).alias("s"))
-    got = rows(R.all_pairs(placed, "s", 0, 20).unionByName(R.all_pairs(placed, "s", 20, 42)))
-    want = [(i, j) for i in range(100, 107) for j in range(100, 107) if i != j]
-    assert [(p, s) for _, p, s in sorted(got)] == want
-
-
 def test_positions_are_dense_with_a_hot_key(spark):
     hot = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 9).alias("k"), F.col("id"))
     placed = O.natural_position(hot, ["k", "id"], partitions=7).orderBy("k", "id").collect()
