@@ -8,8 +8,10 @@ and not all pairs; it does so without losing a link:
    that links must share at least ``s - g`` of its ``s`` sampled shingles, ``g`` being what a partner may lack. All others
    are done. Equal sets become one set.
 2. Index lists. Among the sets left, shingles are ranked by the number of sets that hold them, again through blocks. A
-   set's prefix of ``n - ceil(3n/4) + 1`` rarest shingles meets that of every partner. Lists keep set size and position, and
-   blocks of a list (by size class) are skipped when the least position in them leaves too little overlap.
+   set's prefix of ``n - ceil(3n/4) + 1`` rarest shingles meets that of every partner. Lists keep set size, position and a
+   bitmap of the whole set. A list is two blocks by position: up to ``n/7`` and beyond. The smaller set of a pair can only
+   be met in the first, so the second is skipped for it; what differs in two bitmaps differs in the sets, so pairs with too
+   many different bits are skipped too.
 3. Answers from similar sets. The sets of a list are first held against one leader; a set that links to it takes over the
    leader's class and is never probed against that class again. Rounds repeat while they find links. The last round probes
    the lists for pairs of different classes only, so its candidates hold every link that can still join two classes.
@@ -41,6 +43,7 @@ SHINGLE = 5
 SAMPLED = 0.4  # part of the hash range that the first filter looks at
 BLOCK_BYTES = 8 << 20
 BUCKET_ENTRIES = 1 << 20
+BITMAP_WORDS = 16  # 64-bit words of a set's bitmap
 SAMPLE_LIMIT = np.uint64(int(SAMPLED * 2**64))
 
 
@@ -180,6 +183,23 @@ def profiles(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
         decide, "doc long, tie long, n long, d1 long, d2 long, shingles binary"), "profiles")
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each bit: two bitmaps differ in no more bits than their sets in tokens."""
+    at = (_mixed(tokens ^ np.uint64(0x5555555555555555)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * BITMAP_WORDS).astype(np.uint8) & 1).view(np.int64)
+
+
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """``id, bits`` of every set."""
+
+    def build(batches):
+        for batch in batches:
+            bits = [bitmap(np.frombuffer(x, "<u8")).tolist() for x in batch.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "bits": pa.array(bits, pa.list_(pa.int64()))})
+
+    return sets.select("id", "shingles").mapInArrow(build, "id long, bits array<long>")
+
+
 def index_lists(sets: DataFrame) -> DataFrame:
     """``token, id, n, at``: the prefix of every set (id, n, shingles), rarest first, without shingles that one set holds."""
     spark = sets.sparkSession
@@ -242,27 +262,18 @@ def _leader_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
     return best.select("v.a", "b", "v.la", "lb")
 
 
-def _cross_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """All candidates between different classes; list blocks that cannot reach the overlap are skipped whole."""
-    size_class = F.floor(F.log(F.col("n")) / math.log(4 / 3)).cast("int")  # linked sets are at most one class apart
-    entries = index.join(labels, "id").withColumn("size", size_class)
+def _cross_pairs(index: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """All candidates between different classes."""
+    entries = index.join(labels, "id")
     mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    entries = written(entries.join(mixed, "token"), "mixed-lists")
-    block = entries.groupBy("token", "label", "size").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("at").alias("first"))
-    one = block.select("token", *[F.col(c).alias(f"{c}_1") for c in ("label", "size", "least", "most", "first")])
-    two = block.select("token", *[F.col(c).alias(f"{c}_2") for c in ("label", "size", "least", "most", "first")])
-    reach = 7 * F.least(F.col("most_1") - F.col("first_1"), F.col("most_2") - F.col("first_2")) >= 3 * (F.col("least_1") + F.col("least_2"))
-    near = 4 * F.least("most_1", "most_2") >= 3 * F.greatest("least_1", "least_2")
-    meet = one.join(two, "token").filter((F.col("label_1") < F.col("label_2")) & (F.abs(F.col("size_1") - F.col("size_2")) <= 1) & reach & near)
-    meet = meet.select("token", "label_1", "size_1", "label_2", "size_2")
-    side = lambda k: entries.select(
-        "token", F.col("label").alias(f"label_{k}"), F.col("size").alias(f"size_{k}"), F.col("id").alias(f"id_{k}"),
-        F.col("n").alias(f"n_{k}"), F.col("at").alias(f"at_{k}"))
-    pairs = (
-        meet.join(side(1), ["token", "label_1", "size_1"]).join(side(2), ["token", "label_2", "size_2"])
-        .filter(can_link(F.col("n_1"), F.col("at_1"), F.col("n_2"), F.col("at_2")))
-    )
+    entries = written(entries.join(mixed, "token").join(bitmaps(sets), "id"), "mixed-lists")
+    side = lambda rows, k: rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "at", "label", "bits")])
+    smaller = (F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("id_1") < F.col("id_2")))
+    different = sum((F.bit_count(F.col("bits_1")[w].bitwiseXOR(F.col("bits_2")[w])) for w in range(BITMAP_WORDS)), F.lit(0))
+    # the sets differ in n1 + n2 - 2 * overlap tokens
+    close = 7 * different <= F.col("n_1") + F.col("n_2")
+    pairs = side(entries.filter("7 * at <= n"), 1).join(side(entries, 2), "token").filter(
+        (F.col("label_1") != F.col("label_2")) & smaller & can_link(F.col("n_1"), F.col("at_1"), F.col("n_2"), F.col("at_2")) & close)
     return pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"), F.col("label_1").alias("la"), F.col("label_2").alias("lb")).distinct()
 
 
@@ -275,7 +286,7 @@ def linked_sets(sets: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         labels = merged_labels(labels, links)
-    return merged_labels(labels, verified(_cross_pairs(index, labels), sets))
+    return merged_labels(labels, verified(_cross_pairs(index, labels, sets), sets))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
