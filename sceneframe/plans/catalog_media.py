@@ -25,6 +25,7 @@ from sceneframe.plans.catalog_scenes import h60
 from sceneframe.plans.registry import query
 from sceneframe.operators import atoms as L
 from sceneframe.session import scratch_path
+from sceneframe.plans import datasets as DS
 from sceneframe.sources import annotations as AN
 from sceneframe.sources import sinks as SK
 from sceneframe.sources import trials as TL
@@ -100,6 +101,32 @@ def _read_videos(spark, sf):
     return AN.video_detections(docs).select("video_id", "fid", "pos", "tid", "name", "xmin", "ymin", "xmax", "ymax")
 
 
+def _read_docs(spark, sf):
+    path = scratch_path(spark, "videos")
+    _docs(spark, sf).write.json(path)
+    return AN.read_video_annotations(spark, path, multi_line=False)
+
+
+@query("annotation_slots", f"""with {DOCS}, r as (select *, row_number() over (partition by video_id, fid
+    order by (xmax - xmin) * (ymax - ymin) desc, pos) - 1 as slot, count(*) over (partition by video_id, fid) as n from objs)
+select printf('%s/%06d', video_id, fid) as state_id, cast(slot as int) as slot, coalesce(category, 'obj' || tid) as name, false as is_pad from r where slot < 10
+union all select distinct printf('%s/%06d', video_id, fid), cast(i as int), 'pad_' || i, true from r, range(10) t(i) where i >= n""")
+def _annotation_slots(spark, sf):
+    """Files to slots; frame numbers restart in every video."""
+    return DS.annotation_slots(_read_docs(spark, sf)).select("state_id", "slot", "name", "is_pad")
+
+
+@query("annotation_splits", f"""with {DOCS}, f as (select distinct video_id, fid from objs),
+t as (select * from (select video_id, fid as pre, lead(fid) over (partition by video_id order by fid) as suc from f) where suc is not null),
+g as (select *, row_number() over (order by video_id, pre) - 1 as number from t), c as (select count(*) as t, 2 * count(*) as n from g),
+e as (select video_id, number as position, pre as state from g union all select video_id, number + t, suc from g, c)
+select video_id, position, state, printf('%s/%06d', video_id, state) as state_id, case when position < floor(n * 0.9::double) then 'train'
+   when position < floor(n * 0.95::double) then 'val' else 'test' end as split from e, c""")
+def _annotation_splits(spark, sf):
+    """Files to transitions and splits, joined on video and frame."""
+    return DS.annotation_splits(_read_docs(spark, sf))
+
+
 @query("read_labeled_images", """select printf('img%d.jpg', vec_id) as image, cast(k as int) as pos, 'c' || ((label + k) % 5) as class,
    round(embedding[k*4+1]::double, 5) as xmin, round(embedding[k*4+4]::double, 5) as ymax
 from embeddings, range(16) t(k) where k < vec_id % 5""")

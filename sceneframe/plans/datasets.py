@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sceneframe.functions.boxes import MAX_OBJECTS
+from sceneframe.functions.text import frame_key
 from sceneframe.operators.profile import category_filter, primary_category
 from sceneframe.operators.slots import frames_present, name_objects, subject_categories
 from sceneframe.operators.transitions import endpoints, positional_split, sequential_in_group
 from sceneframe.operators.ordering import natural_position, total_rows
 from sceneframe.plans.scenes import scene_slots
+from sceneframe.sources.annotations import video_detections
 
 
 def loaded_detections(detections: DataFrame, subjects: DataFrame, frames: DataFrame | None = None,
@@ -50,6 +52,17 @@ def video_splits(frames: DataFrame, video: str = "video_id", fid: str = "fid", s
     return positional_split(ends, states=total_rows(frames), rows=count * 2, small_set=small_set)
 
 
+def annotation_slots(docs: DataFrame, k: int = MAX_OBJECTS) -> DataFrame:
+    """Slots of every frame of annotation documents; names may repeat in a frame."""
+    return scene_slots(video_detections(docs), "state_id", "name", ["pos"], False, k)
+
+
+def annotation_splits(docs: DataFrame, small_set: int | None = None) -> DataFrame:
+    """Endpoints of the sequential transitions between the frames with objects, with their ``state_id``."""
+    frames = video_detections(docs).select("video_id", "fid").distinct()
+    return video_splits(frames, small_set=small_set).withColumn("state_id", frame_key(F.col("video_id"), F.col("state")))
+
+
 def write_splits(slots: DataFrame, splits: DataFrame, keys: list[str], path: str) -> None:
     """Slot features of every split as Parquet, one folder per split.
 

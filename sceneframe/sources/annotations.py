@@ -10,11 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sceneframe.functions.arrays import exploded
 from sceneframe.functions.boxes import normalized_to_corners
-from sceneframe.functions.text import parse_answer_objects, parse_frame_path
+from sceneframe.functions.text import frame_key, parse_answer_objects, parse_frame_path
 from sceneframe.operators.slots import skip_empty as without_empty
 
 # The input formats.
@@ -55,7 +55,9 @@ def read_video_annotations(spark: SparkSession, path: str, split: str | None = N
 
 
 def video_detections(docs: DataFrame) -> DataFrame:
-    """``(video_id, fid, pos, tid, category, name, box, size)``: one row per object of a frame.
+    """``(state_id, video_id, fid, pos, tid, category, name, box, size)``: one row per object of a frame.
+
+    ``state_id`` is the frame key, which tells the frames of all videos apart.
 
     The subject list travels in the same document, so naming an object needs no join. The last
     subject with a track id wins and an unlisted track is called ``obj<tid>``.
@@ -66,6 +68,7 @@ def video_detections(docs: DataFrame) -> DataFrame:
     same = F.filter(F.coalesce("_subjects", F.array()), lambda s: s["tid"] == F.col("_o.tid"))
     category = F.try_element_at(same, F.lit(-1))["category"]
     return objects.select(
+        frame_key(F.col("video_id"), F.col("fid")).alias("state_id"),
         "video_id", "fid", "pos", F.col("_o.tid").alias("tid"), category.alias("category"),
         F.coalesce(category, F.concat(F.lit("obj"), F.col("_o.tid").cast("string"))).alias("name"),
         *[F.col(f"_o.bbox.{c}").alias(c) for c in ["xmin", "ymin", "xmax", "ymax"]], "width", "height",
@@ -93,12 +96,17 @@ def read_labeled_images(spark: SparkSession, path: str, max_images: int | None =
     return without_empty(images) if skip_empty else images
 
 
-def image_detections(images: DataFrame) -> DataFrame:
-    """``(image, pos, class, box)``: one row per labelled object."""
-    objects = exploded(images, "objects", "pos", "_o", ["image"])
+def image_detections(images: DataFrame, width: Column | int | None = None, height: Column | int | None = None) -> DataFrame:
+    """``(state_id, image, pos, class, category, box, size)``: one row per labelled object; the image is the state.
+
+    The format has no image size; pass a column of ``images`` or a number where slots are to follow.
+    """
+    size = {n: v if isinstance(v, Column) else F.lit(v).cast("int") for n, v in (("width", width), ("height", height))}
+    objects = exploded(images.withColumns({f"_{n}": v for n, v in size.items()}), "objects", "pos", "_o", ["image", "_width", "_height"])
     return objects.select(
-        "image", "pos", F.col("_o.class").alias("class"),
+        F.col("image").alias("state_id"), "image", "pos", F.col("_o.class").alias("class"), F.col("_o.class").alias("category"),
         *[F.col("_o.bbox")[i].alias(c) for i, c in enumerate(["xmin", "ymin", "xmax", "ymax"])],
+        F.col("_width").alias("width"), F.col("_height").alias("height"),
     )
 
 
