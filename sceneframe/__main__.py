@@ -27,12 +27,13 @@ def _print_all(report: DataFrame) -> None:
 
 def inspect(spark: SparkSession, args: argparse.Namespace) -> int:
     """Viability of every category, and of all videos together."""
-    _, detections, subjects = _videos(spark, args)
+    docs, detections, subjects = _videos(spark, args)
     frames = detections.select("video_id", "fid").distinct()
     if args.frames:
         frames = frames.join(AN.list_frames(spark, args.frames), ["video_id", "fid"], "left_semi")
     P.viability_total(frames, args.threshold).show()
-    report = P.viability(subjects, frames, args.threshold)
+    primaries = P.primary_category(detections, subject_categories(subjects), docs) if args.strict else None
+    report = P.viability(subjects, frames, args.threshold, primaries=primaries)
     if args.category:
         report = report.where(F.col("category") == args.category)
     _print_all(report.orderBy(F.col("listed_videos").desc(), "category"))
@@ -83,6 +84,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--json-lines", action="store_true")
         if name == "inspect":
             c.add_argument("--frames")
+            c.add_argument("--strict", action="store_true", help="count a video for its primary category only")
             c.add_argument("--threshold", type=int, default=P.VIABLE_TRANSITIONS)
         else:
             c.add_argument("--loose", action="store_true")

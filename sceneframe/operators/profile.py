@@ -65,13 +65,16 @@ def video_frame_counts(frames: DataFrame, video: str = "video_id") -> DataFrame:
 
 
 def viability(subjects: DataFrame, frames: DataFrame, threshold: int = VIABLE_TRANSITIONS,
-              video: str = "video_id", category: str = "category") -> DataFrame:
+              video: str = "video_id", category: str = "category", primaries: DataFrame | None = None) -> DataFrame:
     """Per category: listed videos, videos with frames, frames, transitions and the verdict.
 
-    Frames are counted once per video before they meet the categories.
+    A video counts for every category listed in it (loose), or with ``primaries`` (video, primary) for its primary one
+    only (strict). Frames are counted once per video before they meet the categories.
     """
     counts = video_frame_counts(frames, video)
     listed = subjects.select(video, category).distinct()
+    if primaries is not None:
+        listed = primaries.where("primary is not null").select(video, F.col("primary").alias(category)).distinct()
     return (
         listed.join(counts, video, "left")
         .groupBy(category).agg(

@@ -584,6 +584,25 @@ def _trial_log(spark, sf):
     return TL.read_trial_log(spark, path).select("eval", *[F.col("config")[k].alias(k) for k in "uap"], F.col("defaults")["optimizer"].alias("optimizer"))
 
 
+def _logged(spark, sf):
+    path = scratch_path(spark, "trial-log")
+    TL.append_trial_log(V.trials(spark, sf).withColumn("defaults", F.create_map(F.lit("optimizer"), F.lit("radam"))), path)
+    return TL.read_trial_log(spark, path)
+
+
+@query("best_logged_trial", f"with {V.TRIALS} select min(eval) as eval from trials")
+def _best_logged(spark, sf):
+    """From the log to the best trial."""
+    return TR.best_trial(_logged(spark, sf), order="line").select("eval")
+
+
+@query("drop_logged", f"""with {V.TRIALS} select trial from trials t
+where not exists (select 1 from trials k where k.eval <= 1400 and k.u = t.u and k.a = t.a and k.p = t.p)""")
+def _drop_logged(spark, sf):
+    """From the log to the configurations that are still to run."""
+    return TR.drop_known(V.trials(spark, sf), _logged(spark, sf).where("eval <= 1400")).select("trial")
+
+
 # ---- scores
 
 @query("score_states", """select vec_id as state_id, array_to_string([cast(x > 0 as int) for x in embedding], '') as code from embeddings""")

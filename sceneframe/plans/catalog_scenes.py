@@ -299,6 +299,17 @@ def _viability(spark, sf):
     return P.viability(f, f.where("has_jpg"))
 
 
+@query("viability_strict", f"""with {V.DETECTIONS}, {V.SUBJECTS}, {V.CATEGORIES}, {V.PRIMARIES},
+f as (select distinct video_id, state_id from detections), per as (select video_id, count(*) as n from f group by video_id)
+select primary_category as category, count(*) as listed_videos, count(n) as videos, cast(coalesce(sum(n), 0) as bigint) as frames,
+       cast(coalesce(sum(greatest(n-1, 0)), 0) as bigint) as transitions, coalesce(sum(greatest(n-1, 0)), 0) >= 5000 as viable
+from primaries left join per using (video_id) where primary_category is not null group by primary_category""")
+def _viability_strict(spark, sf):
+    """Videos count for their primary category only."""
+    frames = V.detections(spark, sf).select("video_id", "state_id").distinct()
+    return P.viability(V.subjects(spark, sf), frames, primaries=_primary(spark, sf))
+
+
 @query("viability_total", f"""with {VIABLE}
 select count(*) as videos, cast(sum(n) as bigint) as frames, cast(sum(n-1) as bigint) as transitions,
        sum(n-1) >= 5000 as viable from per""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def parse_trial_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """``(eval, config, defaults)`` of log lines; several arrays may stand back to back on a line.
 
-    A diverged run logs ``NaN``, which is kept. An entry that cannot be read has a null ``eval`` and its text in ``malformed``.
+    ``line`` numbers the entries in reading order. A diverged run logs ``NaN``, which is kept. An entry that cannot be read has a null ``eval`` and its text in ``malformed``.
     """
     pieces = lines.select(F.explode(F.split(F.col(value), r"(?<=\])\s*(?=\[)")).alias("_piece"))
     entries = pieces.select("_piece", F.from_json("_piece", "array<string>").alias("_e"))
@@ -17,6 +17,7 @@ def parse_trial_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     config = F.from_json(F.get("_e", F.lit(1)), as_map)
     readable = eval.isNotNull() & config.isNotNull()
     return entries.where(F.trim("_piece") != "").select(
+        F.monotonically_increasing_id().alias("line"),
         F.when(readable, eval).alias("eval"),
         F.when(readable, config).alias("config"),
         F.when(readable, F.from_json(F.get("_e", F.lit(2)), as_map)).alias("defaults"),
