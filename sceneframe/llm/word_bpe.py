@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import functools
 import os
+import struct
 
-import numpy as np
 import regex
 
 from sceneframe.llm.recent import Recent
@@ -42,14 +42,17 @@ class WordBpe:
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8")
-        if PLAIN.fullmatch(text) and "<|" not in text:
+        lower = text.lower()
+        if lower.isascii() and lower.isalpha():  # most chunks: one piece that is written as it is
+            ids = [t.id for t in self.model.tokenize(lower)]
+        elif PLAIN.fullmatch(text) and "<|" not in text:
             ids = []
-            for piece in PIECES.findall(text.lower()):
+            for piece in PIECES.findall(lower):
                 shown = piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode("utf-8")))
                 ids += [t.id for t in self.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.split()))
