@@ -12,7 +12,7 @@ and not all pairs; it does so without losing a link:
    bitmap of the whole set. A list is two blocks by position: up to ``n/7`` and beyond. The smaller set of a pair can only
    be met in the first, so the second is skipped for it; what differs in two bitmaps differs in the sets, so pairs with too
    many different bits are skipped too.
-3. Answers from similar sets. The sets of a list are first held against one leader; a set that links to it takes over the
+3. Answers from similar sets. The sets of a list are first held against its leader; a set that links to it takes over the
    leader's class and is never probed against that class again. Rounds repeat while they find links. The last round probes
    the lists for pairs of different classes only, so its candidates hold every link that can still join two classes.
 
@@ -250,43 +250,49 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "la long, lb long").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
 
 
-def _leader_pairs(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """One candidate per set: the leader that most of its lists agree on, of another class."""
+def _close(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
+    """Whether the bitmaps differ in at most as many bits as linked sets may in tokens, ``n1 + n2 - 2 * overlap``."""
+    different = sum((F.bit_count(bits1[w].bitwiseXOR(bits2[w])) for w in range(BITMAP_WORDS)), F.lit(0))
+    return 7 * different <= n1 + n2
+
+
+def _leader_pairs(index: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
+    """Candidates of every set with the leaders of its lists, where they are of another class: at most one per entry."""
     entries = index.join(labels, "id")
     leader = entries.groupBy("token").agg(
         F.min(F.struct("label", "id", "n", "at")).alias("lead"), F.max("label").alias("most")).filter("most <> lead.label")
     met = entries.join(leader, "token").filter(
         (F.col("label") != F.col("lead.label")) & can_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
-    votes = met.groupBy(F.col("id").alias("b"), F.col("label").alias("lb"), F.col("lead.id").alias("a"), F.col("lead.label").alias("la")).count()
-    best = votes.groupBy("b", "lb").agg(F.max(F.struct("count", -F.col("a"), "a", "la")).alias("v"))
-    return best.select("v.a", "b", "v.la", "lb")
+    pairs = met.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"),
+                       F.col("lead.n").alias("na"), F.col("n").alias("nb")).distinct()
+    side = lambda k: bits.select(F.col("id").alias(k), F.col("bits").alias(f"bits_{k}"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").filter(_close(F.col("na"), F.col("bits_a"), F.col("nb"), F.col("bits_b")))
+    return close.select("a", "b", "la", "lb")
 
 
-def _cross_pairs(index: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def _cross_pairs(index: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
     """All candidates between different classes."""
     entries = index.join(labels, "id")
     mixed = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    entries = written(entries.join(mixed, "token").join(bitmaps(sets), "id"), "mixed-lists")
+    entries = written(entries.join(mixed, "token").join(bits, "id"), "mixed-lists")
     side = lambda rows, k: rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "at", "label", "bits")])
     smaller = (F.col("n_1") < F.col("n_2")) | ((F.col("n_1") == F.col("n_2")) & (F.col("id_1") < F.col("id_2")))
-    different = sum((F.bit_count(F.col("bits_1")[w].bitwiseXOR(F.col("bits_2")[w])) for w in range(BITMAP_WORDS)), F.lit(0))
-    # the sets differ in n1 + n2 - 2 * overlap tokens
-    close = 7 * different <= F.col("n_1") + F.col("n_2")
     pairs = side(entries.filter("7 * at <= n"), 1).join(side(entries, 2), "token").filter(
-        (F.col("label_1") != F.col("label_2")) & smaller & can_link(F.col("n_1"), F.col("at_1"), F.col("n_2"), F.col("at_2")) & close)
+        (F.col("label_1") != F.col("label_2")) & smaller & can_link(F.col("n_1"), F.col("at_1"), F.col("n_2"), F.col("at_2"))
+        & _close(F.col("n_1"), F.col("bits_1"), F.col("n_2"), F.col("bits_2")))
     return pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"), F.col("label_1").alias("la"), F.col("label_2").alias("lb")).distinct()
 
 
 def linked_sets(sets: DataFrame) -> DataFrame:
     """``id, label`` of the classes of linked sets, for ``sets`` (id, n, shingles) that are already written."""
-    index = index_lists(sets)
+    index, bits = index_lists(sets), written(bitmaps(sets), "bitmaps")
     labels = sets.select("id", F.col("id").alias("label"))
     while True:
-        links = written(verified(_leader_pairs(index, labels), sets), "links")
+        links = written(verified(_leader_pairs(index, labels, bits), sets), "links")
         if links.isEmpty():
             break
         labels = merged_labels(labels, links)
-    return merged_labels(labels, verified(_cross_pairs(index, labels, sets), sets))
+    return merged_labels(labels, verified(_cross_pairs(index, labels, bits), sets))
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
