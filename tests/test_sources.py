@@ -58,7 +58,10 @@ def test_labelled_images_cut_before_dropping_empty(spark, tmp_path):
     assert rows(AN.read_labeled_images(spark, str(path), max_images=2).select("image")) == [("2.jpg",)]
     assert AN.read_labeled_images(spark, str(path), skip_empty=False).count() == 4
     d = AN.image_detections(AN.read_labeled_images(spark, str(path)))
-    assert rows(d) == [("2.jpg", 0, "dog", 1.0, 2.0, 3.0, 4.5), ("4.jpg", 0, "cat", 0.0, 0.0, 1.0, 1.0)]
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    assert rows(d.select("image", "pos", "class", *box)) == [("2.jpg", 0, "dog", 1.0, 2.0, 3.0, 4.5), ("4.jpg", 0, "cat", 0.0, 0.0, 1.0, 1.0)]
+    sized = AN.image_detections(AN.read_labeled_images(spark, str(path)), 640, 480)
+    assert {(r.state_id, r.category, r.width, r.height) for r in sized.collect()} == {("2.jpg", "dog", 640, 480), ("4.jpg", "cat", 640, 480)}
 
 
 def png(pixels):
