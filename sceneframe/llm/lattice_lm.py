@@ -9,8 +9,9 @@ probabilities of all texts sum to one. Beside it stands the base score, a word u
 
 Word counts cover all training documents: every task counts its words, the counts meet in buckets by word (one entry per
 word and task, so a word that all documents hold stays light) and are written. Piece counts follow from the counts of
-distinct words. Documents are then dealt into blocks; a block asks the buckets once for each of its distinct words. Only
-the piece scores, as many as the vocabulary has pieces, reach every task.
+distinct words. Documents are then dealt into blocks; a block asks the buckets once for each of its distinct words, and
+a bucket runs the lattice once for each word of the corpus. Only the piece scores, as many as the vocabulary has pieces,
+reach every task.
 
 Defined results: a null text counts as empty, so it is one end token; a document with a null id has the crc32 of an empty
 text and belongs to the training documents; without any training document all counts are 0 and scores follow from the
@@ -30,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sceneframe.llm.recent import Recent
 from sceneframe.llm.text import whole_text
 from sceneframe.llm.word_bpe import byte_characters, word_bpe
 from sceneframe.session import written
@@ -221,25 +221,30 @@ def score_documents(docs: DataFrame, path: str, text: str = "text", key: str = "
                          "words": pa.array([_packed(ws) for ws in dealt.values()], pa.binary())})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        pieces, _ = vocabulary(path)
         count = {}
         for words, times in zip(known.column("words").to_pylist(), known.column("counts").to_pylist()):
             count.update(zip(words.split(b"\n"), np.frombuffer(times, "<u8").tolist()))
-        replies = [np.array([count.get(w, 0) for w in words.split(b"\n")], "<u8").tobytes() for words in asked.column("words").to_pylist()]
-        return pa.table({"home": asked.column("home"), "bucket": asked.column("bucket"), "counts": pa.array(replies, pa.binary())})
+        lattice = Lattice(pieces, np.frombuffer(scores))
+        lists = [words.split(b"\n") for words in asked.column("words").to_pylist()]
+        cut = {w: 0.0 if w == END else lattice(w) for w in set().union(*lists)}  # every word of the corpus once
+        return pa.table({
+            "home": asked.column("home"), "bucket": asked.column("bucket"),
+            "counts": pa.array([np.array([count.get(w, 0) for w in ws], "<u8").tobytes() for ws in lists], pa.binary()),
+            "cuts": pa.array([np.array([cut[w] for w in ws]).tobytes() for ws in lists], pa.binary())})
 
     def score(table: pa.Table, replies: pa.Table) -> pa.Table:
-        lattice = _lattice(path, scores)
         texts = [tokens(body) for body in table.column("body").to_pylist()]
         dealt = _by_bucket(set().union(*texts), buckets)
-        came = dict(zip(replies.column("bucket").to_pylist(), replies.column("counts").to_pylist()))
-        number, count = {}, []
+        came = dict(zip(replies.column("bucket").to_pylist(), zip(replies.column("counts").to_pylist(), replies.column("cuts").to_pylist())))
+        number, count, cut = {}, [], []
         for b, ws in dealt.items():
             number.update(zip(ws, range(len(number), len(number) + len(ws))))
-            count.append(np.frombuffer(came[b], "<u8"))
-        count = np.concatenate(count)
+            count.append(np.frombuffer(came[b][0], "<u8"))
+            cut.append(np.frombuffer(came[b][1]))
+        count, cut = np.concatenate(count), np.concatenate(cut)
         base = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         own = np.maximum(count - DISCOUNT, 0)  # a known word as a piece of its own
-        cut = np.array([0.0 if w == END else lattice[w] for w in number])
         share = np.array([1.0 if w == END else DISCOUNT * v + 1 for w in number])
         with np.errstate(divide="ignore"):
             model = (np.logaddexp(np.log(own), np.log(share) + cut) - math.log(n + 2)) / LOG10
@@ -250,14 +255,8 @@ def score_documents(docs: DataFrame, path: str, text: str = "text", key: str = "
             "base_score": pa.array([float(base[k].sum()) for k in at]), "score": pa.array([float(model[k].sum()) for k in at])})
 
     asked = rows.groupBy("home").applyInArrow(ask, "bucket long, home long, words binary")
-    replies = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, "home long, bucket long, counts binary")
+    replies = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, "home long, bucket long, counts binary, cuts binary")
     replies = replies.filter("home is not null")
     done = rows.groupBy("home").cogroup(replies.groupBy("home")).applyInArrow(
         score, "doc long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("doc", key)
-
-
-@functools.lru_cache(maxsize=1)
-def _lattice(path: str, scores: bytes) -> Recent:
-    """Word scores of this worker process."""
-    return Recent(Lattice(vocabulary(path)[0], np.frombuffer(scores)))
