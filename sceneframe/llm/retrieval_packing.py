@@ -27,7 +27,6 @@ from sceneframe.llm.word_bpe import word_bpe
 END_ID = 2
 WINDOW = 4096
 SHARD_ROWS = 2000
-QUERY_TERMS = 24  # of a seed: those of the highest weight
 K1, B = 1.2, 0.75  # usual BM25 constants
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -49,13 +48,7 @@ class Bm25:
         order = np.argsort(index, kind="stable")
         self.holder, self.weight = holder[order], weight[order]
         self.first = np.append(0, np.cumsum(df))
-        # the query of each text: its terms of the highest weight
-        self.queries, at = [], 0
-        for size in sizes:
-            own = slice(at, at + size)
-            best = np.argsort(-weight[own], kind="stable")[:QUERY_TERMS]
-            self.queries.append(index[own][best])
-            at += size
+        self.queries = np.split(index, np.cumsum(sizes)[:-1]) if sets else []  # the query of each text: all its terms
         self.n = len(sets)
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:

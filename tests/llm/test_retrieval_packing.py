@@ -63,6 +63,31 @@ def test_bm25_equals_brute_force():
         assert np.allclose(sorted((s for s in scores if s > 0), reverse=True), [scores[k] for k in near], rtol=1e-4)
 
 
+def test_every_term_of_the_seed_is_scored():
+    # 60 rare terms of the seed alone weigh more than the 40 that each neighbour shares one of
+    seed = np.concatenate([np.repeat(np.arange(100, 160), 3), np.arange(40)])
+    texts = [seed, *[np.array([k, 200 + k, 300 + k]) for k in range(40)], np.array([500, 501, 502])]
+    index = r.Bm25(texts)
+    assert sorted(index.terms[index.queries[0]].tolist()) == [*range(40), *range(100, 160)]
+    assert sorted(index.neighbours(0, np.arange(len(texts)) > 0)) == list(range(1, 41))
+
+
+def test_long_texts_equal_brute_force_on_the_whole_seed():
+    rnd = np.random.default_rng(2)
+    texts = [rnd.integers(0, 400, 150) for _ in range(10)]
+    index, mean, sets = r.Bm25(texts), 150, [set(x.tolist()) for x in texts]
+
+    def weight(t, x):
+        tf, df = (x == t).sum(), sum(t in s for s in sets)
+        return np.log1p((10 - df + .5) / (df + .5)) * tf * 2.2 / (tf + 1.2 * (.25 + .75 * len(x) / mean))
+
+    for seed in range(10):
+        assert len(sets[seed]) > 24
+        scores = np.array([sum(weight(t, x) for t in sets[seed]) for x in texts])
+        near = index.neighbours(seed, np.ones(10, bool))
+        assert sorted(near) == np.flatnonzero(scores > 0).tolist() and np.allclose(-np.sort(-scores), scores[near], rtol=1e-4)
+
+
 def test_documents(edge, edge_rows, empty):
     from tokenizers import Tokenizer
 
