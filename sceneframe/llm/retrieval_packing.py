@@ -2,7 +2,8 @@
 
 Documents are dealt into shards by a hash; a shard has about ``SHARD_ROWS`` documents, so their number grows with the
 table and the index of one shard fits one task. Whole windows of a long document are cut off first. The rest of each
-document is indexed: BM25 over its distinct token ids. Until all is used, the longest unused rest seeds a window, its
+document is indexed: BM25 over all its distinct token ids, with the number, mean length and document frequencies of the
+rests of the whole table. A seed is still compared with the rests of its own shard only. Until all is used, the longest unused rest seeds a window, its
 neighbours are scored through the inverted index, and the window takes them in descending score while they fit; the last
 one is cut to fill it exactly and its remainder stays in the index. What a shard has left at its end is cut into powers of
 two, which need no padding.
@@ -16,12 +17,14 @@ from __future__ import annotations
 
 import math
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sceneframe.llm.text import whole_text
+from sceneframe.session import written
 from sceneframe.llm.word_bpe import word_bpe
 
 END_ID = 2
@@ -31,23 +34,37 @@ K1, B = 1.2, 0.75  # usual BM25 constants
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Corpus(NamedTuple):
+    """What BM25 needs to know of all texts."""
+
+    n: int
+    mean: float  # length
+    df: np.ndarray  # of each term
+
+
+def rest_of(ids: np.ndarray, window: int) -> np.ndarray:
+    """What is left behind the whole windows."""
+    return ids[len(ids) // window * window:]
+
+
 class Bm25:
-    """Inverted index over the distinct terms of some token arrays."""
+    """Inverted index over the distinct terms of some token arrays, weighted by ``corpus`` or else by these alone."""
 
-    def __init__(self, texts: list[np.ndarray]):
+    def __init__(self, texts: list[np.ndarray], corpus: Corpus | None = None):
         sets = [np.unique(t, return_counts=True) for t in texts]
         sizes = np.array([len(s[0]) for s in sets], np.int64)
         terms = np.concatenate([s[0] for s in sets]) if sets else np.zeros(0, np.uint32)
         tf = np.concatenate([s[1] for s in sets]).astype(np.float32) if sets else np.zeros(0, np.float32)
         holder = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         length = np.array([len(t) for t in texts], np.float32)
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1)) if len(texts) else length
-        self.terms, index, df = np.unique(terms, return_inverse=True, return_counts=True)
-        idf = np.log1p((len(sets) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.terms, index, held = np.unique(terms, return_inverse=True, return_counts=True)
+        n, mean, df = (corpus.n, corpus.mean, corpus.df[self.terms]) if corpus else (len(sets), length.mean() if sets else 0, held)
+        norm = K1 * (1 - B + B * length / max(mean, 1))
+        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         weight = idf[index] * tf * (K1 + 1) / (tf + norm[holder])
         order = np.argsort(index, kind="stable")
         self.holder, self.weight = holder[order], weight[order]
-        self.first = np.append(0, np.cumsum(df))
+        self.first = np.append(0, np.cumsum(held))
         self.queries = np.split(index, np.cumsum(sizes)[:-1]) if sets else []  # the query of each text: all its terms
         self.n = len(sets)
 
@@ -79,7 +96,7 @@ class Rests:
             self.fill += n
 
 
-def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(ids: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(text, start, length, sequence, offset)`` that cover every id of the shard once."""
     pieces, sequence, starts = [], 0, []
     for d, x in enumerate(ids):
@@ -88,7 +105,7 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
         sequence += whole // window
         starts.append(whole)
     rests = Rests(starts, [len(x) - start for x, start in zip(ids, starts)], window)
-    index = Bm25([x[start:] for x, start in zip(ids, starts)])
+    index = Bm25([rest_of(x, window) for x in ids], corpus)
     order = sorted(range(len(ids)), key=lambda k: (-rests.size[k], k))
     for turn, seed in enumerate(order):  # all before ``turn`` is used up
         if not rests.size[seed]:
@@ -126,17 +143,56 @@ def _lay(pieces: list, held: list[tuple[int, int, int]], fill: int, window: int,
     return sequence
 
 
+def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """``key, tie, ids`` of the rows ``key, tie, body``: the packed ids of each text and its end."""
+    end = np.asarray([end_id], "<u4").tobytes()
+
+    def encode(batches):
+        encoder = word_bpe(tokenizer)
+        for b in batches:
+            ids = [encoder.encode(body) + end for body in b.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("tie"), pa.array(ids, pa.binary())], ["key", "tie", "ids"])
+
+    return rows.select("key", "tie", "body").mapInArrow(encode, "key long, tie long, ids binary")
+
+
+def corpus_of(tokens: DataFrame, window: int) -> Corpus:
+    """Figures of all rests: one row for each token id of the vocabulary at most comes to the driver."""
+
+    def count(batches):
+        df, n, length = np.zeros(0, np.int64), 0, 0
+        for b in batches:
+            for x in b.column("ids").to_pylist():
+                rest = rest_of(np.frombuffer(x, "<u4"), window)
+                terms = np.unique(rest)
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.append(df, np.zeros(terms[-1] + 1 - len(df), np.int64))
+                df[terms] += 1
+                n, length = n + 1, length + len(rest)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(term, [-1, -2])), pa.array(np.append(df[term], [n, length]))], ["term", "n"])
+
+    counts = tokens.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r.term: r.n for r in counts.collect()}
+    n, length = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=-1) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, length / max(n, 1), df)
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW,
                    shard_rows: int = SHARD_ROWS, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents: one shuffle of the texts, by shard."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    """The pieces of all documents: token ids are written once, counted over all documents and shuffled once, by shard."""
+    body = whole_text(text).cast("binary")
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), body.alias("body")).withColumn("tie", F.xxhash64("body"))
+    tokens = written(encoded(rows, tokenizer, end_id), "token-ids")
+    corpus = corpus_of(tokens, window)
 
     def shard(table: pa.Table) -> pa.Table:
-        encoder = word_bpe(tokenizer)
         table = table.sort_by([("key", "ascending"), ("tie", "ascending")])
         keys, number = table.column("key").to_pylist(), table.column("shard")[0].as_py()
-        ids = [np.frombuffer(encoder.encode(body) + end, "<u4") for body in table.column("body").to_pylist()]
-        pieces = pack_shard(ids, window)
+        ids = [np.frombuffer(x, "<u4") for x in table.column("ids").to_pylist()]
+        pieces = pack_shard(ids, window, corpus)
         crc = [zlib.crc32(ids[d][at:at + n].tobytes()) for d, at, n, _, _ in pieces]
         column = lambda values: pa.array(values, pa.int64())
         return pa.table({
@@ -145,8 +201,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
             "doc_tokens": column([len(ids[p[0]]) for p in pieces]),
             "sequence_id": column([(number << 32) + p[3] for p in pieces]), "offset": column([p[4] for p in pieces])})
 
-    shards = max(1, math.ceil(docs.count() / shard_rows))
-    body = whole_text(text).cast("binary")
-    rows = docs.select(F.col(key).cast("bigint").alias("key"), body.alias("body")).withColumn("tie", F.xxhash64("body"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key", "tie"), F.lit(shards)))
-    return rows.groupBy("shard").applyInArrow(shard, PIECES)
+    shards = max(1, math.ceil(corpus.n / shard_rows))
+    return tokens.withColumn("shard", F.pmod(F.xxhash64("key", "tie"), F.lit(shards))).groupBy("shard").applyInArrow(shard, PIECES)

@@ -88,6 +88,33 @@ def test_long_texts_equal_brute_force_on_the_whole_seed():
         assert sorted(near) == np.flatnonzero(scores > 0).tolist() and np.allclose(-np.sort(-scores), scores[near], rtol=1e-4)
 
 
+def test_figures_of_all_documents(edge, edge_rows, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    rests = [([*tokenizer.encode(t or "", add_special_tokens=False).ids, r.END_ID]) for _, t, *_ in edge_rows]
+    rests = [x[len(x) // 64 * 64:] for x in rests]
+    rows = edge.selectExpr("doc_id as key", "xxhash64(text) as tie", "cast(coalesce(text, '') as binary) as body")
+    got = r.corpus_of(r.encoded(rows, PATH), 64)
+    want = defaultdict(int)
+    for x in rests:
+        for t in set(x):
+            want[t] += 1
+    assert (got.n, got.mean) == (len(rests), np.mean([len(x) for x in rests])) and {t: got.df[t] for t in np.flatnonzero(got.df)} == want
+    none = r.corpus_of(r.encoded(empty.selectExpr("doc_id as key", "doc_id as tie", "cast(text as binary) as body"), PATH), 64)
+    assert (none.n, none.mean, len(none.df)) == (0, 0, 0)
+
+
+def test_rarity_is_that_of_all_documents():
+    # in these texts 1 is rarer than 2; in all documents 1 is common and 2 is rare
+    texts = [np.array(t, "<u4") for t in ([1, 2], [1, 7], [2, 8], [2, 9], [3, 4], [5, 6])]
+    df = np.ones(10, np.int64)
+    df[1] = 900
+    free = np.arange(6) > 0
+    assert r.Bm25(texts).neighbours(0, free)[0] == 1
+    assert r.Bm25(texts, r.Corpus(1000, 2.0, df)).neighbours(0, free)[0] == 2
+
+
 def test_documents(edge, edge_rows, empty):
     from tokenizers import Tokenizer
 
