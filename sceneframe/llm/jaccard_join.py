@@ -296,7 +296,10 @@ def linked_sets(sets: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: ``doc, tie`` (the row), ``n_shingles`` and ``component_id``, the least id of its class."""
+    """Per document: ``doc, tie`` (the row), ``n_shingles``, ``component_id``, the least id of its class, and ``label``, the class itself.
+
+    Where ids repeat or are null, several classes may have one least id; the label tells them apart.
+    """
     profile = profiles(docs, text, key)
     equal = profile.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("least"), F.max("n").alias("n"), F.any_value("shingles", True).alias("shingles"))
     # sets are numbered once, in a written table; equal sets are one from here on
@@ -304,10 +307,10 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     labels = linked_sets(equal.filter(F.col("shingles").isNotNull()).select("id", "n", "shingles"))
     of_class = equal.select("id", "d1", "d2", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = of_class.join(least, "label").select("d1", "d2", "component_id")
+    by_set = of_class.join(least, "label").select("d1", "d2", "component_id", "label")
     return (
         profile.select("doc", "tie", "n", "d1", "d2").join(by_set, ["d1", "d2"], "left")
-        .select("doc", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc", "tie", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), "label")
     )
 
 
@@ -316,9 +319,17 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 def one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The document of the least id of each class, in its own columns; documents without a word stay."""
-    found = written(classes(docs, text, key), "classes")
-    first = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc", "tie")).alias("f"))
-    stay = first.select("f.doc", "f.tie").unionByName(found.filter("n_shingles = 0").select("doc", "tie").distinct())
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("bigint").alias("d"), F.xxhash64(whole_text(text)).alias("t"))
-    return rows.join(stay, F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("tie")), "left_semi").select("row.*")
+    """One row of each class, that of the least id, in its own columns; rows without a word all stay.
+
+    Of rows that share the least id and the text, that of the least number in a written table stays.
+    """
+    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("bigint").alias("d"), F.xxhash64(whole_text(text)).alias("t"))
+                       .withColumn("number", F.monotonically_increasing_id()), "numbered-rows")
+    found = written(classes(numbered.select(F.col(f"row.{text}").alias("text"), "d"), "text", "d"), "classes")
+    first = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc", "tie")).alias("f"))
+    stay = first.select("f.doc", "f.tie")
+    same = lambda: F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("tie"))
+    kept = numbered.select("d", "t", "number").join(stay, same(), "left_semi").groupBy("d", "t").agg(F.min("number").alias("number")).select("number")
+    wordless = found.filter("n_shingles = 0").select("doc", "tie").distinct()
+    kept = kept.unionByName(numbered.select("d", "t", "number").join(wordless, same(), "left_semi").select("number"))
+    return numbered.join(kept, "number", "left_semi").select("row.*")

@@ -80,6 +80,16 @@ def test_one_document_of_each_class_stays(spark, edge):
     assert kept.columns == wide.columns and ids == [-3, 1, 1, 5, 6, 7, 8, 11, 12, 2**62] or ids
 
 
+def test_one_row_of_repeated_rows_stays(spark, edge):
+    got = sorted(r.doc_id for r in j.one_per_class(clashing(edge)).collect() if r.doc_id is not None and (r.text or "").strip())
+    assert got == [-3, 1, 1, 7, 8, 11, 12, 2**62]  # id 1 has two texts, one of them in two rows
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, "u v w x y z"), (None, "u v w x y z")], "doc_id long, text string")
+    assert sorted(r.text for r in j.one_per_class(nameless).collect()) == ["a b c d e f", "u v w x y z"]
+    text = "one two three four five six seven eight"
+    twice = spark.createDataFrame([(k % 3, text) for k in range(9)] + [(7, None), (7, None), (7, " ")], "doc_id long, text string")
+    assert rows(j.one_per_class(twice.repartition(4))) == sorted([(0, text), (7, None), (7, None), (7, " ")], key=repr)
+
+
 def test_real_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert rows(j.report(df)) == sorted(brute([(r.doc_id, r.text) for r in df.collect()]), key=repr)
