@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sceneframe.llm.text import whole_text, words
 
 SHINGLE = 5
-SAMPLES = 32
+SAMPLES = 48
 PER_ROW = 8  # samples that one row draws; as many as compile to methods of a size that the JVM optimizes
 BITS = 16
 LEAST = -(1 << 63)

@@ -50,6 +50,13 @@ def test_weights_count(spark):
     assert abs(np.mean(near) - exact) < 0.2
 
 
+def test_enough_samples(spark):
+    df = spark.createDataFrame([(7, "one two three four five six seven")], "doc_id long, text string")
+    got = w.fingerprints(df).first().fingerprint
+    samples = [got[i:i + 4] for i in range(0, len(got), 4)]
+    assert len(samples) >= 48 and len(set(samples)) > 40
+
+
 def test_odd_inputs(edge, edge_rows, empty):
     got = w.fingerprints(clashing(edge), ranges=5).collect()
     assert len(got) == len(edge_rows) and w.fingerprints(empty).count() == 0
