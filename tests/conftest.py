@@ -6,8 +6,9 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
+sys.path.insert(0, str(ROOT / "tests"))
 
-SF_DIR = "/root/testdata/sf0.001"
+from scene_helpers import SF_DIR  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +24,3 @@ def duck():
 
     return connect(SF_DIR)
 
-
-def rows(df):
-    """Sorted list of tuples."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)

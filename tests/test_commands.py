@@ -2,7 +2,7 @@
 
 import json
 
-from conftest import rows
+from scene_helpers import rows
 from test_sources import video
 
 from sceneframe import __main__ as cli

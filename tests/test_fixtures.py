@@ -1,7 +1,7 @@
 """Literal edge cases: ties, padding, rounding, thresholds, guards."""
 
 import pytest
-from conftest import rows
+from scene_helpers import rows
 from pyspark.sql import functions as F
 
 from sceneframe.functions import boxes as B

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import rows
+from scene_helpers import rows
 from pyspark.sql import functions as F
 
 from sceneframe.operators import bits as N

@@ -3,7 +3,7 @@
 import pytest
 
 from check import compare
-from conftest import SF_DIR
+from scene_helpers import SF_DIR
 from sceneframe.plans import catalog
 
 

@@ -1,7 +1,7 @@
 """Physical plans: no crossed joins, no row-at-a-time Python, early limits, pruned scans."""
 
 import pytest
-from conftest import SF_DIR
+from scene_helpers import SF_DIR
 
 from sceneframe.plans import catalog
 
