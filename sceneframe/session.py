@@ -39,3 +39,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the scratch tables that ``df`` was read from; for their owner, once what was made of them is written."""
+    spark = df.sparkSession
+    folder = shared_folder(spark).split(":", 1)[-1].lstrip("/")
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
