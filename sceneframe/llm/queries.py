@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sceneframe.llm import byte_bpe, jaccard_join, language_id, lattice_lm, line_windows, packed_ids, quality_cascade, retrieval_packing, secret_owners, weighted_samples
+from sceneframe.llm import (
+    byte_bpe, centroid_clusters, jaccard_join, language_id, lattice_lm, lexical_search, line_windows, packed_ids, quality_cascade,
+    retrieval_packing, secret_owners, weighted_samples,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +118,51 @@ def op2(spark, sf_dir):
 @register("op5_weighted_samples")
 def op5(spark, sf_dir):
     return weighted_samples.fingerprints(documents(spark, sf_dir))
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op12_lexical_search", oracle=f"""
+    WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+    g AS (SELECT count(*) FILTER (len(w) > 0) AS total, sum(len(w))::BIGINT AS length FROM d),
+    tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+    s AS (SELECT item_id, doc_id,
+                 sum(c * floor(1000 * ln((2 * total + 2) / (2 * df + 1)))::BIGINT
+                     * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * total) // length))))::BIGINT AS score
+          FROM q JOIN tf USING (term) JOIN df USING (term), g GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
+""")
+def op12(spark, sf_dir):
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def clustering_sql(rounds: int) -> str:
+    """Rounds of assigning every vector and moving every centroid, written out one after the other."""
+    parts = ["""kept AS (SELECT vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: coalesce(isfinite(v), false))) = 64)""",
+             "c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x AS c FROM kept QUALIFY k < 16)"]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS (SELECT vec_id, x, min((d, k)) AS best FROM (
+            SELECT vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+            FROM kept, c{r}) GROUP BY vec_id, x)""")
+        if r < rounds:
+            parts.append(f"""m{r} AS (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM (
+                SELECT best[2] AS k, j, sum(x[j]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(j) GROUP BY ALL) GROUP BY k),
+            c{r + 1} AS (SELECT k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, best[2]::INT AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia,
+               sum(best[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON k = best[2]"""
+
+
+@register("op13_centroid_clusters", oracle=clustering_sql(centroid_clusters.ROUNDS))
+def op13(spark, sf_dir):
+    return centroid_clusters.clusters(embeddings(spark, sf_dir))
