@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sceneframe.llm import (
-    byte_bpe, centroid_clusters, jaccard_join, language_id, lattice_lm, lexical_search, line_windows, packed_ids, quality_cascade,
-    retrieval_packing, secret_owners, weighted_samples,
+    byte_bpe, centroid_clusters, embedding_dedup, jaccard_join, language_id, lattice_lm, lexical_search, line_windows, packed_ids,
+    quality_cascade, retrieval_packing, secret_owners, weighted_samples,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,18 @@ def clustering_sql(rounds: int) -> str:
 @register("op13_centroid_clusters", oracle=clustering_sql(centroid_clusters.ROUNDS))
 def op13(spark, sf_dir):
     return centroid_clusters.clusters(embeddings(spark, sf_dir))
+
+
+@register("op11_embedding_dedup", oracle="""
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    good AS (SELECT * FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda c: coalesce(isfinite(c), false))) = len(x)
+             AND len(list_filter(x, lambda c: c <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+          ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+    r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM c LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+""")
+def op11(spark, sf_dir):
+    return embedding_dedup.near_duplicates(embeddings(spark, sf_dir))
