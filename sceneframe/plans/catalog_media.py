@@ -49,6 +49,20 @@ def _parse(spark, sf):
     return _answer_rows(AN.labelled_from_answers(V.vlm_raw(spark, sf)))
 
 
+def _arrays(rows):
+    """Lines that each hold one JSON array: the values ``v`` of a ``bag``, written over several lines."""
+    return rows.groupBy("bag").agg(F.to_json(F.collect_list("v"), {"pretty": "true"}).alias("value")).select("value")
+
+
+@query("read_vlm_array", f"with {ANSWERS} select image::varchar as image, cast(pos as int) as pos, class, b0, b1, b2, b3 from objects")
+def _read_answer_array(spark, sf):
+    """The same answers from files of arrays, with brackets, quotes and braces inside their strings."""
+    path = scratch_path(spark, "answers")
+    raw = V.vlm_raw(spark, sf)
+    _arrays(raw.select(F.floor(F.col("image") / 100).alias("bag"), F.struct("image", "output").alias("v"))).write.text(path)
+    return _answer_rows(AN.labelled_from_answers(AN.read_vlm_answers(spark, path, multi_line=True)))
+
+
 @query("read_vlm_answers", f"with {ANSWERS} select image::varchar as image, cast(pos as int) as pos, class, b0, b1, b2, b3 from objects")
 def _read_answers(spark, sf):
     path = scratch_path(spark, "answers")
@@ -128,17 +142,20 @@ def _annotation_splits(spark, sf):
 
 
 @query("read_labeled_images", """select printf('img%d.jpg', vec_id) as image, cast(k as int) as pos, 'c' || ((label + k) % 5) as class,
-   round(embedding[k*4+1]::double, 5) as xmin, round(embedding[k*4+4]::double, 5) as ymax
-from embeddings, range(16) t(k) where k < vec_id % 5""")
+   round(embedding[k*4+1]::double, 5) as xmin, round(embedding[k*4+2]::double, 5) as ymin, round(embedding[k*4+3]::double, 5) as xmax,
+   round(embedding[k*4+4]::double, 5) as ymax
+from embeddings, range(16) t(k) where k < vec_id % 17""")
 def _read_images(spark, sf):
+    """Files that each hold arrays of many images over many lines; an image lists up to all 16 boxes of its vector."""
     path = scratch_path(spark, "images")
     objects = F.transform(
-        F.slice(F.sequence(F.lit(0), F.lit(15)), F.lit(1), (F.col("vec_id") % 5).cast("int")),
+        F.slice(F.sequence(F.lit(0), F.lit(15)), F.lit(1), (F.col("vec_id") % 17).cast("int")),
         lambda k: F.struct(F.concat(F.lit("c"), ((F.col("label") + k) % 5).cast("string")).alias("class"),
                            F.transform(F.slice("embedding", k * 4 + 1, 4), lambda v: v.cast("double")).alias("bbox")))
-    V.table(spark, sf, "embeddings").select(F.format_string("img%d.jpg", "vec_id").alias("image"), objects.alias("objects")).write.json(path)
-    d = AN.image_detections(AN.read_labeled_images(spark, path, multi_line=False))
-    return d.select("image", "pos", "class", F.round("xmin", 5).alias("xmin"), F.round("ymax", 5).alias("ymax"))
+    image = F.struct(F.format_string("img%d.jpg", "vec_id").alias("image"), objects.alias("objects"))
+    _arrays(V.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("bag"), image.alias("v"))).write.text(path)
+    d = AN.image_detections(AN.read_labeled_images(spark, path))
+    return d.select("image", "pos", "class", *[F.round(c, 5).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 @query("list_frames", "select user_id::varchar as video_id, event_id as fid from events where event_type <> 'error'")
@@ -584,6 +601,27 @@ def _trial_log(spark, sf):
     return TL.read_trial_log(spark, path).select("eval", *[F.col("config")[k].alias(k) for k in "uap"], F.col("defaults")["optimizer"].alias("optimizer"))
 
 
+def _awkward_log(spark, sf):
+    """A log whose strings hold brackets, quotes and backslashes and whose entries stand over several lines."""
+    path = scratch_path(spark, "trial-log")
+    note = F.concat(F.lit('x] [y"}\\'), F.col("config")["u"])
+    t = V.trials(spark, sf).select("eval", F.to_json("config", {"pretty": "true"}).alias("c"), F.to_json(F.struct(note.alias("note"))).alias("d"))
+    t.select(F.concat(F.lit("["), F.col("eval").cast("string"), F.lit(",\n"), "c", F.lit(", "), "d", F.lit("]")).alias("value")).write.text(path)
+    return TL.read_trial_log(spark, path)
+
+
+@query("read_trial_log_values", f"""with {V.TRIALS} select eval, u, a, p, 'x] [y"}}' || chr(92) || u as note from trials""")
+def _trial_log_values(spark, sf):
+    return _awkward_log(spark, sf).select("eval", *[F.col("config")[k].alias(k) for k in "uap"], F.col("defaults")["note"].alias("note"))
+
+
+@query("trial_log_lines", "select count(*) as entries, 0::bigint as first, count(*) - 1 as last, count(*) as lines from part")
+def _trial_log_lines(spark, sf):
+    """The ordinals of the entries are dense over all files of the log."""
+    return _awkward_log(spark, sf).agg(F.count("*").alias("entries"), F.min("line").alias("first"), F.max("line").alias("last"),
+                                       F.count_distinct("line").alias("lines"))
+
+
 def _logged(spark, sf):
     path = scratch_path(spark, "trial-log")
     TL.append_trial_log(V.trials(spark, sf).withColumn("defaults", F.create_map(F.lit("optimizer"), F.lit("radam"))), path)

@@ -154,12 +154,12 @@ select vec_id as image, cast(trunc(x*640) as int) as xmin, cast(trunc(y*480) as
        cast(trunc((x+w)*640) as int) as xmax, cast(trunc((y+h)*480) as int) as ymax, k as pos, cast(label as varchar) as class
 from (select vec_id, label, cast(k as int) as k, abs(embedding[k*4+1]::double) as x, abs(embedding[k*4+2]::double) as y,
              abs(embedding[k*4+3]::double) as w, abs(embedding[k*4+4]::double) as h
-      from embeddings, range(16) t(k) where k < vec_id % 5)""")
+      from embeddings, range(16) t(k) where k < vec_id % 17)""")
 def _normalized(spark, sf):
     from sceneframe.sources.annotations import normalized_detections
-    # image i lists i mod 5 boxes, so every fifth image has none and is dropped
+    # image i lists i mod 17 of its 16 boxes; those without any are dropped
     boxes = F.transform(
-        F.slice(F.sequence(F.lit(0), F.lit(15)), F.lit(1), (F.col("vec_id") % 5).cast("int")),
+        F.slice(F.sequence(F.lit(0), F.lit(15)), F.lit(1), (F.col("vec_id") % 17).cast("int")),
         lambda k: F.struct(
             F.col("label").cast("string").alias("label"),
             F.transform(F.slice("embedding", k * 4 + 1, 4), lambda v: F.abs(v.cast("double"))).alias("bounding_box")))
@@ -172,13 +172,15 @@ def _normalized(spark, sf):
 select b.state_id, cast(b.slot as int) as slot, cast(200 + 64 as int) as width,
   repeat('0', x1b) || '1' || repeat('0', 59 - x1b) || repeat('0', y1b) || '1' || repeat('0', 39 - y1b) ||
   repeat('0', x2b) || '1' || repeat('0', 59 - x2b) || repeat('0', y2b) || '1' || repeat('0', 39 - y2b) as code,
-  round(list_sum([x::double for x in e.embedding]), 6) as patch_sum
-from binned b join embeddings e on e.vec_id = b.state_id""")
+  coalesce(round(list_sum([x::double for x in e.embedding]), 6), 0) as patch_sum
+from binned b left join embeddings e on e.vec_id = b.state_id""")
 def _assemble(spark, sf):
     from sceneframe.operators.pixels import assemble_state
     patches = V.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("state_id"), F.col("embedding").cast("array<double>").alias("patch"))
-    full = assemble_state(_scene_slots(spark, sf).join(patches, "state_id"))
+    zero = F.array_repeat(F.lit(0.0), 64)  # a state without a picture
+    slots = _scene_slots(spark, sf).join(patches, "state_id", "left")
+    full = assemble_state(slots.withColumn("patch", F.coalesce("patch", zero)))
     return full.select(
         "state_id", "slot", F.size("features").alias("width"),
         F.array_join(F.slice("features", 65, 200).cast("array<int>").cast("array<string>"), "").alias("code"),

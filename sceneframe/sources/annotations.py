@@ -16,6 +16,7 @@ from sceneframe.functions.arrays import exploded
 from sceneframe.functions.boxes import normalized_to_corners
 from sceneframe.functions.text import frame_key, parse_answer_objects, parse_frame_path
 from sceneframe.operators.slots import skip_empty as without_empty
+from sceneframe.sources.json_values import read_json_values
 
 # The input formats.
 VIDEO_SCHEMA = (
@@ -81,15 +82,24 @@ def video_subjects(docs: DataFrame) -> DataFrame:
     return listed.select("video_id", F.col("_s.tid").alias("tid"), F.col("_s.category").alias("category"), "pos")
 
 
+def read_array_elements(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The elements of one array a file as rows of ``schema`` with their ``ord``; many tasks share a file."""
+    values = read_json_values(spark, path, elements=True)
+    return values.select(F.from_json("text", schema).alias("_v"), F.col("ordinal").alias("ord")).select("_v.*", "ord")
+
+
 def read_labeled_images(spark: SparkSession, path: str, max_images: int | None = None,
                         skip_empty: bool = True, multi_line: bool = True) -> DataFrame:
     """Labelled images in source order (``ord``); the cut to ``max_images`` comes before dropping empty ones.
 
-    Files count in the order of their names, whatever order they are packed into tasks.
+    ``multi_line`` reads one array a file, whose elements ``ord`` counts from 0; without it, JSON lines. Files count in the
+    order of their names, whatever order they are packed into tasks.
     """
-    images = spark.read.schema(IMAGE_SCHEMA).option("multiLine", multi_line).json(path).withColumn(
-        "ord", F.monotonically_increasing_id()
-    )
+    if multi_line:
+        images = read_array_elements(spark, path, IMAGE_SCHEMA)
+        images = images if max_images is None else images.where(F.col("ord") < max_images)
+        return without_empty(images) if skip_empty else images
+    images = spark.read.schema(IMAGE_SCHEMA).json(path).withColumn("ord", F.monotonically_increasing_id())
     if max_images is not None:
         place = ["_metadata.file_path", "_metadata.file_block_start", "ord"]
         images = images.select("*", F.struct(*place).alias("_place")).orderBy("_place").limit(max_images).drop("_place")
@@ -111,7 +121,10 @@ def image_detections(images: DataFrame, width: Column | int | None = None, heigh
 
 
 def read_vlm_answers(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.read.schema(ANSWER_SCHEMA).option("multiLine", multi_line).json(path)
+    """Detector answers ``(image, output)``: JSON lines, or one array a file with ``multi_line``."""
+    if multi_line:
+        return read_array_elements(spark, path, ANSWER_SCHEMA).drop("ord")
+    return spark.read.schema(ANSWER_SCHEMA).json(path)
 
 
 def labelled_from_answers(answers: DataFrame) -> DataFrame:
