@@ -10,95 +10,103 @@ No task reads a whole file unless it has no closing brace at all.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sceneframe.session import written
 
-CHUNK = 1 << 22  # characters of a chunk, which is scanned as one string
+CHUNK = 1 << 22  # bytes of a chunk, which is scanned as one array
 OUTSIDE, STRING, ESCAPED = range(3)  # states a chunk can begin in
-REST_OF_STRING = re.compile(r'[^"\\]*(?:\\.[^"\\]*)*"', re.DOTALL)
-TOKEN = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|[\[\]{},"]', re.DOTALL)
+QUOTE, SLASH, COMMA = b'"\\,'
+STEP = np.zeros(256, np.int64)  # change of depth
+STEP[list(b"[{")], STEP[list(b"]}")] = 1, -1
+MARKS = STEP != 0
+MARKS[COMMA] = True
 TRANSITION = "array<struct<state:int,delta:int,low:int,marks:map<int,bigint>>>"
-CHUNKS = f"file string, block bigint, seq int, size bigint, bytes bigint, text string, moves {TRANSITION}"
-PIECES = "ordinal bigint, block bigint, seq int, text string, whole boolean"
-
-
-def _open_string(text: str, at: int) -> int:
-    tail = text[at:]
-    return ESCAPED if (len(tail) - len(tail.rstrip("\\"))) % 2 else STRING
-
-
-def scan(text: str, state: int) -> tuple[list[tuple[int, str]], int]:
-    """Brackets, braces and commas outside strings with their places, and the state at the end."""
-    at = 0
-    if state == ESCAPED:
-        if not text:
-            return [], ESCAPED
-        at, state = 1, STRING
-    if state == STRING:
-        rest = REST_OF_STRING.match(text, at)
-        if not rest:
-            return [], _open_string(text, at)
-        at = rest.end()
-    found = []
-    for m in TOKEN.finditer(text, at):
-        token = m.group()
-        if token[0] != '"':
-            found.append((m.start(), token))
-        elif len(token) == 1:
-            return found, _open_string(text, m.end())
-    return found, OUTSIDE
-
-
-def transition(text: str, state: int, elements: bool) -> dict:
+CHUNKS = f"file string, block bigint, seq int, size bigint, bytes bigint, text binary, moves {TRANSITION}"
+PIECES = "ordinal bigint, block bigint, seq int, text binary, whole boolean"
+
+
+def _slash_runs(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the backslashes and, for each, how many stand in a row up to it; one that is escaped itself does not count."""
+    at = np.flatnonzero(data == SLASH)
+    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    run = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) + 1
+    if state == ESCAPED and len(at) and at[0] == 0:
+        run[:first[1] if len(first) > 1 else len(run)] -= 1
+    return at, run
+
+
+def scan(text: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Brackets, braces and commas outside strings: their places, bytes and depths before them, and the state at the end."""
+    data = np.frombuffer(text, np.uint8)
+    slashes, run = _slash_runs(data, state)
+    quotes = np.flatnonzero(data == QUOTE)
+    before = np.searchsorted(slashes, quotes) - 1  # the last backslash before each quote
+    escaped = np.zeros(len(quotes), bool)
+    if len(slashes):
+        escaped = (before >= 0) & (slashes[before] == quotes - 1) & (run[before] % 2 == 1)
+    if state == ESCAPED and len(quotes) and quotes[0] == 0:
+        escaped[0] = True
+    quotes = quotes[~escaped]
+    inside = state != OUTSIDE
+    at = np.flatnonzero(MARKS[data])
+    at = at[(np.searchsorted(quotes, at) + inside) % 2 == 0]
+    token = data[at]
+    depth = np.cumsum(STEP[token]) - STEP[token]
+    if (len(quotes) + inside) % 2 == 0:
+        return at, token, depth, OUTSIDE
+    odd = bool(len(slashes)) and slashes[-1] == len(data) - 1 and run[-1] % 2 == 1
+    return at, token, depth, ESCAPED if odd or (state == ESCAPED and not len(data)) else STRING
+
+
+def transition(text: bytes, state: int, elements: bool) -> dict:
     """What a chunk does to a reader in ``state``; ``marks`` counts, by depth relative to the start, what begins a value there."""
-    found, end = scan(text, state)
-    depth, low, marks = 0, 0, {}
-    for _, token in found:
-        if token in "[{":
-            marks[depth] = marks.get(depth, 0) + 1
-            depth += 1
-        elif token in "]}":
-            depth -= 1
-            low = min(low, depth)
-        elif elements:  # a comma in an array that opened one level up
-            marks[depth - 1] = marks.get(depth - 1, 0) + 1
-    return {"state": end, "delta": depth, "low": low, "marks": list(marks.items())}
-
-
-def transitions(text: str, elements: bool) -> list[dict]:
+    _, token, depth, end = scan(text, state)
+    step = STEP[token]
+    level = depth[step > 0]
+    if elements:  # a comma in an array that opened one level up
+        level = np.append(level, depth[token == COMMA] - 1)
+    after = depth + step
+    marks = zip(*(x.tolist() for x in np.unique(level, return_counts=True)))
+    return {"state": end, "delta": int(step.sum()), "low": int(min(after.min(initial=0), 0)), "marks": list(marks)}
+
+
+def transitions(text: bytes, elements: bool) -> list[dict]:
     outside, string = (transition(text, s, elements) for s in (OUTSIDE, STRING))
-    escaped = string if text and text[0] not in '"\\' else transition(text, ESCAPED, elements)
+    escaped = string if text and text[0] not in (QUOTE, SLASH) else transition(text, ESCAPED, elements)
     return [outside, string, escaped]
 
 
-def pieces(text: str, state: int, depth: int, ordinal: int, elements: bool) -> Iterator[tuple[int, str, bool]]:
+def pieces(text: bytes, state: int, depth: int, ordinal: int, elements: bool) -> Iterator[tuple[int, bytes, bool]]:
     """``(ordinal, text, whole)`` of the values, or parts of values, of a chunk; ``ordinal`` values have begun before it.
 
-    A value is a top-level array or object, or an element of one with ``elements``. Text outside comes with the ordinal of the value it precedes.
+    A value is a top-level array or object, or an element of one with ``elements``. Text outside comes with the ordinal of the
+    value it precedes.
     """
-    found, _ = scan(text, state)
+    at, token, level, _ = scan(text, state)
+    level = level + depth
+    step = STEP[token]
+    border = ((step > 0) & (level == 0)) | ((step < 0) & (level == 1))
+    if elements:
+        border |= (token == COMMA) & (level == 1)
     start, whole = 0, depth == 0
-    for at, token in found:
-        if token in "[{":
-            if depth == 0:
-                if text[start:at].strip():
-                    yield ordinal, text[start:at], True
-                ordinal, start, whole = ordinal + 1, at + elements, True
-            depth += 1
-        elif token in "]}":
-            depth -= 1
-            if depth == 0:
-                yield ordinal - 1, text[start:at + (not elements)], whole
-                start, whole = at + 1, True
-        elif elements and depth == 1:
-            yield ordinal - 1, text[start:at], whole
-            ordinal, start, whole = ordinal + 1, at + 1, True
-    if depth > 0:
+    for place, change in zip(at[border].tolist(), step[border].tolist()):
+        if change > 0:
+            if text[start:place].strip():
+                yield ordinal, text[start:place], True
+            ordinal, start, whole = ordinal + 1, place + elements, True
+        elif change < 0:
+            yield ordinal - 1, text[start:place + (not elements)], whole
+            start, whole = place + 1, True
+        else:
+            yield ordinal - 1, text[start:place], whole
+            ordinal, start, whole = ordinal + 1, place + 1, True
+    if depth + int(step.sum()) > 0:
         yield ordinal - 1, text[start:], False
     elif text[start:].strip():
         yield ordinal, text[start:], True
@@ -107,31 +115,38 @@ def pieces(text: str, state: int, depth: int, ordinal: int, elements: bool) -> I
 def _chunks(spark: SparkSession, path: str, elements: bool, chunk: int) -> DataFrame:
     """The text of all files in chunks of about ``chunk`` characters, each with its transitions."""
 
-    def row(key: tuple, seq: int, parts: list[str]) -> dict:
-        text = "}".join(parts) + "}"
-        return {"file": key[0], "block": key[1], "size": key[2], "seq": seq, "bytes": len(text.encode("utf-8", "surrogatepass")),
+    def row(key: tuple, seq: int, parts: list[bytes]) -> dict:
+        text = b"}".join(parts) + b"}"
+        return {"file": key[0], "block": key[1], "size": key[2], "seq": seq, "bytes": len(text),
                 "text": text, "moves": transitions(text, elements)}
 
     def cut(batches):
         key, seq, parts, held = None, 0, [], 0
         kind = pa.list_(pa.struct([("state", pa.int32()), ("delta", pa.int32()), ("low", pa.int32()), ("marks", pa.map_(pa.int32(), pa.int64()))]))
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int32()), ("size", pa.int64()), ("bytes", pa.int64()),
-                            ("text", pa.string()), ("moves", kind)])
+                            ("text", pa.binary()), ("moves", kind)])
         for b in batches:
-            for file, block, size, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "size", "value"))):
-                if parts and (held >= chunk or (file, block, size) != key):
+            if not b.num_rows:
+                continue
+            file, block = b.column("file"), b.column("block")
+            new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+            starts = [0, *(np.flatnonzero(np.asarray(new)) + 1).tolist(), b.num_rows]
+            for at, end in zip(starts, starts[1:]):  # rows of one byte range
+                here = (file[at].as_py(), block[at].as_py(), b.column("size")[at].as_py())
+                if parts and (held >= chunk or here != key):
                     yield pa.RecordBatch.from_pylist([row(key, seq, parts)], schema)
                     seq, parts, held = seq + 1, [], 0
-                if (file, block, size) != key:
-                    key, seq = (file, block, size), 0
-                parts.append(value)
-                held += len(value) + 1
+                if here != key:
+                    key, seq = here, 0
+                more = b.column("value").slice(at, end - at).to_pylist()
+                parts += more
+                held += sum(map(len, more)) + len(more)
         if parts:
             yield pa.RecordBatch.from_pylist([row(key, seq, parts)], schema)
 
     meta = {"file": "file_path", "block": "file_block_start", "size": "file_size"}
     lines = spark.read.option("lineSep", "}").text(path)
-    rows = lines.select(*[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], "value")
+    rows = lines.select(*[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], F.col("value").cast("binary").alias("value"))
     return written(rows.mapInArrow(cut, CHUNKS), "json-chunks")
 
 
@@ -180,14 +195,14 @@ def read_json_values(spark: SparkSession, path: str, elements: bool = False, chu
                 text = r["text"][:-1] if r["cut"] else r["text"]
                 rows = [(n, r["block"], r["seq"], t, whole) for n, t, whole in pieces(text, r["state"], r["depth"], r["ordinal"], elements)]
                 columns = list(zip(*rows)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["ordinal", "block", "seq", "text", "whole"])
 
     found = written(ready.mapInArrow(cut, PIECES), "json-values")
     parts = found.filter("not whole").groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))).alias("parts"))
-    joined = parts.select("ordinal", F.concat_ws("", F.col("parts.text")).alias("text"))
+    joined = parts.select("ordinal", F.aggregate("parts.text", F.lit(b""), lambda a, b: F.concat(a, b)).alias("text"))
     values = found.filter("whole").select("ordinal", "text").unionByName(joined)
-    return values.select("ordinal", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).filter("text <> ''")
+    return values.select("ordinal", F.btrim(F.col("text").cast("string"), F.lit(" \t\r\n")).alias("text")).filter("text <> ''")
 
 
 def row_values(rows: DataFrame, value: str) -> DataFrame:
@@ -196,6 +211,6 @@ def row_values(rows: DataFrame, value: str) -> DataFrame:
     def cut(batches):
         for b in batches:
             texts = [t.strip() for line in b.column(0).to_pylist() if line for _, t, _ in pieces(line, OUTSIDE, 0, 0, False)]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t in texts if t], pa.string())], ["text"])
+            yield pa.RecordBatch.from_arrays([pa.array([t for t in texts if t], pa.binary()).cast(pa.string())], ["text"])
 
-    return rows.select(F.col(value).cast("string").alias("text")).mapInArrow(cut, "text string")
+    return rows.select(F.col(value).cast("string").cast("binary").alias("text")).mapInArrow(cut, "text string")

@@ -42,11 +42,12 @@ def test_every_cut_of_a_text_gives_the_same_values(seed):
     kept = [v for v in values if isinstance(v, (list, dict))]
     text = json.dumps(values, indent=rnd.choice([None, 1]), ensure_ascii=seed % 3 == 0) if elements else rnd.choice(["", " ", "\n"]).join(map(json.dumps, kept))
     size = rnd.choice([1, 2, 3, 7, 50, 10_000])
+    text = text.encode()
     state, depth, ordinal, parts = J.OUTSIDE, 0, 0, {}
     for at in range(0, len(text), size):
         chunk = text[at:at + size]
         for n, piece, _ in J.pieces(chunk, state, depth, ordinal, elements):
-            parts[n] = parts.get(n, "") + piece
+            parts[n] = parts.get(n, b"") + piece
         move = J.transitions(chunk, elements)[state]
         ordinal += dict(move["marks"]).get(-depth, 0)
         state, depth = move["state"], depth + move["delta"]
