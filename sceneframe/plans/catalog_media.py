@@ -342,6 +342,24 @@ def _match_rounded(spark, sf):
     return _match_rows(_matches(spark, sf, "rounded"))
 
 
+@query("match_templates_twisted", """with bits as (select vec_id as state_id, i // 8 as y, i % 8 as x, cast(embedding[i+1] > 0 as int) as b from embeddings, range(64) t(i)),
+tiles as (select state_id, (y // 3) * 2 + x // 3 as cell, sum(b << ((y % 3) * 3 + x % 3))::bigint as tile from bits where y < 6 and x < 6 group by all),
+panels as (select distinct tile as panel from tiles)
+select state_id, cell::int as cell, count(*) as n, min(panel)::int as first, max(panel)::int as last, sum(panel)::bigint as total
+from tiles join panels on bit_count(xor(tile, panel)) <= 4 group by state_id, cell""")
+def _match_twisted(spark, sf):
+    """3 x 3 tiles against all distinct tiles: a mean difference of a half or less rounds to none."""
+    e = F.col("embedding")
+    cells = [F.array(*[(e[(cy * 3 + dy) * 8 + cx * 3 + dx] > 0).cast("double") for dy in range(3) for dx in range(3)]) for cy in range(2) for cx in range(2)]
+    tiles = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("state_id"), F.posexplode(F.array(*cells)).alias("cell", "tile"))
+    number = sum((F.get("tile", F.lit(i)) * (1 << i) for i in range(9)), F.lit(0.0)).cast("int")
+    panels = tiles.select(number.alias("panel"), F.col("tile").alias("pattern")).distinct()
+    m = G.match_templates(tiles, panels, "twisted", 3, 3)
+    total = F.aggregate("panels", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return m.select("state_id", "cell", F.size("panels").cast("long").alias("n"), F.get("panels", F.lit(0)).alias("first"),
+                    F.try_element_at("panels", F.lit(-1)).alias("last"), total.alias("total"))
+
+
 PANELS = [p for p in range(16) if p.bit_count() != 2]
 
 
@@ -366,6 +384,21 @@ def _validity(spark, sf):
     return G.grid_validity(_matches(spark, sf, "block"), "state_id", PANELS)
 
 
+@query("grid_validity_exact", f"""with {EQUAL_MATCH}, c as (select state_id, cell, count(panel) as n, count(*) filter (where panel = 0) as k from m group by state_id, cell)
+select state_id, bool_and(n = 1) as panels_ok, bool_or(n = 0) as nomatch, bool_or(n > 1) as ambiguous, sum(k) = 1 as coverage_ok,
+  bool_and(n = 1) and sum(k) = 1 as valid from c group by state_id""")
+def _validity_exact(spark, sf):
+    """Panel 0 must stand in exactly one cell."""
+    return G.grid_validity(_matches(spark, sf, "plain"), "state_id", [0], "exact", [1])
+
+
+@query("grid_validity_free", f"""with {BLOCK_MATCH}, c as (select state_id, cell, count(panel) as n from m group by state_id, cell)
+select state_id, bool_and(n = 1) as panels_ok, bool_or(n = 0) as nomatch, bool_or(n > 1) as ambiguous, true as coverage_ok, bool_and(n = 1) as valid from c group by state_id""")
+def _validity_free(spark, sf):
+    """No rule on how often a panel stands."""
+    return G.grid_validity(_matches(spark, sf, "block"), "state_id", PANELS, None)
+
+
 @query("validity_counts", f"""with {EQUAL_MATCH}, {VALID}
 select count(*) filter (where not panels_ok) as panels_ng, count(*) filter (where nomatch) as nomatch, count(*) filter (where ambiguous) as ambiguous,
   count(*) filter (where panels_ok) as panels_ok, count(*) filter (where panels_ok and not coverage_ok) as duplicated, count(*) filter (where valid) as valid from v""")

@@ -33,10 +33,10 @@ def test_examples_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text and text.index("Final") < text.index("Partial")
 
 
-@pytest.mark.parametrize("name", ["atoms", "state_results", "sum_errors", "match_templates_plain", "write_codes_csv", "equalize_histogram"])
+@pytest.mark.parametrize("name", ["atoms", "state_results", "sum_errors", "write_codes_csv", "equalize_histogram"])
 def test_row_local_queries_do_not_shuffle_their_rows(name, spark):
     df = catalog.QUERIES[name](spark, SF_DIR)
-    main = plan(df).split("Subquery")[0] if name in ("match_templates_plain", "equalize_histogram") else plan(df)
+    main = plan(df).split("Subquery")[0] if name == "equalize_histogram" else plan(df)
     allowed = 0 if name != "sum_errors" else 2  # sum_errors pairs neighbouring states first
     assert main.count("Exchange hashpartitioning") <= allowed
 
