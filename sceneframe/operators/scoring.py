@@ -1,14 +1,15 @@
-"""The Python boundary: user-supplied array functions over state rows, and decision trees per predicate."""
+"""User-supplied array functions over state rows, classifier scores, and decision trees of predicates."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from sceneframe.session import written
 
 
 def score_states(states: DataFrame, keys: list[str], features: str,
@@ -41,27 +42,64 @@ def classify_rows(rows: DataFrame, model, score: str = "score") -> DataFrame:
     return model.transform(rows).withColumn(score, vector_to_array("probability")[1])
 
 
-def explain_predicates(arguments: DataFrame, features: list[str], predicates: list[str], max_depth: int = 10) -> DataFrame:
-    """One decision tree per predicate over the features of its arguments.
+def predicate_trees(arguments: DataFrame, features: list[str], predicates: list[str], max_depth: int = 60) -> DataFrame:
+    """A decision tree for each predicate over the features of its arguments: ``predicate, node, n, n_true, feature, threshold``.
 
-    Returns ``(predicate, depth, nodes, accuracy, rules)``. The predicates are a fixed few; each fit is a
-    distributed job over one cached, assembled table.
+    All trees grow together, one level a job: one aggregate counts every value of every feature in every open node of every predicate, the
+    split with the least Gini impurity is picked from running counts, and rows move on to their child by a join with
+    the splits. An impure node is split while a feature differs in it; splits that tie go to the first feature, then the
+    smaller value. Node 1 is the root, ``2n`` takes ``feature <= threshold`` and ``2n + 1`` the rest, with which a null counts. A null label leaves its row
+    out of that tree. Equal rows are counted once, so features of few values (codes, bins) make small tables.
     """
-    table = VectorAssembler(inputCols=features, outputCol="_x").transform(arguments).select(
-        "_x", *[F.col(p).cast("double").alias(p) for p in predicates]
-    ).persist()
-    spark = arguments.sparkSession
-    found = []
-    try:
-        for p in predicates:
-            model = DecisionTreeClassifier(featuresCol="_x", labelCol=p, maxDepth=max_depth).fit(table)
-            right = model.transform(table).agg(F.avg((F.col("prediction") == F.col(p)).cast("double"))).first()[0]
-            rules = model.toDebugString
-            for i, name in enumerate(features):
-                rules = rules.replace(f"(feature {i} ", f"({name} ")
-            found.append((p, model.depth, model.numNodes, float(right), rules))
-    finally:
-        table.unpersist()
-    return spark.createDataFrame(found, "predicate string, depth int, nodes int, accuracy double, rules string")
-
-
+    labels = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.col(p).cast("int").alias("y")) for i, p in enumerate(predicates)])).alias("_l")
+    x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
+    rows = arguments.select(x.alias("x"), labels).select("x", "_l.p", "_l.y").where("y is not null")
+    rows = written(rows.groupBy("p", "x").agg(F.count("*").alias("n"), F.sum("y").alias("n_true")), "tree-rows")
+    at, levels = rows.withColumn("node", F.lit(1).cast("bigint")), []
+    for level in range(max_depth + 1):
+        levels.append(written(_level(at.where(F.col("node") >= 1 << level), level < max_depth), "tree-level"))
+        split = levels[-1].where("f is not null").select("p", "node", "f", "value")
+        if split.isEmpty():
+            break
+        child = 2 * F.col("node") + (F.get("x", F.col("f")) > F.col("value")).cast("bigint")
+        at = at.join(split, ["p", "node"], "left").select("p", "x", "n", "n_true", F.coalesce(child, "node").alias("node"))
+    named = lambda names, index: F.get(F.array(*map(F.lit, names)), F.col(index))
+    tree = functools.reduce(DataFrame.unionByName, levels)
+    return tree.select(named(predicates, "p").alias("predicate"), "node", "n", "n_true", named(features, "f").alias("feature"), "threshold")
+
+
+def _level(rows: DataFrame, grow: bool) -> DataFrame:
+    """``p, node, n, n_true`` of the open nodes and their best split ``f, value, threshold``, null where a node stays a leaf."""
+    counts = rows.select("p", "node", "n", "n_true", F.posexplode("x").alias("f", "value")).groupBy("p", "node", "f", "value").agg(
+        F.sum("n").alias("n"), F.sum("n_true").alias("n_true"))
+    run = Window.partitionBy("p", "node", "f").orderBy("value")
+    whole = Window.partitionBy("p", "node", "f")
+    sums = {f"{side}_{c}": F.sum(c).over(w) for side, w in (("left", run), ("all", whole)) for c in ("n", "n_true")}
+    seen = counts.withColumns(sums | {"after": F.lead("value").over(run)})
+    impurity = lambda n, true: true * (n - true) / n
+    cost = F.round(impurity(F.col("left_n"), F.col("left_n_true"))
+                   + impurity(F.col("all_n") - F.col("left_n"), F.col("all_n_true") - F.col("left_n_true")), 9)
+    possible = F.lit(grow) & F.col("after").isNotNull() & (F.col("all_n_true") > 0) & (F.col("all_n_true") < F.col("all_n"))
+    split = F.when(possible, F.struct(cost.alias("cost"), "f", "value", "after"))
+    best = seen.groupBy("p", "node").agg(F.max("all_n").alias("n"), F.max("all_n_true").alias("n_true"), F.min(split).alias("s"))
+    return best.select("p", "node", "n", "n_true", "s.f", "s.value", ((F.col("s.value") + F.col("s.after")) / 2).alias("threshold"))
+
+
+def explain_predicates(arguments: DataFrame, features: list[str], predicates: list[str], max_depth: int = 60) -> DataFrame:
+    """``predicate, depth, nodes, accuracy, rules`` of each predicate's tree; a leaf predicts what most of its rows are, false on a tie."""
+    return tree_reports(predicate_trees(arguments, features, predicates, max_depth))
+
+
+def tree_reports(trees: DataFrame) -> DataFrame:
+    """One row for each tree of ``predicate_trees``."""
+    leaf, node = F.col("feature").isNull(), F.col("node")
+    right = F.when(leaf, F.greatest("n_true", F.col("n") - F.col("n_true"))).otherwise(0)
+    text = lambda c: c.cast("string")
+    rule = F.when(leaf, F.concat(F.lit("predict "), text((2 * F.col("n_true") > F.col("n")).cast("int")), F.lit(" ("), text(F.col("n_true")), F.lit(" of "), text(F.col("n")), F.lit(" true)")))
+    rule = rule.otherwise(F.concat(F.lit("if ("), F.col("feature"), F.lit(" <= "), text(F.col("threshold")), F.lit(") "), text(2 * node), F.lit(" else "), text(2 * node + 1)))
+    line = F.struct(node.alias("node"), F.concat(text(node), F.lit(": "), rule).alias("text"))
+    depth = F.floor(F.log2(node.cast("double") + 0.5)).cast("int")
+    return trees.groupBy("predicate").agg(
+        F.max(depth).alias("depth"), F.count("*").alias("nodes"),
+        (F.sum(right) / F.sum(F.when(leaf, F.col("n")).otherwise(0))).alias("accuracy"),
+        F.array_join(F.array_sort(F.collect_list(line))["text"], "\n").alias("rules"))

@@ -683,13 +683,51 @@ def _score(spark, sf):
     return coded.select("state_id", F.array_join(F.col("bits").cast("array<string>"), "").alias("code"))
 
 
-@query("explain_predicates")
+TREE_DEPTH = 3
+
+
+def _tree_sql(depth: int) -> str:
+    """The levels of all trees, one after the other."""
+    parts = ["""l0 as (select p, embedding as e, (embedding[p+1] * embedding[(p+8) % 64 + 1] > 0)::int as y, 1 as node from embeddings, range(64) t(p))"""]
+    for d in range(depth + 1):
+        parts.append(f"""h{d} as (select p, node, f, floor(e[f+1]::double * 8) as v, count(*) as n, sum(y) as k
+            from l{d}, range(64) t(f) where node >= {1 << d} group by all)""")
+        parts.append(f"""w{d} as (select *, sum(n) over r as ln, sum(k) over r as lk, sum(n) over g as an, sum(k) over g as ak, lead(v) over r as after
+            from h{d} window r as (partition by p, node, f order by v), g as (partition by p, node, f))""")
+        cost = "round(lk * (ln - lk) / ln::double + (ak - lk) * ((an - ln) - (ak - lk)) / (an - ln)::double, 9)"
+        parts.append(f"""b{d} as (select p, node, max(an) as n, max(ak) as k,
+            min(({cost}, f, v, after)) filter (where {d} < {depth} and after is not null and ak > 0 and ak < an) as s from w{d} group by p, node)""")
+        if d < depth:
+            parts.append(f"""l{d + 1} as (select l.p, e, y, case when s is null then l.node else 2 * l.node + (floor(e[s[2]+1]::double * 8) > s[3])::int end as node
+                from l{d} l left join b{d} b on b.p = l.p and b.node = l.node)""")
+    return "with " + ", ".join(parts) + ", trees as (" + " union all ".join(f"select {d} as d, * from b{d}" for d in range(depth + 1)) + ")"
+
+
+def _trees(spark, sf):
+    """64 bits of a state, each explained by all its 64 values in steps of an eighth."""
+    value = lambda i: F.col("embedding")[i]
+    table = V.table(spark, sf, "embeddings").select(
+        *[F.floor(value(i).cast("double") * 8).alias(f"f{i}") for i in range(64)],
+        *[(value(i) * value((i + 8) % 64) > 0).cast("int").alias(f"p{i}") for i in range(64)])
+    return SC.predicate_trees(table, [f"f{i}" for i in range(64)], [f"p{i}" for i in range(64)], TREE_DEPTH)
+
+
+@query("explain_predicates", _tree_sql(TREE_DEPTH) + """ select 'p' || p as predicate, max(d)::int as depth, count(*) as nodes,
+  round(sum(case when s is null then greatest(k, n - k) else 0 end)::double / sum(case when s is null then n else 0 end)::double, 9) as accuracy from trees group by p""")
 def _explain(spark, sf):
-    """Trees that explain eight bits by eight argument features."""
-    e = V.table(spark, sf, "embeddings")
-    table = e.select(*[F.floor(F.abs(F.col("embedding")[i]) * 3).alias(f"f{i}") for i in range(8)],
-                     *[(F.col("embedding")[i] * F.col("embedding")[i + 8] > 0).cast("int").alias(f"p{i}") for i in range(8)])
-    return SC.explain_predicates(table, [f"f{i}" for i in range(8)], [f"p{i}" for i in range(8)], 5).select("predicate", "depth", "nodes", "accuracy")
+    return SC.tree_reports(_trees(spark, sf)).select("predicate", "depth", "nodes", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query("predicate_trees", _tree_sql(TREE_DEPTH) + """ select 'p' || p as predicate, node::bigint as node, n::bigint as n, k::bigint as n_true,
+  'f' || s[2] as feature, (s[3] + s[4]) / 2 as threshold from trees""")
+def _predicate_trees(spark, sf):
+    return _trees(spark, sf)
+
+
+@query("classify_rows_range", "select doc_id, true as in_range from labels join documents using (doc_id)")
+def _classify_range(spark, sf):
+    """A score for every labelled document, and none beyond 0 and 1."""
+    return _classify(spark, sf).select("doc_id", F.col("score").between(0, 1).alias("in_range"))
 
 
 @query("classify_rows")

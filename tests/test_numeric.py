@@ -141,6 +141,42 @@ def test_scores_keep_keys_and_explanations_find_the_rule(spark):
     assert tree.accuracy == 1.0 and tree.depth == 1 and "(a " in tree.rules
 
 
+def plain_tree(x, y, depth, node=1):
+    """Reference: grow one tree by trying every split."""
+    n, k = len(y), int(y.sum())
+    best = None
+    if depth and 0 < k < n:
+        for f in range(x.shape[1]):
+            values = np.unique(x[:, f])
+            for v, after in zip(values, values[1:]):
+                left = x[:, f] <= v
+                cost = round(sum(y[s].sum() * (s.sum() - y[s].sum()) / s.sum() for s in (left, ~left)), 9)
+                if best is None or (cost, f, v) < best[:3]:
+                    best = (cost, f, v, (v + after) / 2)
+    if best is None:
+        return [(node, n, k, None, None)]
+    left = x[:, best[1]] <= best[2]
+    return ([(node, n, k, f"f{best[1]}", best[3])] + plain_tree(x[left], y[left], depth - 1, 2 * node) + plain_tree(x[~left], y[~left], depth - 1, 2 * node + 1))
+
+
+def test_trees_of_all_predicates_equal_one_by_one(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 5, (300, 4)).astype(float)
+    y = np.stack([(x[:, 0] > 2) ^ (x[:, 1] > 1), x[:, 2] + x[:, 3] > 4, np.zeros(300, bool), np.ones(300, bool), rng.random(300) < 0.3], axis=1).astype(int)
+    df = spark.createDataFrame([(*map(float, a), *map(int, b)) for a, b in zip(x, y)], [f"f{i}" for i in range(4)] + [f"p{i}" for i in range(5)])
+    for depth in (0, 3, 60):
+        got = SC.predicate_trees(df, [f"f{i}" for i in range(4)], [f"p{i}" for i in range(5)], depth).collect()
+        want = [(f"p{i}", *r) for i in range(5) for r in plain_tree(x, y[:, i], depth)]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_trees_take_nulls(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 0), (None, 1), (3.0, None), (None, None)], "a double, p int")
+    got = {r.node: (r.n, r.n_true, r.feature, r.threshold) for r in SC.predicate_trees(df, ["a"], ["p"]).collect()}
+    assert got[1] == (3, 2, "a", 1.5) and got[2] == (1, 1, None, None) and len(got) == 5
+    assert SC.explain_predicates(df.limit(0), ["a"], ["p"]).count() == 0
+
+
 def test_code_variance_and_prediction(spark):
     rng = np.random.default_rng(6)
     enc = rng.integers(0, 2, (5, 10, 7))

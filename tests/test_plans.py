@@ -5,14 +5,14 @@ from scene_helpers import SF_DIR
 
 from sceneframe.plans import catalog
 
-PYTHON_BOUNDARY = {"crop_resize", "read_array_archive", "score_states", "run_trials", "explain_predicates", "classify_rows"}
+PYTHON_BOUNDARY = {"crop_resize", "read_array_archive", "score_states", "run_trials", "classify_rows"}
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"explain_predicates", "classify_rows"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - {"classify_rows", "classify_rows_range"}))
 def test_no_crossed_joins_and_no_python(name, spark):
     text = plan(catalog.QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
