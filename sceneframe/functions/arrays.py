@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def exploded(df: DataFrame, array: str, index: str, item: str, keep: list[str] = []) -> DataFrame:
@@ -12,3 +14,8 @@ def exploded(df: DataFrame, array: str, index: str, item: str, keep: list[str] =
     generator, which evaluates a computed array again for every row.
     """
     return df.select(*keep, F.posexplode_outer(array).alias(index, item)).where(F.col(index).isNotNull())
+
+
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sceneframe.functions.arrays import exploded, held
 from sceneframe.functions.boxes import PATCH_SIZE, onehot_boxes
 
 BINS = 256  # fixed value: histogram bins of the equalization
@@ -154,49 +151,47 @@ def assemble_state(slots: DataFrame, patch: str = "patch", bins: tuple[str, ...]
     return slots.withColumn("features", F.concat(F.col(patch), code))
 
 
-def _bilinear(crop: np.ndarray, size: int) -> np.ndarray:
-    """Plain bilinear sampling at pixel centres of an (h, w, c) crop to (size, size, c)."""
-    h, w = crop.shape[:2]
+def _taps(n: Column, size: int) -> Column:
+    """For each of ``size`` pixel centres the two of ``n`` pixels around it and the share of the second: one row of a sparse matrix."""
+    top = n - 1
+
+    def tap(i: Column) -> Column:
+        at = F.greatest(F.least((i + 0.5) * n / size - 0.5, top.cast("double")), F.lit(0.0))
+        low = F.floor(at).cast("int")
+        return F.struct(low.alias("low"), F.least(low + 1, top).alias("high"), (at - low).alias("share"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), tap)
+
 
-    def taps(n: int):
-        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
-        low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, n - 1), at - low
+def _patch(pixels: Column, box: Column, height: Column, width: Column, channels: Column, size: int) -> Column:
+    """Bytes of a box's patch: plain bilinear sampling, rows times columns."""
+    x1, y1 = (F.greatest(box[c].cast("int"), F.lit(0)) for c in ("x1", "y1"))
+    x2, y2 = F.least(box["x2"].cast("int"), width), F.least(box["y2"].cast("int"), height)
 
-    y0, y1, fy = taps(h)
-    x0, x1, fx = taps(w)
-    fx, fy = fx[None, :, None], fy[:, None, None]
-    top = crop[y0][:, x0] * (1 - fx) + crop[y0][:, x1] * fx
-    bottom = crop[y1][:, x0] * (1 - fx) + crop[y1][:, x1] * fx
-    return np.rint(top * (1 - fy) + bottom * fy).astype(np.uint8)
+    def sampled(taps: Column) -> Column:
+        def value(r: Column, q: Column, k: Column) -> Column:
+            at = lambda row, column: F.get(pixels, ((y1 + row) * width + x1 + column) * channels + k)
+            line = lambda row: at(row, q["low"]) * (1 - q["share"]) + at(row, q["high"]) * q["share"]
+            return F.rint(line(r["low"]) * (1 - r["share"]) + line(r["high"]) * r["share"]).cast("int")
+
+        layers = F.sequence(F.lit(0), channels - 1)
+        rows = F.transform(taps["y"], lambda r: F.flatten(F.transform(taps["x"], lambda q: F.transform(layers, lambda k: F.char(value(r, q, k))))))
+        return F.array_join(F.flatten(rows), "")
+
+    taps = F.struct(_taps(y2 - y1, size).alias("y"), _taps(x2 - x1, size).alias("x"))
+    empty = F.repeat(F.char(F.lit(0)), channels * (size * size))
+    return F.encode(F.when((x2 > x1) & (y2 > y1), held(taps, sampled)).otherwise(empty), "ISO-8859-1")
 
 
 def crop_resize(images: DataFrame, size: int = PATCH_SIZE, keys: str = "image string") -> DataFrame:
-    """Crop every box of an image and resize it to ``size x size``; an empty box gives zeros.
+    """Crop every box of an image and resize it to ``size x size``; an empty or padding box gives zeros.
 
     ``images`` has the key, ``height, width, channels, data`` (row-major bytes) and ``boxes``, the
     ranked boxes of that image (at most one per slot) as ``array<struct<slot,x1,y1,x2,y2>>``. An image
-    is decoded once for all its boxes and Spark partitions the images.
+    is decoded once for all its boxes, inside its row.
     """
     key = keys.split()[0]
-
-    def crops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = {key: [], "slot": [], "patch": []}
-            for name, h, w, c, data, boxes in batch[[key, "height", "width", "channels", "data", "boxes"]].itertuples(index=False):
-                pixels = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c)
-                for box in boxes:
-                    x1, y1 = max(0, int(box["x1"])), max(0, int(box["y1"]))
-                    x2, y2 = min(w, int(box["x2"])), min(h, int(box["y2"]))
-                    if x2 <= x1 or y2 <= y1:
-                        patch = np.zeros((size, size, c), dtype=np.uint8)
-                    else:
-                        patch = _bilinear(pixels[y1:y2, x1:x2].astype(float), size)
-                    out[key].append(name)
-                    out["slot"].append(int(box["slot"]))
-                    out["patch"].append(patch.tobytes())
-            yield pd.DataFrame(out)
-
-    return images.select(key, "height", "width", "channels", "data", "boxes").mapInPandas(
-        crops, f"{keys}, slot int, patch binary"
-    )
+    pixels = F.transform(F.split(F.decode("data", "ISO-8859-1"), ""), F.ascii)
+    patch = lambda p: F.transform("boxes", lambda b: F.struct(
+        b["slot"].cast("int").alias("slot"), _patch(p, b, F.col("height"), F.col("width"), F.col("channels"), size).alias("patch")))
+    return exploded(images.withColumn("_patches", held(pixels, patch)), "_patches", "_at", "_p", [key]).select(key, "_p.slot", "_p.patch")

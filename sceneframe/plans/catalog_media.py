@@ -275,20 +275,27 @@ def _split_tiles(spark, sf):
     return PX.split_tiles(_px(spark, sf), 4, 3, 8, 8)
 
 
-@query("crop_resize")
+@query("crop_resize", """with px as (select vec_id as image, [(floor(abs(v::double) * 1000) % 256)::int for v in embedding] as p, embedding as e from embeddings),
+b as (select image, p, s, (floor(abs(e[4*s+1]::double) * 80) % 8)::int as x1, (floor(abs(e[4*s+2]::double) * 80) % 8)::int as y1,
+   (floor(abs(e[4*s+3]::double) * 50) % 5)::int as w, (floor(abs(e[4*s+4]::double) * 50) % 5)::int as h from px, range(16) t(s)),
+c as (select *, least(x1 + w, 8) - x1 as cw, least(y1 + h, 8) - y1 as ch from b),
+g as (select *, greatest(least((i + 0.5::double) * ch / 8 - 0.5::double, ch - 1), 0) as ay, greatest(least((j + 0.5::double) * cw / 8 - 0.5::double, cw - 1), 0) as ax
+   from c, range(8) r(i), range(8) q(j)),
+k as (select *, floor(ay)::int as y0, least(floor(ay)::int + 1, ch - 1) as y2, ay - floor(ay) as fy, floor(ax)::int as x0, least(floor(ax)::int + 1, cw - 1) as x2, ax - floor(ax) as fx from g),
+v as (select *, case when cw > 0 and ch > 0 then round_even((p[(y1+y0)*8+x1+x0+1] * (1 - fx) + p[(y1+y0)*8+x1+x2+1] * fx) * (1 - fy)
+   + (p[(y1+y2)*8+x1+x0+1] * (1 - fx) + p[(y1+y2)*8+x1+x2+1] * fx) * fy, 0)::int else 0 end as v from k)
+select image, s::int as slot, string_agg(printf('%02X', v), '' order by i, j) as patch from v group by image, s""")
 def _crop_resize(spark, sf):
-    """Patches of three boxes per 8 x 8 image; the resize has no SQL twin and is tested against numpy."""
-    byte = lambda v: F.floor((F.lit(1.0) / (F.lit(1.0) + F.exp(-v.cast("double")))) * 255).cast("int")
-    digits = F.transform("embedding", lambda v: F.lpad(F.hex(byte(v)), 2, "0"))
+    """16 boxes of every 8 x 8 image; those without width or height are black."""
     e = F.col("embedding")
-    at = lambda i, n: F.floor(F.abs(e[i].cast("double")) * 10 * n) % n
-    boxes = F.array(*[
-        F.struct(F.lit(s).alias("slot"), at(s, 8).alias("x1"), at(s + 3, 8).alias("y1"), (at(s, 8) + at(s + 6, 5)).alias("x2"), (at(s + 3, 8) + at(s + 9, 5)).alias("y2"))
-        for s in range(3)])
+    digits = F.transform(e, lambda v: F.lpad(F.hex((F.floor(F.abs(v.cast("double")) * 1000) % 256).cast("int")), 2, "0"))
+    at = lambda i, n: F.floor(F.abs(e[i].cast("double")) * (10 * n)) % n
+    box = lambda s: F.struct(F.lit(s).alias("slot"), at(4 * s, 8).alias("x1"), at(4 * s + 1, 8).alias("y1"),
+                             (at(4 * s, 8) + at(4 * s + 2, 5)).alias("x2"), (at(4 * s + 1, 8) + at(4 * s + 3, 5)).alias("y2"))
     images = V.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"),
-        F.unhex(F.array_join(digits, "")).alias("data"), boxes.alias("boxes"))
-    return PX.crop_resize(images, 8, "image long").select("image", "slot", F.md5("patch").alias("patch_md5"), F.length("patch").alias("bytes"))
+        F.unhex(F.array_join(digits, "")).alias("data"), F.array(*[box(s) for s in range(16)]).alias("boxes"))
+    return PX.crop_resize(images, 8, "image long").select("image", "slot", F.hex("patch").alias("patch"))
 
 
 # ---- grids

@@ -5,7 +5,7 @@ from scene_helpers import SF_DIR
 
 from sceneframe.plans import catalog
 
-PYTHON_BOUNDARY = {"crop_resize", "read_array_archive", "score_states", "run_trials", "classify_rows"}
+PYTHON_BOUNDARY = {"read_array_archive", "score_states", "run_trials", "classify_rows"}
 
 
 def plan(df) -> str:
