@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,23 +32,46 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+_passing: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a later step must see exactly the rows (and partition numbers) of one
-    evaluation; files on shared storage survive the loss of any executor.
+    evaluation; files on shared storage survive the loss of any executor. Inside ``passing_tables`` the table goes
+    at the end of the block, unless it is to ``keep``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    if not keep and _passing.get() is not None:
+        _passing.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written inside are deleted at the end; what is made of them must be written, and kept, before."""
+    paths: list[str] = []
+    outer = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(outer)
+        for path in paths:
+            _delete(spark, path)
+
+
 def removed(df: DataFrame) -> None:
     """Delete the scratch tables that ``df`` was read from; for their owner, once what was made of them is written."""
     spark = df.sparkSession
     folder = shared_folder(spark).split(":", 1)[-1].lstrip("/")
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
         if folder in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
