@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sceneframe.llm.components import merged_labels
 from sceneframe.llm.recent import Recent
 from sceneframe.llm.text import whole_text
-from sceneframe.session import written
+from sceneframe.session import passing_tables, written
 
 SHINGLE = 5
 SAMPLED = 0.4  # part of the hash range that the first filter looks at
@@ -325,7 +325,8 @@ def one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     """
     numbered = written(docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("bigint").alias("d"), F.xxhash64(whole_text(text)).alias("t"))
                        .withColumn("number", F.monotonically_increasing_id()), "numbered-rows")
-    found = written(classes(numbered.select(F.col(f"row.{text}").alias("text"), "d"), "text", "d"), "classes")
+    with passing_tables(docs.sparkSession):
+        found = written(classes(numbered.select(F.col(f"row.{text}").alias("text"), "d"), "text", "d"), "classes", keep=True)
     first = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc", "tie")).alias("f"))
     stay = first.select("f.doc", "f.tie")
     same = lambda: F.col("d").eqNullSafe(F.col("doc")) & (F.col("t") == F.col("tie"))

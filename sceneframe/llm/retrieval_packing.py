@@ -143,27 +143,32 @@ def _lay(pieces: list, held: list[tuple[int, int, int]], fill: int, window: int,
     return sequence
 
 
+def id_type(tokenizer: str) -> str:
+    """The smaller of two integer types that holds every id of the vocabulary."""
+    return "<u2" if word_bpe(tokenizer).vocabulary <= 1 << 16 else "<u4"
+
+
 def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``key, tie, ids`` of the rows ``key, tie, body``: the packed ids of each text and its end."""
-    end = np.asarray([end_id], "<u4").tobytes()
+    """``key, tie, ids`` of the rows ``key, tie, body``: the packed ids of each text and its end, as ``id_type`` integers."""
+    end, kind = np.asarray([end_id], "<u4").tobytes(), id_type(tokenizer)
 
     def encode(batches):
         encoder = word_bpe(tokenizer)
         for b in batches:
-            ids = [encoder.encode(body) + end for body in b.column("body").to_pylist()]
+            ids = [np.frombuffer(encoder.encode(body) + end, "<u4").astype(kind).tobytes() for body in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("tie"), pa.array(ids, pa.binary())], ["key", "tie", "ids"])
 
     return rows.select("key", "tie", "body").mapInArrow(encode, "key long, tie long, ids binary")
 
 
-def corpus_of(tokens: DataFrame, window: int) -> Corpus:
+def corpus_of(tokens: DataFrame, window: int, kind: str = "<u4") -> Corpus:
     """Figures of all rests: one row for each token id of the vocabulary at most comes to the driver."""
 
     def count(batches):
         df, n, length = np.zeros(0, np.int64), 0, 0
         for b in batches:
             for x in b.column("ids").to_pylist():
-                rest = rest_of(np.frombuffer(x, "<u4"), window)
+                rest = rest_of(np.frombuffer(x, kind), window)
                 terms = np.unique(rest)
                 if len(terms) and terms[-1] >= len(df):
                     df = np.append(df, np.zeros(terms[-1] + 1 - len(df), np.int64))
@@ -186,14 +191,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
     body = whole_text(text).cast("binary")
     rows = docs.select(F.col(key).cast("bigint").alias("key"), body.alias("body")).withColumn("tie", F.xxhash64("body"))
     tokens = written(encoded(rows, tokenizer, end_id), "token-ids")
-    corpus = corpus_of(tokens, window)
+    kind = id_type(tokenizer)
+    corpus = corpus_of(tokens, window, kind)
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("tie", "ascending")])
         keys, number = table.column("key").to_pylist(), table.column("shard")[0].as_py()
-        ids = [np.frombuffer(x, "<u4") for x in table.column("ids").to_pylist()]
+        ids = [np.frombuffer(x, kind) for x in table.column("ids").to_pylist()]
         pieces = pack_shard(ids, window, corpus)
-        crc = [zlib.crc32(ids[d][at:at + n].tobytes()) for d, at, n, _, _ in pieces]
+        crc = [zlib.crc32(ids[d][at:at + n].astype("<u4").tobytes()) for d, at, n, _, _ in pieces]
         column = lambda values: pa.array(values, pa.int64())
         return pa.table({
             "doc_id": column([keys[p[0]] for p in pieces]), "start": column([p[1] for p in pieces]),
