@@ -113,9 +113,12 @@ def pack_shard(ids: list[np.ndarray], window: int = WINDOW, corpus: Corpus | Non
         rests.held, rests.fill = [], 0
         rests.take(seed)
         near = index.neighbours(seed, rests.size > 0) if rests.fill < window else []
-        for k in near:  # whole neighbours first
-            if rests.size[k] <= window - rests.fill:
+        later = np.asarray(near, np.int64)
+        while len(later := later[rests.size[later] <= window - rests.fill]):  # whole neighbours first, each that fits what is left
+            n = int(np.searchsorted(np.cumsum(rests.size[later]), window - rests.fill, side="right"))
+            for k in later[:n]:
                 rests.take(k)
+            later = later[n:]
         for k in near:  # then the best of the others is cut
             if rests.fill == window:
                 break
@@ -148,9 +151,9 @@ def id_type(tokenizer: str) -> str:
     return "<u2" if word_bpe(tokenizer).vocabulary <= 1 << 16 else "<u4"
 
 
-def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``key, tie, ids`` of the rows ``key, tie, body``: the packed ids of each text and its end, as ``id_type`` integers."""
-    end, kind = np.asarray([end_id], "<u4").tobytes(), id_type(tokenizer)
+def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID, kind: str = "<u4") -> DataFrame:
+    """``key, tie, ids`` of the rows ``key, tie, body``: the packed ids of each text and its end, as integers of a ``kind``."""
+    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
         encoder = word_bpe(tokenizer)
@@ -190,8 +193,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
     """The pieces of all documents: token ids are written once, counted over all documents and shuffled once, by shard."""
     body = whole_text(text).cast("binary")
     rows = docs.select(F.col(key).cast("bigint").alias("key"), body.alias("body")).withColumn("tie", F.xxhash64("body"))
-    tokens = written(encoded(rows, tokenizer, end_id), "token-ids")
     kind = id_type(tokenizer)
+    tokens = written(encoded(rows, tokenizer, end_id, kind), "token-ids")
     corpus = corpus_of(tokens, window, kind)
 
     def shard(table: pa.Table) -> pa.Table:
