@@ -618,6 +618,29 @@ def _random_configs(spark, sf):
     return TR.random_configs(_lists(spark, sf), 500, 13)
 
 
+def _unit_sql(expr):
+    return f"(({h60(expr, 17)})::double + 0.5::double) / 1152921504606846976.0::double"
+
+
+@query("next_generation", f"""with {V.TRIALS}, top as (select row_number() over (order by eval, trial) - 1 as i, * from trials qualify i < 10),
+opts as (select distinct 'a' as k, a as v from trials union select distinct 'p', p from trials union select distinct 'u', u from trials),
+near as (select i, k, v, case when k = 'u' then v else u end as u, case when k = 'a' then v else a end as a, case when k = 'p' then v else p end as p
+   from top, opts where v <> case k when 'u' then u when 'a' then a else p end),
+free as (select i, list((u, a, p) order by k, v) as open from near n where not exists (select 1 from trials t where t.u = n.u and t.a = n.a and t.p = n.p) group by i),
+tries as (select c, j, ({_unit_sql("c || '|' || j || '|kind'")}) < (select min(eval)::double / max(eval)::double from top) or j = 4 as mutates from range(300) r(c), range(5) q(j)),
+keyed as (select c, j, mutates, t.*, row_number() over (partition by c, j order by -ln({_unit_sql("c || '|' || j || '|' || i")}) * eval::double, i) as nth from tries, top t),
+pair as (select x.c, x.j, x.mutates, x.i, x.u as u1, x.a as a1, x.p as p1, y.u as u2, y.a as a2, y.p as p2 from keyed x join keyed y on x.c = y.c and x.j = y.j and x.nth = 1 and y.nth = 2),
+made as (select c, j, mutates, case when mutates then open[({h60("c || '|' || j || '|near'", 17)}) % len(open) + 1] else
+   (case when {_unit_sql("c || '|' || j || '|u'")} < 0.5 then u1 else u2 end, case when {_unit_sql("c || '|' || j || '|a'")} < 0.5 then a1 else a2 end,
+    case when {_unit_sql("c || '|' || j || '|p'")} < 0.5 then p1 else p2 end) end as f from pair left join free using (i)),
+fresh as (select * from made where f is not null and not exists (select 1 from trials t where t.u = f[1] and t.a = f[2] and t.p = f[3]) qualify row_number() over (partition by c order by j) = 1)
+select c as child, case when mutates then 'mutation' else 'crossover' end as kind, f[1] as u, f[2] as a, f[3] as p from fresh qualify row_number() over (partition by f order by c) = 1""")
+def _next_generation(spark, sf):
+    """300 children of the ten best trials."""
+    g = TR.next_generation(V.trials(spark, sf), _lists(spark, sf), 300, 10, seed=17, attempts=5)
+    return g.select("child", "kind", *[F.col("config")[k].alias(k) for k in "uap"])
+
+
 def _distance_task(config: dict) -> float:
     size = int(config["p"])
     if size % 7 == 0:
