@@ -2,16 +2,18 @@
 
 Spans come from three base patterns and from bare tokens that look like live credentials. The value of every candidate is
 hashed; over the whole corpus a hash is counted by distinct repositories and by distinct owners. A value that one owner
-alone holds is a live-looking credential, one that several owners hold is a copied example. Bare tokens become spans only
-where one owner alone holds them; base spans always stay.
+alone holds, in few repositories, is a live-looking credential; one that several owners or many repositories hold is a
+copied example, also where all of these belong to one owner. Bare tokens become spans only where they are live; base spans
+always stay.
 
 Positions are code points. They follow from the matches and the pieces between them, so everything is an array expression
 of the row; only candidates (hash, repository, owner) are shuffled, pre-aggregated, and joined back by hash, where AQE may
 split a hash that a third of all rows hold.
 
 Defined results: a null text counts as empty. A null repository or owner is no repository or owner, so a candidate whose
-owner is unknown everywhere is never live. Every row keeps a row of its own, repeated ``doc_id`` included. Only the named
-columns are read, so others may have any name.
+owner is unknown everywhere is never live. Every row keeps a row of its own, repeated ``doc_id`` included; such rows are one
+repository. Texts of any length are scanned whole. An empty table gives no row. Only the named columns are read, so others
+may have any name.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ MIN_ASSIGNED = 12
 BARE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 MIN_DIFFERENT = 10
 
+FEW_REPOSITORIES = 5  # a credential is used in some places of its owner; more than these are copies
+
 SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
 
 
@@ -94,14 +98,16 @@ def ownership(found: DataFrame) -> DataFrame:
         F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
 
 
-def classified(scanned: DataFrame) -> DataFrame:
-    """The scanned rows with ``live`` (hashes that one owner alone holds) and ``n_copied`` (hashes of several owners)."""
+def classified(scanned: DataFrame, few: int = FEW_REPOSITORIES) -> DataFrame:
+    """The scanned rows with ``live`` (hashes of one owner and at most ``few`` repositories) and ``n_copied`` (of more of either)."""
     found = candidates(scanned)
+    live = (F.col("n_owners") == 1) & (F.col("n_repositories") <= few)
+    copied = (F.col("n_owners") > 1) | (F.col("n_repositories") > few)
     verdicts = (
         found.select("row", "hash").join(ownership(found), "hash")
         .groupBy("row").agg(
-            F.collect_list(F.when(F.col("n_owners") == 1, F.col("hash"))).alias("live"),
-            F.count(F.when(F.col("n_owners") > 1, 1)).alias("n_copied"),
+            F.collect_list(F.when(live, F.col("hash"))).alias("live"),
+            F.count(F.when(copied, 1)).alias("n_copied"),
             F.max("n_repositories").alias("most_repositories"),
         )
     )

@@ -49,6 +49,17 @@ def test_tokens_of_one_owner_are_added_and_copied_ones_are_not(spark):
     assert got[2].n_copied == 1 and got[8].n_live == 1 and got[6].spans == got[7].spans == ""
 
 
+def test_a_token_in_many_repositories_of_one_owner_is_copied(spark):
+    few = s.FEW_REPOSITORIES
+    table = [(i, f"call {COPIED} now", None, "hot", 0) for i in range(500)] + [(1000 + i, LIVE, None, "hot", 0) for i in range(few)]
+    table += [(1000, LIVE, None, "hot", 0)] * 3  # rows that repeat are one repository
+    got = s.report(spark.createDataFrame(table, SCHEMA)).collect()
+    assert {(r.n_live, r.n_copied, r.spans, r.most_repositories) for r in got if r.doc_id < 500} == {(0, 1, "", 500)}
+    assert {(r.n_live, r.n_copied, r.spans) for r in got if r.doc_id >= 1000} == {(1, 0, "owned:0:20")}
+    clean = rows(s.redact(spark.createDataFrame(table, SCHEMA)).select("doc_id", "text"))
+    assert (7, f"call {COPIED} now") in clean and (1000, "[SECRET]") in clean
+
+
 def test_redaction_leaves_no_span_and_keeps_the_rest(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     got = rows(s.redact(df).select("doc_id", "text"))
