@@ -29,6 +29,38 @@ from sceneframe.llm.text import whole_text
 NEVER = 1 << 60
 
 
+class Endings:
+    """Every way in which the bytes read so far can begin or be a token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.made = ranks, {}
+        self.beginnings = {t[:n] for t in ranks for n in range(len(t) + 1)}
+
+    def of(self, read: bytes) -> Ending:
+        """The ending of some bytes, made when it is first met; there are no more of them than beginnings of tokens."""
+        while read not in self.beginnings:
+            read = read[1:]
+        if read not in self.made:
+            self.made[read] = Ending(self, read)
+        return self.made[read]
+
+
+class Ending(dict):
+    """The longest end of the bytes read so far that begins a token; ``ending[byte]`` is the one after the next byte."""
+
+    __slots__ = ("among", "read", "tokens")
+
+    def __init__(self, among: Endings, read: bytes):
+        super().__init__()
+        self.among, self.read = among, read
+        tails = [read[i:] for i in range(len(read))]
+        self.tokens = [(len(t), among.ranks[t]) for t in tails if t in among.ranks]  # all that end here, longest first
+
+    def __missing__(self, byte: int) -> Ending:
+        self[byte] = after = self.among.of(self.read + bytes([byte]))
+        return after
+
+
 class ByteBpe:
     """Encoder over ranks (token bytes -> id); ids are ranks."""
 
@@ -36,6 +68,7 @@ class ByteBpe:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self._ending = Endings(ranks).of(b"")
         self._spines = {}
         self._fits = Recent(self._keeps_border, memory)
 
@@ -63,11 +96,14 @@ class ByteBpe:
             self._spines[key] = out
         return self._spines[key]
 
-    def _keeps_border(self, pair: tuple[int, int]) -> bool:
-        """No part at the right border of the first token ever merges with one at the left border of the second."""
+    def _keeps_border(self, pair: int) -> bool:
+        """No part at the right border of the first token ever merges with one at the left border of the second.
+
+        ``pair`` holds the first token in its upper bits, the second in its lower 32.
+        """
         get = self.ranks.get
-        for left, left_ends in self._spine(pair[0], 1):
-            for right, right_ends in self._spine(pair[1], 0):
+        for left, left_ends in self._spine(pair >> 32, 1):
+            for right, right_ends in self._spine(pair & 0xFFFFFFFF, 0):
                 rank = get(left + right)
                 # of equal ranks the leftmost merge comes first
                 if rank is not None and rank < left_ends and rank <= right_ends and self._together(left, right, left_ends, right_ends):
@@ -81,11 +117,14 @@ class ByteBpe:
 
     def extend(self, table: list[int], piece: bytes, stop: int | None = None) -> list[int]:
         """Grow the table of last tokens, by prefix length from 1, to the whole piece (or to ``stop`` bytes)."""
-        get, fits, longest = self.ranks.get, self._fits, self.longest
-        for end in range(len(table) + 1, (len(piece) if stop is None else stop) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(piece[start:end])
-                if token is not None and (start == 0 or fits[table[start - 1], token]):
+        fits, at = self._fits, len(table)
+        ending = self._ending
+        for byte in piece[max(0, at - self.longest):at]:  # no token that ends later begins before these
+            ending = ending[byte]
+        for end, byte in enumerate(piece[at:stop], at):
+            ending = ending[byte]
+            for size, token in ending.tokens:
+                if size > end or fits[table[end - size] << 32 | token]:
                     table.append(token)
                     break
             else:
@@ -129,7 +168,8 @@ class TextEncoder:
         unicode_space = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(unicode_space)
         self.wide_gap = regex.compile(r"[\p{White_Space}\x1c-\x1f] ")
-        self.piece_ids = Recent(lambda piece: self.bpe.encode(piece.encode("utf-8")), memory)
+        self.numbers = {i: b"%d" % i for i in ranks.values()}
+        self.piece_ids = Recent(lambda piece: b" ".join(map(self.numbers.__getitem__, self.bpe.encode(piece.encode("utf-8")))), memory)
         self.run_ids = Recent(lambda run: self._shown(" " + run), memory)
         self.bytes_of = {b"%d" % i: t for t, i in ranks.items()}
 
@@ -137,7 +177,7 @@ class TextEncoder:
         return self.pieces.findall(text)
 
     def _shown(self, text: str) -> bytes:
-        return b" ".join([b"%d" % i for piece in self.split(text) for i in self.piece_ids[piece]])
+        return b" ".join(map(self.piece_ids.__getitem__, self.split(text)))
 
     def shown(self, text: str) -> bytes:
         """All ids of the text."""
