@@ -42,17 +42,20 @@ def shingle_rows(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return some.select(*keep, F.inline(slices)).select(*keep, F.xxhash64(*[f"w{k}" for k in range(SHINGLE)]).alias("term"))
 
 
-def _unit(bits: Column, width: int) -> Column:
-    """The low ``width`` bits as a number between 0 and 1."""
-    return (bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5) / F.lit(float(1 << width))
+def _low(bits: Column, width: int) -> Column:
+    """The low ``width`` bits and a half."""
+    return bits.bitwiseAND(F.lit((1 << width) - 1)).cast("double") + 0.5
 
 
 def _value(seed: Column, k: int, log_weight: Column) -> Column:
-    """``a`` of one sample: 21 bits each for the two parts of ``r`` and for ``b``, 32 each for the two parts of ``c``."""
+    """``a`` of one sample: 21 bits each for the two parts of ``r`` and for ``b``, 32 each for the two parts of ``c``.
+
+    Factors that are powers of two bring the bits between 0 and 1; unlike quotients they need no test for zero.
+    """
     one, two = F.xxhash64(seed, F.lit(2 * k)), F.xxhash64(seed, F.lit(2 * k + 1))
-    r = -F.log(_unit(one, 21) * _unit(F.shiftrightunsigned(one, 21), 21))
-    b = _unit(F.shiftrightunsigned(one, 42), 21)
-    c = -F.log(_unit(two, 32) * _unit(F.shiftrightunsigned(two, 32), 32))
+    r = -F.log(_low(one, 21) * _low(F.shiftrightunsigned(one, 21), 21) * F.lit(2.0 ** -42))
+    b = _low(F.shiftrightunsigned(one, 42), 21) * F.lit(2.0 ** -21)
+    c = -F.log(_low(two, 32) * _low(F.shiftrightunsigned(two, 32), 32) * F.lit(2.0 ** -64))
     return c * F.exp(-r * (F.floor(log_weight / r + b) - b + 1))
 
 
