@@ -72,13 +72,16 @@ def features(text: str) -> np.ndarray:
 
 
 def sample(docs: DataFrame, text: str, key: str, label: str, per_language: int) -> DataFrame:
-    """``lang, body`` of the training sample; the text is read only for rows that the hash threshold lets through."""
+    """``lang, body`` of the training sample; a text leaves its task only if the hash threshold lets its row through.
+
+    The thresholds, one a language, are literals of the filter.
+    """
     rows = docs.filter(~held_out(F.col(key)) & F.col(label).isNotNull()).select(
         F.col(label).alias("lang"), F.col(text).alias("body"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("at"))
-    sizes = rows.groupBy("lang").count()
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     # about twice the bound by the threshold, then exactly the bound
-    share = sizes.select("lang", F.ceil(F.lit(2 * per_language << 30) / F.col("count")).alias("below"))
-    some = rows.join(share, "lang").filter("at < below").select("lang", "at", "body")
+    below = [F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, -(-(2 * per_language << 30) // n))]
+    some = rows.filter(F.col("at") < F.create_map(*below)[F.col("lang")] if below else F.lit(False))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", F.xxhash64("body")))
     return some.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("lang", "body")
 
