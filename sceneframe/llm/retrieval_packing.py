@@ -1,15 +1,17 @@
 """Pack documents into token windows, each filled with lexical neighbours of its seed.
 
-Documents are dealt into shards by a hash; a shard has about ``SHARD_ROWS`` documents, so their number grows with the
-table and the index of one shard fits one task. Whole windows of a long document are cut off first. The rest of each
-document is indexed: BM25 over all its distinct token ids, with the number, mean length and document frequencies of the
-rests of the whole table. A seed is still compared with the rests of its own shard only. Until all is used, the longest unused rest seeds a window, its
+Whole windows of a long document are cut off first. The rest of each document is indexed: BM25 over all its distinct
+token ids, with the number, mean length and document frequencies of the rests of the whole table. Documents are dealt into
+shards by content: the ``NEAREST`` most similar of ``PIVOTS`` documents, in order, are the cell of a rest; cells lie side by
+side in one order, which is cut into shards of about ``SHARD_ROWS`` documents, so that the index of one shard fits one task. A
+cell larger than a shard is spread over several by a hash. Pivots are the documents with the least hashes of their rests, a
+fixed number at every size; all else covers the whole table. A seed is compared with the rests of its own shard. Until all is used, the longest unused rest seeds a window, its
 neighbours are scored through the inverted index, and the window takes them in descending score while they fit; the last
 one is cut to fill it exactly and its remainder stays in the index. What a shard has left at its end is cut into powers of
 two, which need no padding.
 
 Defined results: a null text counts as empty and has the end id alone; every row is packed by itself, repeated ones
-included, and its id is only carried along; scores that tie are taken in the order of the shard's rows; an empty table
+included, and its id is only carried along, so equal rows may lie in several shards; scores that tie are taken in the order of the shard's rows; an empty table
 gives no piece.
 """
 
@@ -30,6 +32,8 @@ from sceneframe.llm.word_bpe import word_bpe
 END_ID = 2
 WINDOW = 4096
 SHARD_ROWS = 2000
+PIVOTS, NEAREST = 64, 3
+DRAW_BITS = 31
 K1, B = 1.2, 0.75  # usual BM25 constants
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -188,13 +192,78 @@ def corpus_of(tokens: DataFrame, window: int, kind: str = "<u4") -> Corpus:
     return Corpus(n, length / max(n, 1), df)
 
 
+class Cells:
+    """Where rests lie among some pivots: the ranks of the nearest ones are the digits of a cell."""
+
+    def __init__(self, pivots: list[np.ndarray], corpus: Corpus):
+        self.idf = np.log1p((corpus.n - corpus.df + 0.5) / (corpus.df + 0.5)).astype(np.float32)
+        columns = np.zeros((len(self.idf), max(1, len(pivots))), np.float32)
+        for j, pivot in enumerate(pivots):
+            terms = np.unique(pivot)
+            columns[terms, j] = self.idf[terms] / max(np.linalg.norm(self.idf[terms]), 1e-9)
+        likeness = columns.T @ columns
+        direction = np.linalg.svd(likeness - likeness.mean(0))[0][:, 0]  # similar pivots get neighbouring ranks
+        self.columns = np.ascontiguousarray(columns[:, np.argsort(direction, kind="stable")])
+
+    def of(self, rest: np.ndarray) -> int:
+        terms = np.unique(rest)
+        near = np.argsort(-(self.idf[terms] @ self.columns[terms]), kind="stable")[:NEAREST]
+        cell = 0
+        for rank in near:
+            cell = cell * PIVOTS + int(rank)
+        return cell
+
+
+def cells_of(tokens: DataFrame, window: int, kind: str, corpus: Corpus) -> Cells:
+    """The cells around the ``PIVOTS`` different rests with the least hashes; only these come to the driver."""
+    size = np.dtype(kind).itemsize * window
+    rest = F.expr(f"substring(ids, cast(octet_length(ids) div {size} * {size} + 1 as int), {size})")
+    rests = tokens.select(rest.alias("rest")).where(F.octet_length("rest") > 0).withColumn("draw", F.xxhash64("rest"))
+    least = [r.draw for r in rests.select("draw").distinct().orderBy("draw").limit(PIVOTS).collect()]
+    found = rests.where(F.col("draw").isin(least)).groupBy("draw").agg(F.min("rest").alias("rest")).orderBy("draw").collect()
+    return Cells([np.frombuffer(r.rest, kind) for r in found], corpus)
+
+
+def dealt(tokens: DataFrame, window: int, kind: str, corpus: Corpus, shard_rows: int) -> DataFrame:
+    """``key, tie, ids, shard`` of all rows: neighbours among the cells share a shard.
+
+    One row for each cell, ``PIVOTS ** NEAREST`` at most, comes to the driver.
+    """
+    cells = cells_of(tokens, window, kind, corpus)
+
+    def number(ids: pa.Array) -> np.ndarray:
+        return np.array([cells.of(rest_of(np.frombuffer(x, kind), window)) for x in ids.to_pylist()], np.int64)
+
+    def count(batches):
+        for b in batches:
+            cell, n = np.unique(number(b.column("ids")), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    counts = tokens.select("ids").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = counts.sort_by("cell")
+    known, size = (counts.column(c).to_numpy() for c in ("cell", "n"))
+    before = np.cumsum(size) - size
+    shards = max(1, math.ceil(corpus.n / shard_rows))
+
+    def deal(batches):
+        for b in batches:
+            at = np.minimum(np.searchsorted(known, number(b.column("ids"))), len(known) - 1)
+            place = before[at] + (b.column("draw").to_numpy() * size[at] >> DRAW_BITS)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("tie"), b.column("ids"), pa.array(place * shards // corpus.n)],
+                                             ["key", "tie", "ids", "shard"])
+
+    draw = F.xxhash64("key", "tie", "row").bitwiseAND(F.lit((1 << DRAW_BITS) - 1))
+    return tokens.select("key", "tie", "ids", draw.alias("draw")).mapInArrow(deal, "key long, tie long, ids binary, shard long")
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW,
                    shard_rows: int = SHARD_ROWS, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents: token ids are written once, counted over all documents and shuffled once, by shard."""
+    """The pieces of all documents: token ids are written once, counted over all documents
+    and shuffled once, by shard."""
     body = whole_text(text).cast("binary")
     rows = docs.select(F.col(key).cast("bigint").alias("key"), body.alias("body")).withColumn("tie", F.xxhash64("body"))
     kind = id_type(tokenizer)
-    tokens = written(encoded(rows, tokenizer, end_id, kind), "token-ids")
+    tokens = written(encoded(rows, tokenizer, end_id, kind).withColumn("row", F.monotonically_increasing_id()), "token-ids")
     corpus = corpus_of(tokens, window, kind)
 
     def shard(table: pa.Table) -> pa.Table:
@@ -210,5 +279,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
             "doc_tokens": column([len(ids[p[0]]) for p in pieces]),
             "sequence_id": column([(number << 32) + p[3] for p in pieces]), "offset": column([p[4] for p in pieces])})
 
-    shards = max(1, math.ceil(corpus.n / shard_rows))
-    return tokens.withColumn("shard", F.pmod(F.xxhash64("key", "tie"), F.lit(shards))).groupBy("shard").applyInArrow(shard, PIECES)
+    return dealt(tokens, window, kind, corpus, shard_rows).groupBy("shard").applyInArrow(shard, PIECES)

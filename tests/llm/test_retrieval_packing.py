@@ -127,3 +127,39 @@ def test_documents(edge, edge_rows, empty):
     for parts in by_sequence.values():
         assert [p.offset for p in sorted(parts, key=lambda p: p.offset)] == [0, *np.cumsum([p.length for p in sorted(parts, key=lambda p: p.offset)])[:-1]]
     assert r.pack_documents(empty, PATH).count() == 0
+
+
+def tokens_of(spark, arrays):
+    rows = [(d, d, bytearray(np.asarray(x, "<u2").tobytes()), d) for d, x in enumerate(arrays)]
+    return spark.createDataFrame(rows, "key long, tie long, ids binary, row long").repartition(4)
+
+
+def test_neighbours_share_a_shard(spark):
+    # eight topics of 60 rests, dealt into eight shards; by chance an eighth of a topic would meet
+    rnd = np.random.default_rng(4)
+    arrays = [np.append(rnd.integers(100 * (d % 8), 100 * (d % 8) + 100, 40), rnd.integers(800, 1000, 40)) for d in range(480)]
+    tokens = tokens_of(spark, arrays)
+    got = r.dealt(tokens, 4096, "<u2", r.corpus_of(tokens, 4096, "<u2"), 60).collect()
+    assert sorted((g.key, bytes(g.ids)) for g in got) == [(d, x.astype("<u2").tobytes()) for d, x in enumerate(arrays)]
+    held = defaultdict(list)
+    for g in got:
+        held[g.shard].append(g.key % 8)
+    assert set(held) <= set(range(8)) and max(map(len, held.values())) < 90
+    meeting = sum(topics.count(t) for topics in held.values() for t in topics) / (480 * 60)
+    assert meeting > 0.6
+
+
+def test_one_text_in_all_rows_is_spread_over_shards(spark):
+    tokens = tokens_of(spark, [np.array([5, 6, 7, 2])] * 2000)
+    counts = r.dealt(tokens, 4096, "<u2", r.corpus_of(tokens, 4096, "<u2"), 100).groupBy("shard").count().collect()
+    assert len(counts) == 20 and max(c["count"] for c in counts) < 160
+
+
+def test_a_cell_names_the_nearest_pivots():
+    corpus = r.Corpus(100, 4.0, np.full(50, 10))
+    pivots = [np.array([1, 2, 3]), np.array([3, 4, 5]), np.array([20, 21]), np.array([30, 31])]
+    cells = r.Cells(pivots, corpus)
+    rank = [int(np.argmax(cells.columns[p[-1]])) for p in pivots]
+    near = cells.of(np.array([4, 5, 5, 3, 1]))
+    assert (near // r.PIVOTS ** 2, near // r.PIVOTS % r.PIVOTS) == (rank[1], rank[0])
+    assert r.Cells([], r.Corpus(0, 0, np.zeros(0, np.int64))).of(np.zeros(0, np.int64)) == 0
