@@ -2,10 +2,15 @@
 
 Epochs of a run may have gaps and start anywhere; windows count observations. They run over chunks of a run with a halo
 of the preceding observations, so a very long run spreads over many tasks and the result does not depend on the chunk.
+Medians over windows longer than ``LONG_WINDOW`` come from an ordered structure that moves with the window instead of a
+percentile that is built anew for each row; the result is the same.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sceneframe.operators.ordering import with_halo
@@ -18,6 +23,8 @@ MIN_GRADIENT = -0.0001
 HIGH_VALUE = 0.2
 DELAY_MARGIN = 0.1
 
+LONG_WINDOW = 64
+
 
 def _numbered(log: DataFrame, run: str, epoch: str, chunk: int) -> DataFrame:
     """Add ``_at``, the 0-based number of each observation in its run.
@@ -33,12 +40,15 @@ def _numbered(log: DataFrame, run: str, epoch: str, chunk: int) -> DataFrame:
 
 
 def _first_firing(log: DataFrame, run: str, epoch: str, value: str, fires, start: Column | float, sample: int,
-                  chunk: int) -> DataFrame:
+                  chunk: int, prepare=None) -> DataFrame:
     """First epoch of each run where ``fires(window)`` holds; null when it never does.
 
+    ``prepare`` adds columns that ``fires`` needs to the chunks with their halos.
+
     A rule needs more than ``sample`` observations of the run.
     """
     spread = with_halo(_numbered(log.select(run, epoch, value), run, epoch, chunk), run, "_at", sample - 1, chunk)
+    spread = prepare(spread) if prepare else spread
     window = Window.partitionBy(run, "_chunk").orderBy("_at")
     judged = spread.withColumn("_fires", fires(window)).where(F.col("_own") == F.col("_chunk"))
     begin = start if isinstance(start, Column) else F.lit(start)
@@ -67,14 +77,49 @@ def gradient_stop(log: DataFrame, run: str, epoch: str, value: str, min_gradient
     return _first_firing(log, run, epoch, value, fires, 0, sample, chunk)
 
 
-def _median(value: str, w, sample: int) -> Column:
-    return F.percentile(value, 0.5).over(w.rowsBetween(-(sample - 1), 0))
+def sliding_median(values: np.ndarray, known: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Medians of the last ``sample`` places at each place, and where there is one; only ``known`` values count.
+
+    Values are ranked once, NaN last; the window keeps its ranks in order while they come and go, a logarithm of its length each.
+    """
+    levels, rank = np.unique(values[known], return_inverse=True)
+    places = np.full(len(values), np.nan)
+    places[known] = rank
+    window = pd.Series(places).rolling(sample, min_periods=1)
+    low, high = (window.quantile(0.5, interpolation=side).to_numpy() for side in ("lower", "higher"))
+    there = ~np.isnan(low)
+    median = np.full(len(values), np.nan)
+    below, above = levels[low[there].astype(np.int64)], levels[high[there].astype(np.int64)]
+    median[there] = np.where(below == above, below, 0.5 * below + 0.5 * above)
+    return median, there
+
+
+def _with_median(spread: DataFrame, run: str, value: str, sample: int) -> DataFrame:
+    """Add ``_median`` of the last ``sample`` observations; a group is one chunk and its halo."""
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        column = table.column(value).cast(pa.float64())
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        median, there = sliding_median(column.to_numpy(zero_copy_only=False), known, sample)
+        return table.append_column("_median", pa.array(median, mask=~there))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spread.schema)
+    return spread.groupBy(run, "_chunk").applyInArrow(add, f"{fields}, _median double")
+
+
+def _median_stop(log: DataFrame, run: str, epoch: str, value: str, bound: Column, start, sample: int, chunk: int) -> DataFrame:
+    """Stops when the median of the last values is at least ``bound``."""
+    if sample > LONG_WINDOW:
+        return _first_firing(log, run, epoch, value, lambda w: F.col("_median") >= bound, start, sample, chunk,
+                             lambda spread: _with_median(spread, run, value, sample))
+    median = F.percentile(value, 0.5)
+    return _first_firing(log, run, epoch, value, lambda w: median.over(w.rowsBetween(-(sample - 1), 0)) >= bound, start, sample, chunk)
 
 
 def high_value_stop(log: DataFrame, run: str, epoch: str, value: str, threshold: float = HIGH_VALUE, start=0,
                     sample: int = SAMPLE, chunk: int = 100_000) -> DataFrame:
     """Stops when the median of the last values is at least ``threshold``."""
-    return _first_firing(log, run, epoch, value, lambda w: _median(value, w, sample) >= threshold, start, sample, chunk)
+    return _median_stop(log, run, epoch, value, F.lit(threshold), start, sample, chunk)
 
 
 def linear_bound_stop(log: DataFrame, run: str, epoch: str, value: str, epoch_end: float, start: float = 0,
@@ -82,7 +127,7 @@ def linear_bound_stop(log: DataFrame, run: str, epoch: str, value: str, epoch_en
     """Stops when the median of the last values reaches a bound that falls linearly over the epochs."""
     slope = (value_end - value_start) / (epoch_end - start)
     bound = F.lit(value_start) + F.lit(slope) * (F.col(epoch) - F.lit(start))
-    return _first_firing(log, run, epoch, value, lambda w: _median(value, w, sample) >= bound, start, sample, chunk)
+    return _median_stop(log, run, epoch, value, bound, start, sample, chunk)
 
 
 def stop_start(config: Column, epochs: Column | float) -> Column:

@@ -492,6 +492,28 @@ def _linear_stop(spark, sf):
     return K.linear_bound_stop(V.epoch_log(spark, sf), "run", "epoch", "val_loss", 100, start=10, value_start=0.9, chunk=50)
 
 
+LONG_RUNS = """with w as (select event_id // 2000 as run, event_id % 2000 as epoch, quantile_cont(value / 500, 0.5) over last as med,
+  row_number() over (partition by event_id // 2000 order by event_id) as n from events
+  window last as (partition by event_id // 2000 order by event_id rows between 299 preceding and current row))
+select run, min(case when n > 300 and med >= {} then epoch end) as stop_epoch from w group by run"""
+
+
+def _long_runs(spark, sf):
+    return V.table(spark, sf, "events").select(
+        F.floor(F.col("event_id") / 2000).alias("run"), (F.col("event_id") % 2000).alias("epoch"), (F.col("value") / 500).alias("val_loss"))
+
+
+@query("high_value_stop_long", LONG_RUNS.format("0.19"))
+def _high_long(spark, sf):
+    """A window of 300 observations, in chunks that are shorter and do not divide a run."""
+    return K.high_value_stop(_long_runs(spark, sf), "run", "epoch", "val_loss", threshold=0.19, sample=300, chunk=270)
+
+
+@query("linear_bound_stop_long", LONG_RUNS.format("0.3 + (0.0 - 0.3) / (2000.0 - 0.0) * epoch"))
+def _linear_long(spark, sf):
+    return K.linear_bound_stop(_long_runs(spark, sf), "run", "epoch", "val_loss", 2000, value_start=0.3, sample=300, chunk=700)
+
+
 @query("stop_start", """select p_partkey as trial, round((greatest(p_size / 100.0::double, (p_partkey % 7) / 10.0::double) + 0.1) * 1000, 6) as start from part""")
 def _stop_start(spark, sf):
     config = F.create_map(
