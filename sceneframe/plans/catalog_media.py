@@ -27,6 +27,7 @@ from sceneframe.operators import atoms as L
 from sceneframe.session import scratch_path
 from sceneframe.plans import datasets as DS
 from sceneframe.sources import annotations as AN
+from sceneframe.sources import listing as LS
 from sceneframe.sources import sinks as SK
 from sceneframe.sources import trials as TL
 
@@ -166,6 +167,17 @@ def _list_frames(spark, sf):
     return AN.frames_from_paths(paths)
 
 
+@query("list_files", "select distinct event_type as kind, event_id % 40 as bucket from events")
+def _list_files(spark, sf):
+    """Folders of a table that Spark writes in two levels, found again from the names of its files."""
+    path = scratch_path(spark, "tree")
+    rows = V.table(spark, sf, "events").select("event_type", (F.col("event_id") % 40).alias("bucket"), F.col("event_id").cast("string").alias("value"))
+    rows.repartition("event_type", "bucket").write.partitionBy("event_type", "bucket").text(path)
+    folder = r"/event_type=([^/]+)/bucket=([0-9]+)/[^/]+$"
+    found = LS.list_files(spark, path)
+    return found.where("size > 0").select(F.regexp_extract("path", folder, 1).alias("kind"), F.regexp_extract("path", folder, 2).cast("long").alias("bucket"))
+
+
 @query("read_names_manifest", """select cast(vec_id as int) as ordinal, 'f' || vec_id as id,
   case when vec_id % 2 = 0 then 'new' || vec_id else 'old' end as first_name from embeddings""")
 def _names_manifest(spark, sf):

@@ -72,6 +72,56 @@ def removed(df: DataFrame) -> None:
             _delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+@contextlib.contextmanager
+def replacing(spark: SparkSession, path: str, parts: list[str] | None = None) -> Iterator[str]:
+    """A staging folder whose content takes the place of ``path`` at the end of the block.
+
+    If anything fails before, the staged files go and the old output stays whole. The exchange is two renames on the driver,
+    undone if the second fails; no file is copied. With ``parts``, a folder that holds anything else is refused, because it
+    would be lost.
+    """
+    fs, target = _file_system(spark, path)
+    if parts is not None and fs.exists(target):
+        others = sorted({str(f.getPath().getName()) for f in fs.listStatus(target)} - set(parts))
+        if others:
+            raise ValueError(f"{path} holds other files than {parts}: {others[:5]}")
+    mark = uuid.uuid4().hex
+    staged, replaced = (spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{n}-{mark}") for n in ("staged", "replaced"))
+    try:
+        fs.mkdirs(staged)
+        yield f"{staged}/all"
+        content = spark._jvm.org.apache.hadoop.fs.Path(staged, "all")
+        old = fs.exists(target)
+        if old:
+            _rename(fs, target, replaced)
+        try:
+            _rename(fs, content, target)
+        except Exception:
+            if old:
+                _rename(fs, replaced, target)
+            raise
+        fs.delete(replaced, True)
+    finally:
+        fs.delete(staged, True)
+
+
+def _rename(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path and the path in full."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(target)
+
+
+def full_uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, escaped as URIs are."""
+    return _file_system(spark, path)[1].toUri().toString()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)

@@ -17,6 +17,7 @@ from sceneframe.functions.boxes import normalized_to_corners
 from sceneframe.functions.text import frame_key, parse_answer_objects, parse_frame_path
 from sceneframe.operators.slots import skip_empty as without_empty
 from sceneframe.sources.json_values import read_json_values
+from sceneframe.sources.listing import list_files
 
 # The input formats.
 VIDEO_SCHEMA = (
@@ -151,9 +152,8 @@ def frames_from_paths(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def list_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """Frame listing of a folder tree; only paths are read, never the image bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jpg").load(folder)
-    return frames_from_paths(files.select("path"))
+    """Frame listing of a folder tree; only names are read, never the image bytes."""
+    return frames_from_paths(list_files(spark, folder).where(F.endswith("path", F.lit(".jpg"))))
 
 
 def read_frames_pixels(spark: SparkSession, path: str) -> DataFrame:

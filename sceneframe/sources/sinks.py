@@ -1,12 +1,22 @@
-"""Writers. Each has a function that builds the rows or lines and one that writes them with Spark."""
+"""Writers. Each has a function that builds the rows or lines and one that writes them with Spark.
+
+All tables of an output become visible together, once each is complete; a job that fails leaves the old output as it was.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sceneframe.session import replacing
+
 DESCRIPTION = "Logical atoms read from latent codes"
 
 
+def _replace(rows: DataFrame, path: str, kind: str) -> None:
+    with replacing(rows.sparkSession, path) as new:
+        rows.write.format(kind).save(new)
+
+
 def _three_digits(value: Column) -> Column:
     """``%.3f`` with exact ties (multiples of 1/16) going to the even digit."""
     exact = value * 16 == F.rint(value * 16)
@@ -24,8 +34,9 @@ def atoms_header(results: DataFrame, units: int, arguments: int, predicates: int
 
 def write_atoms_json(results: DataFrame, path: str, units: int, arguments: int, predicates: int, objects: int) -> None:
     """States as JSON lines under ``states`` and the header row under ``header``."""
-    results.write.mode("overwrite").json(f"{path}/states")
-    atoms_header(results, units, arguments, predicates, objects).write.mode("overwrite").json(f"{path}/header")
+    with replacing(results.sparkSession, path, ["states", "header"]) as new:
+        results.write.json(f"{new}/states")
+        atoms_header(results, units, arguments, predicates, objects).write.json(f"{new}/header")
 
 
 def atom_blocks(results: DataFrame, state: str, show_negated: bool = False, show_confidence: bool = True) -> DataFrame:
@@ -48,7 +59,7 @@ def atom_blocks(results: DataFrame, state: str, show_negated: bool = False, show
 
 def write_atoms_text(results: DataFrame, state: str, path: str, show_negated: bool = False) -> None:
     """Text blocks in state order over ordered part files."""
-    atom_blocks(results, state, show_negated).orderBy(state).select("value").write.mode("overwrite").text(path)
+    _replace(atom_blocks(results, state, show_negated).orderBy(state).select("value"), path, "text")
 
 
 def usage_report(usage: DataFrame, states: int) -> DataFrame:
@@ -68,7 +79,7 @@ def usage_report(usage: DataFrame, states: int) -> DataFrame:
 
 
 def write_usage_report(usage: DataFrame, states: int, path: str) -> None:
-    usage_report(usage, states).write.mode("overwrite").json(path)
+    _replace(usage_report(usage, states), path, "json")
 
 
 def state_mapping(states: DataFrame, ordinal: str, image: str, names: str) -> DataFrame:
@@ -76,7 +87,7 @@ def state_mapping(states: DataFrame, ordinal: str, image: str, names: str) -> Da
 
 
 def write_state_mapping(states: DataFrame, ordinal: str, image: str, names: str, path: str) -> None:
-    state_mapping(states, ordinal, image, names).write.mode("overwrite").json(path)
+    _replace(state_mapping(states, ordinal, image, names), path, "json")
 
 
 def code_lines(states: DataFrame, *bits: str, action: str | None = None) -> DataFrame:
@@ -89,13 +100,13 @@ def code_lines(states: DataFrame, *bits: str, action: str | None = None) -> Data
 
 def write_codes_csv(states: DataFrame, path: str, bits: str = "bits") -> None:
     """Space-separated 0/1 codes, one state per line."""
-    code_lines(states, bits).write.mode("overwrite").text(path)
+    _replace(code_lines(states, bits), path, "text")
 
 
 def write_transition_codes_csv(transitions: DataFrame, path: str, pre: str = "pre", suc: str = "suc",
                                action: str | None = None) -> None:
     """Pre bits, suc bits and optionally the action id of each transition."""
-    code_lines(transitions, pre, suc, action=action).write.mode("overwrite").text(path)
+    _replace(code_lines(transitions, pre, suc, action=action), path, "text")
 
 
 def run_tag(network: str, units: int, arguments: int, predicates: int, examples: int | None = None) -> str:
@@ -114,6 +125,7 @@ def manifest(summary: DataFrame, category: str | None, strict: bool, fps: int, t
 def write_manifest(summary: DataFrame, names: DataFrame, path: str, category: str | None, strict: bool, fps: int,
                    transition_mode: str) -> None:
     """Manifest row, loaded videos with primaries, and object names, each as its own JSON table."""
-    manifest(summary, category, strict, fps, transition_mode).write.mode("overwrite").json(f"{path}/manifest")
-    summary.write.mode("overwrite").json(f"{path}/videos")
-    names.write.mode("overwrite").json(f"{path}/object_names")
+    with replacing(summary.sparkSession, path, ["manifest", "videos", "object_names"]) as new:
+        manifest(summary, category, strict, fps, transition_mode).write.json(f"{new}/manifest")
+        summary.write.json(f"{new}/videos")
+        names.write.json(f"{new}/object_names")
