@@ -19,8 +19,8 @@ def test_every_file_once_at_any_depth(spark, tmp_path):
     tree(tmp_path, [*files, "_hidden/a.txt", "v 1/.b.txt"])
     (tmp_path / "empty").mkdir()
     got = list_files(spark, str(tmp_path)).collect()
-    assert sorted(r.path for r in got) == sorted(f"file:{tmp_path}/{f}" for f in files)
-    assert {r.path: r.size for r in got} == {f"file:{tmp_path}/{f}": len(f.encode()) for f in files}
+    assert sorted(r.path for r in got) == sorted(f"file://{tmp_path}/{f}" for f in files)
+    assert {r.path: r.size for r in got} == {f"file://{tmp_path}/{f}": len(f.encode()) for f in files}
     assert rows(list_files(spark, f"file://{tmp_path}")) == rows(list_files(spark, str(tmp_path)))
 
 
