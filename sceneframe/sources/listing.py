@@ -21,8 +21,9 @@ NAMES_PER_BATCH = 10_000
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``(path, size)`` of every file below ``folder``, each once; names that begin with ``_`` or ``.`` are left out, as Spark does. Paths have the form
-    of ``input_file_name``, unescaped.
+    """``(path, size)`` of every file below ``folder``, each once; names that begin with ``_`` or ``.`` are left out, as Spark does.
+
+    Paths have the form of ``input_file_name``, unescaped.
 
     The tree is listed when the function is called, into tables of the shared folder, so that all later uses see the same
     files. A folder that goes away meanwhile counts as empty; a missing ``folder`` is an error, and an empty one gives no row.
