@@ -6,7 +6,7 @@ BPE would keep the border between the two. Reading the table backwards gives the
 table ends, and after an edit the table is rebuilt from the edit only until it agrees with the old one again.
 
 Texts are cut by the vocabulary's pattern; pieces never cross from non-space to space, so the ids of such runs are kept per
-worker process, in a bounded cache. There is no shuffle.
+worker process, in a bounded cache; a run of one piece is kept once. There is no shuffle.
 
 Defined results: a null text counts as empty and has no ids; a text of any length is encoded whole; every row gets a row;
 only the named columns are read.
@@ -27,6 +27,7 @@ from sceneframe.llm.recent import Recent
 from sceneframe.llm.text import whole_text
 
 NEVER = 1 << 60
+AT_ONCE = 1000  # documents of a batch that are Python objects together
 
 
 class Endings:
@@ -64,7 +65,7 @@ class Ending(dict):
 class ByteBpe:
     """Encoder over ranks (token bytes -> id); ids are ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], memory: int = 200_000):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
@@ -162,20 +163,28 @@ class ByteBpe:
 class TextEncoder:
     """Encodes texts piece by piece; ids come as decimal numbers joined by spaces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = 150_000):
         self.bpe = ByteBpe(ranks)
         # space as Unicode defines it, whatever the engine's \s is
         unicode_space = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(unicode_space)
         self.wide_gap = regex.compile(r"[\p{White_Space}\x1c-\x1f] ")
         self.numbers = {i: b"%d" % i for i in ranks.values()}
-        self.piece_ids = Recent(lambda piece: b" ".join(map(self.numbers.__getitem__, self.bpe.encode(piece.encode("utf-8")))), memory)
-        self.run_ids = Recent(lambda run: self._shown(" " + run), memory)
-        self.bytes_of = {b"%d" % i: t for t, i in ranks.items()}
+        self.piece_ids = Recent(self._piece, memory // 2)
+        self.run_ids = Recent(self._run, memory)
 
     def split(self, text: str) -> list[str]:
         return self.pieces.findall(text)
 
+    def _piece(self, piece: str) -> bytes:
+        return b" ".join(map(self.numbers.__getitem__, self.bpe.encode(piece.encode("utf-8"))))
+
+    def _run(self, run: str) -> bytes:
+        pieces = self.split(" " + run)
+        if len(pieces) == 1:  # kept as a run, so not once more as a piece
+            return self._piece(pieces[0])
+        return b" ".join(map(self.piece_ids.__getitem__, pieces))
+
     def _shown(self, text: str) -> bytes:
         return b" ".join(map(self.piece_ids.__getitem__, self.split(text)))
 
@@ -190,15 +199,42 @@ class TextEncoder:
         return b" ".join([self._shown(first), *runs] if first else runs)
 
     def decoded(self, shown: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, shown.split(b" "))) if shown else b""
+        return decoded(shown, self.bytes_of)
+
+    @functools.cached_property
+    def bytes_of(self) -> dict[bytes, bytes]:
+        return shown_tokens(self.bpe.ranks)
+
+
+def shown_tokens(ranks: dict[bytes, int]) -> dict[bytes, bytes]:
+    """Bytes of each token by its decimal number."""
+    return {b"%d" % i: t for t, i in ranks.items()}
+
+
+def decoded(shown: bytes, bytes_of: dict[bytes, bytes]) -> bytes:
+    return b"".join(map(bytes_of.__getitem__, shown.split(b" "))) if shown else b""
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
 @functools.cache
 def text_encoder(path: str, pattern: str) -> TextEncoder:
     """One per worker process."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return TextEncoder(ranks, pattern)
+    return TextEncoder(read_ranks(path), pattern)
+
+
+@functools.cache
+def token_bytes(path: str) -> dict[bytes, bytes]:
+    """One per worker process; decoding runs in workers of its own, which hold no encoder."""
+    return shown_tokens(read_ranks(path))
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``AT_ONCE`` rows."""
+    return (batch.slice(at, AT_ONCE) for batch in batches for at in range(0, batch.num_rows, AT_ONCE))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -206,7 +242,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [encoder.shown(t) for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_pydict({
                 "doc": batch.column("doc"), "n_tokens": pa.array([x.count(b" ") + 1 if x else 0 for x in ids], pa.int64()),
@@ -220,13 +256,13 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, key: str = "do
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of encoded documents; ``decoded_sha256`` is over the decoded bytes."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path, pattern)
+        bytes_of = token_bytes(path)
         digest = lambda data: hashlib.sha256(data).hexdigest()
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("ids").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_pydict({
                 "doc": batch.column("doc"), "n_tokens": batch.column("n_tokens"), "ids_sha256": pa.array(map(digest, ids), pa.string()),
-                "decoded_sha256": pa.array([digest(encoder.decoded(x)) for x in ids], pa.string())})
+                "decoded_sha256": pa.array([digest(decoded(x, bytes_of)) for x in ids], pa.string())})
 
     rows = encoded.withColumnRenamed(key, "doc")
     return rows.mapInArrow(decode, "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc", key)

@@ -70,3 +70,16 @@ def test_documents(reference, edge, edge_rows, empty):
         want.append((doc, len(ids), sha(" ".join(map(str, ids)).encode()), sha((text or "").encode())))
     assert got == sorted(want, key=repr)
     assert b.decode_documents(b.encode_documents(empty, PATH, public_tokenizers.PATTERN), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_workers_hold_each_run_once_and_few_rows(spark):
+    encoder = b.text_encoder.__wrapped__(PATH, public_tokenizers.PATTERN)
+    texts = [" ".join(f"run{w}x{i}" for i in range(500)) + " one two" for w in range(3)]
+    for text in texts:
+        assert encoder.decoded(encoder.shown(text)) == text.encode()
+    assert "two" in encoder.run_ids and " two" not in encoder.piece_ids
+    assert 2 * (encoder.run_ids.limit + encoder.piece_ids.limit + encoder.bpe._fits.limit) <= 1_000_000  # two generations
+    rows = spark.range(2500).selectExpr("id AS doc_id", "repeat('ab ', 3) AS text")
+    encoded = b.encode_documents(rows, PATH, public_tokenizers.PATTERN)
+    assert b.decode_documents(encoded, PATH, public_tokenizers.PATTERN).distinct().count() == 2500
+    assert max(x.num_rows for x in b.parts([b.pa.RecordBatch.from_pydict({"a": list(range(2500))})])) == b.AT_ONCE
