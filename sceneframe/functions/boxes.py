@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, functions as F
 
 # Fixed values of the canvas and feature layout.
@@ -51,16 +53,27 @@ def grid_bin(coord: Column) -> Column:
     return F.floor(coord / F.lit(GRID_STEP)).cast("int")
 
 
-def onehot(index: Column, size: int) -> Column:
+def onehot(index: Column, size: int, kind: str = "byte") -> Column:
     """0/1 array of length ``size``: a window over one constant array, folded once per plan."""
-    zeros = F.array_repeat(F.lit(0).cast("byte"), size - 1)
-    strip = F.concat(zeros, F.array(F.lit(1).cast("byte")), zeros)
+    zeros = F.array_repeat(F.lit(0).cast(kind), size - 1)
+    strip = F.concat(zeros, F.array(F.lit(1).cast(kind)), zeros)
     return F.slice(strip, F.lit(size) - index.cast("int"), F.lit(size))
 
 
-def onehot_boxes(x1b: Column, y1b: Column, x2b: Column, y2b: Column, x_bins: int = X_BINS, y_bins: int = Y_BINS) -> Column:
+def onehot_boxes(x1b: Column, y1b: Column, x2b: Column, y2b: Column, x_bins: int = X_BINS, y_bins: int = Y_BINS,
+                 kind: str = "byte") -> Column:
     """Concatenated one-hots in the order x1, y1, x2, y2. A padding box lands in bin 0 four times."""
-    return F.concat(onehot(x1b, x_bins), onehot(y1b, y_bins), onehot(x2b, x_bins), onehot(y2b, y_bins))
+    return F.concat(*[onehot(b, n, kind) for b, n in zip((x1b, y1b, x2b, y2b), (x_bins, y_bins) * 2)])
+
+
+def code_digits(code: Column, sizes: tuple[int, ...] = (X_BINS, Y_BINS) * 2) -> Column:
+    """The numbers of a code as digits in a row. Groups of ``sizes`` that hold a single 1 are windows over constant texts;
+    any other code is written number by number."""
+    at = [F.array_position(F.slice(code, 1 + sum(sizes[:i]), n), F.lit(1.0)).cast("int") for i, n in enumerate(sizes)]
+    single = F.size(code) == F.lit(sum(sizes))
+    single = functools.reduce(lambda a, b: a & b, [p > 0 for p in at], single & (F.size(F.array_remove(code, F.lit(0.0))) == len(sizes)))
+    text = F.concat(*[F.substr(F.lit("0" * (n - 1) + "1" + "0" * (n - 1)), F.lit(n + 1) - p, F.lit(n)) for p, n in zip(at, sizes)])
+    return F.when(single, text).otherwise(F.array_join(code.cast("array<int>").cast("array<string>"), ""))
 
 
 def argmax_first(values: Column) -> Column:

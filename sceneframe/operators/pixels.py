@@ -147,7 +147,7 @@ def split_tiles(df: DataFrame, rows: int, columns: int, height: int, width: int)
 
 def assemble_state(slots: DataFrame, patch: str = "patch", bins: tuple[str, ...] = ("x1b", "y1b", "x2b", "y2b")) -> DataFrame:
     """Feature vector of a slot: patch pixels followed by the box one-hots."""
-    code = onehot_boxes(*[F.col(b) for b in bins]).cast("array<double>")
+    code = onehot_boxes(*[F.col(b) for b in bins], kind="double")
     return slots.withColumn("features", F.concat(F.col(patch), code))
 
 

@@ -181,10 +181,12 @@ def _assemble(spark, sf):
     zero = F.array_repeat(F.lit(0.0), 64)  # a state without a picture
     slots = _scene_slots(spark, sf).join(patches, "state_id", "left")
     full = assemble_state(slots.withColumn("patch", F.coalesce("patch", zero)))
-    return full.select(
-        "state_id", "slot", F.size("features").alias("width"),
-        F.array_join(F.slice("features", 65, 200).cast("array<int>").cast("array<string>"), "").alias("code"),
-        F.round(F.aggregate(F.slice("features", 1, 64), F.lit(0.0), lambda a, v: a + v), 6).alias("patch_sum"))
+    parts = full.select(
+        "state_id", "slot", F.size("features").alias("width"), F.slice("features", 65, 200).alias("code"),
+        F.array_remove(F.slice("features", 1, 64), 0.0).alias("lit"))
+    return parts.select(
+        "state_id", "slot", "width", B.code_digits(F.col("code")).alias("code"),
+        F.round(F.aggregate("lit", F.lit(0.0), lambda a, v: a + v), 6).alias("patch_sum"))
 
 
 # ---- naming, ranking, padding
