@@ -7,10 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sceneframe.session import written
 
+BLOCK_ROWS = 1 << 16  # rows of a task that are counted together
+COUNTS = "p int, node bigint, f int, value double, n bigint, n_true bigint"
+
 
 def score_states(states: DataFrame, keys: list[str], features: str,
                  outputs: dict[str, tuple[Callable[[np.ndarray], np.ndarray], str]]) -> DataFrame:
@@ -45,16 +49,17 @@ def classify_rows(rows: DataFrame, model, score: str = "score") -> DataFrame:
 def predicate_trees(arguments: DataFrame, features: list[str], predicates: list[str], max_depth: int = 60) -> DataFrame:
     """A decision tree for each predicate over the features of its arguments: ``predicate, node, n, n_true, feature, threshold``.
 
-    All trees grow together, one level a job: one aggregate counts every value of every feature in every open node of every predicate, the
-    split with the least Gini impurity is picked from running counts, and rows move on to their child by a join with
+    All trees grow together, one level a job: one aggregate counts every value of every feature in every open node of every predicate
+    (blocks of rows first, inside their tasks), the split with the least Gini impurity is picked from running counts, and rows move on to their child by a join with
     the splits. An impure node is split while a feature differs in it; splits that tie go to the first feature, then the
     smaller value. Node 1 is the root, ``2n`` takes ``feature <= threshold`` and ``2n + 1`` the rest, with which a null counts. A null label leaves its row
-    out of that tree. Equal rows are counted once, so features of few values (codes, bins) make small tables.
+    out of that tree. Equal rows with equal labels are counted once and written once for all predicates, so features of few values (codes, bins) make small tables.
     """
-    labels = F.explode(F.array(*[F.struct(F.lit(i).alias("p"), F.col(p).cast("int").alias("y")) for i, p in enumerate(predicates)])).alias("_l")
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
-    rows = arguments.select(x.alias("x"), labels).select("x", "_l.p", "_l.y").where("y is not null")
-    rows = written(rows.groupBy("p", "x").agg(F.count("*").alias("n"), F.sum("y").alias("n_true")), "tree-rows")
+    rows = arguments.select(x.alias("x"), F.array(*[F.col(p).cast("int") for p in predicates]).alias("y"))
+    files = 2 * arguments.sparkSession.sparkContext.defaultParallelism  # small, but a row stands for one of every predicate
+    rows = written(rows.groupBy("x", "y").agg(F.count("*").alias("n")).repartition(files), "tree-rows")
+    rows = rows.select("x", "n", F.posexplode("y").alias("p", "y")).where("y is not null").select("p", "x", "n", (F.col("n") * F.col("y")).alias("n_true"))
     at, levels = rows.withColumn("node", F.lit(1).cast("bigint")), []
     for level in range(max_depth + 1):
         levels.append(written(_level(at.where(F.col("node") >= 1 << level), level < max_depth), "tree-level"))
@@ -68,9 +73,45 @@ def predicate_trees(arguments: DataFrame, features: list[str], predicates: list[
     return tree.select(named(predicates, "p").alias("predicate"), "node", "n", "n_true", named(features, "f").alias("feature"), "threshold")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``n`` and ``n_true`` of every value of every feature in every node, block of rows by block of rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK_ROWS:
+            yield from _block_counts(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if rows:
+        yield from _block_counts(pa.Table.from_batches(held))
+
+
+def _block_counts(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    nodes = rows.select(["p", "node"]).append_column("at", pa.array(np.arange(rows.num_rows))).group_by(["p", "node"]).aggregate([("at", "list")])
+    members = nodes["at_list"].combine_chunks()
+    group = np.empty(rows.num_rows, np.int64)
+    group[members.flatten().to_numpy()] = np.repeat(np.arange(len(members)), np.diff(members.offsets.to_numpy()))
+    n, true = (rows[c].to_numpy() for c in ("n", "n_true"))
+    for f in range(x.shape[1]):
+        coded = pa.array(x[:, f]).dictionary_encode()
+        values, place = coded.dictionary.to_numpy(), group * len(coded.dictionary) + coded.indices.to_numpy()
+        key = None
+        if len(members) * len(values) > 4 * len(group):  # too many to have a place for each
+            key, place = np.unique(place, return_inverse=True)
+        sums = [np.bincount(place, c).astype(np.int64) for c in (n, true)]
+        if key is None:
+            key = np.flatnonzero(sums[0])
+            sums = [s[key] for s in sums]
+        node, value = np.divmod(key, len(values))
+        yield pa.RecordBatch.from_pydict({
+            "p": nodes["p"].combine_chunks().take(pa.array(node)), "node": nodes["node"].combine_chunks().take(pa.array(node)),
+            "f": pa.array(np.full(len(key), f, np.int32)), "value": pa.array(values[value]), "n": pa.array(sums[0]), "n_true": pa.array(sums[1])})
+
+
 def _level(rows: DataFrame, grow: bool) -> DataFrame:
     """``p, node, n, n_true`` of the open nodes and their best split ``f, value, threshold``, null where a node stays a leaf."""
-    counts = rows.select("p", "node", "n", "n_true", F.posexplode("x").alias("f", "value")).groupBy("p", "node", "f", "value").agg(
+    counts = rows.select("p", "node", "n", "n_true", "x").mapInArrow(_counted, COUNTS).groupBy("p", "node", "f", "value").agg(
         F.sum("n").alias("n"), F.sum("n_true").alias("n_true"))
     run = Window.partitionBy("p", "node", "f").orderBy("value")
     whole = Window.partitionBy("p", "node", "f")

@@ -170,6 +170,19 @@ def test_trees_of_all_predicates_equal_one_by_one(spark):
         assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_tree_counts_leave_a_task_by_value_not_by_row(spark):
+    rows = spark.range(0, 5000, 1, 1).selectExpr("cast(id % 2 as int) AS p", "cast(1 + id % 3 as bigint) AS node", "1L AS n", "id % 2 AS n_true",
+                                                  "array(double(id % 4), double('nan'), double(id)) AS x")
+    counted = rows.mapInArrow(SC._counted, SC.COUNTS).collect()
+    want = {}
+    for r in rows.collect():
+        for f, v in enumerate(r.x):
+            key = (r.p, r.node, f, repr(v))
+            n, true = want.get(key, (0, 0))
+            want[key] = (n + r.n, true + r.n_true)
+    assert {(r.p, r.node, r.f, repr(r.value)): (r.n, r.n_true) for r in counted} == want and len(counted) == len(want)
+
+
 def test_trees_take_nulls(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 0), (None, 1), (3.0, None), (None, None)], "a double, p int")
     got = {r.node: (r.n, r.n_true, r.feature, r.threshold) for r in SC.predicate_trees(df, ["a"], ["p"]).collect()}
