@@ -41,32 +41,47 @@ def _slash_runs(data: np.ndarray, state: int) -> tuple[np.ndarray, np.ndarray]:
     return at, run
 
 
-def scan(text: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Brackets, braces and commas outside strings: their places, bytes and depths before them, and the state at the end."""
+def _marks(text: bytes, escaped: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, bool]:
+    """Brackets, braces and commas: their places, bytes and whether an odd number of quotes stands before each; then the number of
+    quotes and whether the text ends behind an open backslash. These are the same for a reader inside and outside a string."""
     data = np.frombuffer(text, np.uint8)
-    slashes, run = _slash_runs(data, state)
+    slashes, run = _slash_runs(data, ESCAPED if escaped else OUTSIDE)
     quotes = np.flatnonzero(data == QUOTE)
     before = np.searchsorted(slashes, quotes) - 1  # the last backslash before each quote
-    escaped = np.zeros(len(quotes), bool)
+    literal = np.zeros(len(quotes), bool)
     if len(slashes):
-        escaped = (before >= 0) & (slashes[before] == quotes - 1) & (run[before] % 2 == 1)
-    if state == ESCAPED and len(quotes) and quotes[0] == 0:
-        escaped[0] = True
-    quotes = quotes[~escaped]
-    inside = state != OUTSIDE
+        literal = (before >= 0) & (slashes[before] == quotes - 1) & (run[before] % 2 == 1)
+    if escaped and len(quotes) and quotes[0] == 0:
+        literal[0] = True
+    quotes = quotes[~literal]
     at = np.flatnonzero(MARKS[data])
-    at = at[(np.searchsorted(quotes, at) + inside) % 2 == 0]
-    token = data[at]
+    open_end = bool(len(slashes)) and slashes[-1] == len(data) - 1 and run[-1] % 2 == 1
+    return at, data[at], np.searchsorted(quotes, at) % 2 == 1, len(quotes), open_end or (escaped and not len(data))
+
+
+def _outside(marks: tuple[np.ndarray, np.ndarray, np.ndarray, int, bool], state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    at, token, odd, quotes, open_end = marks
+    inside = state != OUTSIDE
+    kept = odd == inside
+    at, token = at[kept], token[kept]
     depth = np.cumsum(STEP[token]) - STEP[token]
-    if (len(quotes) + inside) % 2 == 0:
+    if (quotes + inside) % 2 == 0:
         return at, token, depth, OUTSIDE
-    odd = bool(len(slashes)) and slashes[-1] == len(data) - 1 and run[-1] % 2 == 1
-    return at, token, depth, ESCAPED if odd or (state == ESCAPED and not len(data)) else STRING
+    return at, token, depth, ESCAPED if open_end else STRING
+
+
+def scan(text: bytes, state: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Brackets, braces and commas outside strings: their places, bytes and depths before them, and the state at the end."""
+    return _outside(_marks(text, state == ESCAPED), state)
 
 
 def transition(text: bytes, state: int, elements: bool) -> dict:
     """What a chunk does to a reader in ``state``; ``marks`` counts, by depth relative to the start, what begins a value there."""
-    _, token, depth, end = scan(text, state)
+    return _moved(scan(text, state), elements)
+
+
+def _moved(found: tuple[np.ndarray, np.ndarray, np.ndarray, int], elements: bool) -> dict:
+    _, token, depth, end = found
     step = STEP[token]
     level = depth[step > 0]
     if elements:  # a comma in an array that opened one level up
@@ -77,7 +92,8 @@ def transition(text: bytes, state: int, elements: bool) -> dict:
 
 
 def transitions(text: bytes, elements: bool) -> list[dict]:
-    outside, string = (transition(text, s, elements) for s in (OUTSIDE, STRING))
+    marks = _marks(text, False)
+    outside, string = (_moved(_outside(marks, s), elements) for s in (OUTSIDE, STRING))
     escaped = string if text and text[0] not in (QUOTE, SLASH) else transition(text, ESCAPED, elements)
     return [outside, string, escaped]
 
@@ -138,9 +154,9 @@ def _chunks(spark: SparkSession, path: str, elements: bool, chunk: int) -> DataF
                     seq, parts, held = seq + 1, [], 0
                 if here != key:
                     key, seq = here, 0
-                more = b.column("value").slice(at, end - at).to_pylist()
-                parts += more
-                held += sum(map(len, more)) + len(more)
+                lines = pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), b.column("value").slice(at, end - at))
+                parts.append(pc.binary_join(lines, pa.scalar(b"}"))[0].as_py())
+                held += len(parts[-1]) + 1
         if parts:
             yield pa.RecordBatch.from_pylist([row(key, seq, parts)], schema)
 

@@ -98,3 +98,12 @@ def test_a_surplus_bracket_is_named(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"a": 1}]] [{"b": 2}]')
     with pytest.raises(Exception, match="not opened"):
         J.read_json_values(spark, str(tmp_path)).count()
+
+
+def test_a_chunk_is_searched_once_for_both_states(monkeypatch):
+    calls, marks = [], J._marks
+    monkeypatch.setattr(J, "_marks", lambda *a: calls.append(a) or marks(*a))
+    text = rb'{"a": "x\"}, [", "b": [1, 2]}, {"c": "\\"}'
+    moves = J.transitions(text, True)
+    assert len(calls) == 1
+    assert moves == [J.transition(text, s, True) for s in (J.OUTSIDE, J.STRING, J.ESCAPED)]
