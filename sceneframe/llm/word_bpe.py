@@ -1,7 +1,8 @@
 """Token ids of whole texts by a tokenizers file, chunk by chunk.
 
 The file's splitting pattern never crosses white space, so the ids of a text are those of its white-space-separated chunks
-in order. Each task keeps the ids of recent chunks; a chunk it has not seen goes through the tokenizers library.
+in order. Each task keeps the ids of recent chunks; a chunk it has not seen is put together from
+its pieces, and a piece it has not seen goes through the tokenizers library.
 """
 
 from __future__ import annotations
@@ -44,12 +45,15 @@ class WordBpe:
         text = chunk.decode("utf-8")
         lower = text.lower()
         if lower.isascii() and lower.isalpha():  # most chunks: one piece that is written as it is
+            if lower != text:
+                return self.chunks[lower.encode()]
             ids = [t.id for t in self.model.tokenize(lower)]
         elif PLAIN.fullmatch(text) and "<|" not in text:
-            ids = []
-            for piece in PIECES.findall(lower):
-                shown = piece if piece.isascii() else "".join(map(self.shown.__getitem__, piece.encode("utf-8")))
-                ids += [t.id for t in self.model.tokenize(shown)]
+            pieces = PIECES.findall(lower)
+            if len(pieces) > 1:  # each is a chunk as well, and most have been seen: words and marks
+                return b"".join([self.chunks[piece.encode()] for piece in pieces])
+            shown = lower if lower.isascii() else "".join(map(self.shown.__getitem__, lower.encode("utf-8")))
+            ids = [t.id for t in self.model.tokenize(shown)]
         else:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
