@@ -44,6 +44,8 @@ WORD_END = "</w>"
 DISCOUNT = 0.75  # of every known word's count, for the lattice
 REFINEMENTS = 1  # passes of expected counts; further ones gain under 0.05 per word
 LOG10 = math.log(10)
+EXPONENTS = 600  # natural exponents that scaled probabilities may reach in doubles, either way
+TOGETHER, FEW = 4096, 8  # words of one length that go through the lattice together, at most and at least
 
 
 def held_out(key: Column) -> Column:
@@ -71,21 +73,62 @@ def vocabulary(path: str) -> tuple[list[tuple[bytes, bool]], dict[str, int]]:
     return pieces, numbers
 
 
+class Trie:
+    """The prefixes of all pieces as numbered nodes, the empty one being 0, and the pieces that end at each (-1: none)."""
+
+    def __init__(self, pieces: list[tuple[bytes, bool]]):
+        nodes, edges = {b"": 0}, []
+        for body, _ in pieces:
+            for end in range(1, len(body) + 1):
+                if body[:end] not in nodes:
+                    nodes[body[:end]] = len(nodes)
+                    edges.append(nodes[body[:end - 1]] << 8 | body[end - 1])
+        edges = np.array(edges, np.int64)
+        order = np.argsort(edges)
+        self.edges, self.targets = edges[order], order + 1
+        self.inner, self.final = (np.full(len(nodes), -1, np.int64) for _ in range(2))
+        for number, (body, ends) in enumerate(pieces):
+            (self.final if ends else self.inner)[nodes[body]] = number
+
+    def follow(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes go on with these bytes, and where to."""
+        edge = node << 8 | byte
+        at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+        going = np.flatnonzero(self.edges[at] == edge)
+        return going, self.targets[at[going]]
+
+
+@functools.cache
+def _trie(path: str) -> Trie:
+    return Trie(vocabulary(path)[0])
+
+
 class Lattice:
-    """Marginal log probability of a word over its cuts into pieces, by natural logarithm."""
+    """Marginal log probability of a word over its cuts into pieces, by natural logarithm.
+
+    Words of one length go through the recursion together, as scaled probabilities in doubles. Words too long for these, and
+    the few of a rare length, go one by one in log space.
+    """
+
+    def __init__(self, pieces: list[tuple[bytes, bool]], scores: np.ndarray, trie: Trie | None = None):
+        self.pieces, self.scores, self.trie = pieces, scores, trie or Trie(pieces)
+        self.shift = -scores.min() / 2  # per byte; keeps scaled scores in half the range
+        self.most_bytes = int(EXPONENTS / max(self.shift, 1))
 
-    def __init__(self, pieces: list[tuple[bytes, bool]], scores: np.ndarray):
-        self.inner, self.final = {}, {}
-        for number, ((body, ends), score) in enumerate(zip(pieces, scores.tolist())):
-            (self.final if ends else self.inner)[body] = (score, number)
-        self.longest = max(len(body) for body, _ in pieces)
+    @functools.cached_property
+    def _tables(self) -> tuple[dict, dict, int]:
+        inner, final = {}, {}
+        for number, ((body, ends), score) in enumerate(zip(self.pieces, self.scores.tolist())):
+            (final if ends else inner)[body] = (score, number)
+        return inner, final, max(len(body) for body, _ in self.pieces)
 
     def _forward(self, word: bytes) -> tuple[list[float], list[list]]:
         """Log probability of every prefix, and the arcs (from, score, piece) that end at each place."""
         alpha, arcs, n = [0.0], [[]], len(word)
+        inner, final, longest = self._tables
         for end in range(1, n + 1):
-            get = (self.inner if end < n else self.final).get
-            here = [(i, *hit) for i in range(max(0, end - self.longest), end) if (hit := get(word[i:end]))]
+            get = (inner if end < n else final).get
+            here = [(i, *hit) for i in range(max(0, end - longest), end) if (hit := get(word[i:end]))]
             terms = [alpha[i] + score for i, score, _ in here]
             most = max(terms, default=-math.inf)
             alpha.append(most if len(terms) < 2 else most + math.log(sum([math.exp(t - most) for t in terms])))
@@ -106,6 +149,63 @@ class Lattice:
                     used[number] += share
                     weight[i] += share
 
+    def _together(self, words: list[bytes]) -> tuple[np.ndarray, list[list[tuple]]]:
+        """As ``_forward``, for words of one length: scaled probabilities, place by word, and arcs (from, words, pieces, scaled share)."""
+        n = len(words[0])
+        text = np.frombuffer(b"".join(words), np.uint8).reshape(-1, n).T.astype(np.int64)
+        alpha, arcs = np.zeros((n + 1, len(words))), [[] for _ in range(n + 1)]
+        alpha[0] = 1
+        for i in range(n):
+            which = np.flatnonzero(alpha[i])
+            node = np.zeros(len(which), np.int64)
+            for end in range(i + 1, n + 1):
+                going, node = self.trie.follow(node, text[end - 1, which])
+                which = which[going]
+                if not len(which):
+                    break
+                number = (self.trie.inner if end < n else self.trie.final)[node]
+                is_piece = np.flatnonzero(number >= 0)
+                here, number = which[is_piece], number[is_piece]
+                share = alpha[i, here] * np.exp(self.scores[number] + self.shift * (end - i))
+                alpha[end, here] += share
+                arcs[end].append((i, here, number, share))
+        return alpha, arcs
+
+    def _groups(self, words: list[bytes]) -> Iterator[tuple[bool, np.ndarray, list[bytes]]]:
+        """Places and words of each length, and whether these go together."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")
+        for places in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            for at in range(0, len(places), TOGETHER):
+                part = places[at:at + TOGETHER]
+                if len(part):
+                    yield len(part) >= FEW and size[part[0]] <= self.most_bytes, part, [words[k] for k in part]
+
+    def many(self, words: list[bytes]) -> np.ndarray:
+        """The score of each word."""
+        out = np.zeros(len(words))
+        for together, places, ws in self._groups(words):
+            out[places] = np.log(self._together(ws)[0][-1]) - self.shift * len(ws[0]) if together else [self(w) for w in ws]
+        return out
+
+    def expect_many(self, words: list[bytes], used: np.ndarray) -> None:
+        """Add the expected uses of every piece in all ``words``."""
+        for together, _, ws in self._groups(words):
+            if not together:
+                for w in ws:
+                    self.expect(w, used)
+                continue
+            alpha, arcs = self._together(ws)
+            weight, numbers, shares = np.zeros_like(alpha), [], []
+            weight[-1] = 1
+            for end in range(len(ws[0]), 0, -1):
+                for i, here, number, share in arcs[end]:
+                    share = weight[end, here] * share / alpha[end, here]
+                    weight[i, here] += share
+                    numbers.append(number)
+                    shares.append(share)
+            used += np.bincount(np.concatenate(numbers), np.concatenate(shares), len(used)) if numbers else 0
+
 
 def _bucket(word: bytes, buckets: int) -> int:
     return zlib.crc32(word) % buckets
@@ -171,17 +271,16 @@ def piece_scores(counts: DataFrame, path: str, refinements: int = REFINEMENTS) -
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces, numbers = vocabulary(path)
             encoder, used = word_bpe(path), np.zeros(size)
-            lattice = Lattice(pieces, np.frombuffer(scores)) if scores else None
+            lattice = Lattice(pieces, np.frombuffer(scores), _trie(path)) if scores else None
             for batch in batches:
                 for words in batch.column("words").to_pylist():
-                    for w in words.split(b"\n"):
-                        if w == END:
-                            continue
-                        if lattice:
-                            lattice.expect(w, used)
-                        else:
-                            for t in encoder.model.tokenize("".join(map(encoder.shown.__getitem__, w))):
-                                used[numbers[t.value]] += 1
+                    distinct = [w for w in words.split(b"\n") if w != END]
+                    if lattice:
+                        lattice.expect_many(distinct, used)
+                        continue
+                    for w in distinct:
+                        for t in encoder.model.tokenize("".join(map(encoder.shown.__getitem__, w))):
+                            used[numbers[t.value]] += 1
             piece = np.flatnonzero(used)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(piece, pa.int64()), "n": pa.array(used[piece], pa.float64())})
 
@@ -225,9 +324,10 @@ def score_documents(docs: DataFrame, path: str, text: str = "text", key: str = "
         count = {}
         for words, times in zip(known.column("words").to_pylist(), known.column("counts").to_pylist()):
             count.update(zip(words.split(b"\n"), np.frombuffer(times, "<u8").tolist()))
-        lattice = Lattice(pieces, np.frombuffer(scores))
+        lattice = Lattice(pieces, np.frombuffer(scores), _trie(path))
         lists = [words.split(b"\n") for words in asked.column("words").to_pylist()]
-        cut = {w: 0.0 if w == END else lattice(w) for w in set().union(*lists)}  # every word of the corpus once
+        distinct = sorted(set().union(*lists) - {END})  # every word of the corpus once
+        cut = dict(zip(distinct, lattice.many(distinct).tolist())) | {END: 0.0}
         return pa.table({
             "home": asked.column("home"), "bucket": asked.column("bucket"),
             "counts": pa.array([np.array([count.get(w, 0) for w in ws], "<u8").tobytes() for ws in lists], pa.binary()),

@@ -43,6 +43,24 @@ def test_marginal_and_expectations(word):
     assert math.isclose(lattice(word), total) and np.allclose(used, [want[k] for k in range(len(PIECES))])
 
 
+def test_words_of_one_length_go_together(monkeypatch):
+    rnd = np.random.default_rng(5)
+    scores = SCORES - 9 * (np.arange(len(SCORES)) % 2)
+    lattice, alone = m.Lattice(PIECES, scores), []
+    words = ["".join(rnd.choice(list("abc"), 1 + k % 11)).encode() for k in range(400)]
+    words += [b"abc" * 200, b"ab" * 30, b"aab" * 9]  # too long for doubles; alone in their lengths
+    want, expected = [lattice(w) for w in words], np.zeros(len(PIECES))
+    for w in words:
+        lattice.expect(w, expected)
+    forward = m.Lattice._forward
+    monkeypatch.setattr(m.Lattice, "_forward", lambda self, word: alone.append(word) or forward(self, word))
+    used = np.zeros(len(PIECES))
+    assert np.allclose(lattice.many(words), want, rtol=1e-12)
+    lattice.expect_many(words, used)
+    assert np.allclose(used, expected) and alone == words[-1:-4:-1] * 2
+    assert lattice.many([]).tolist() == [] and len(words[-3]) > lattice.most_bytes
+
+
 def test_pieces_cover_every_byte():
     pieces, numbers = m.vocabulary(PATH)
     assert {p for p in pieces if len(p[0]) == 1} == {(bytes([b]), e) for b in range(256) for e in (False, True)}
