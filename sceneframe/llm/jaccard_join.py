@@ -12,8 +12,9 @@ and not all pairs; it does so without losing a link:
    bitmap of the whole set. A list is two blocks by position: up to ``n/7`` and beyond. The smaller set of a pair can only
    be met in the first, so the second is skipped for it; what differs in two bitmaps differs in the sets, so pairs with too
    many different bits are skipped too.
-3. Answers from similar sets. The sets of a list are first held against its leader; a set that links to it takes over the
-   leader's class and is never probed against that class again. Rounds repeat while they find links. The last round probes
+3. Answers from similar sets. The sets of a list are first held against its leaders, the one with the fewest rarer shingles
+   and one drawn by a hash; a set that links to one takes over the leader's class and is never probed against that class
+   again. Rounds repeat while they find links. The last round probes
    the lists for pairs of different classes only, so its candidates hold every link that can still join two classes.
 
 Candidates are verified on the whole sets. Shingles are 64-bit hashes, equal sets 128-bit digests.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -256,11 +258,19 @@ def _close(n1: Column, bits1: Column, n2: Column, bits2: Column) -> Column:
     return 7 * different <= n1 + n2
 
 
-def _leader_pairs(index: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
-    """Candidates of every set with the leaders of its lists, where they are of another class: at most one per entry."""
+def _leader_pairs(index: DataFrame, labels: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
+    """Candidates of every set with the two leaders of its lists, where they are of another class: at most two per entry.
+
+    One leader has the fewest rarer shingles before the list's, so of a family of copies it is one with few changes of its
+    own, which most of the others link to. The other is drawn anew in every turn.
+    """
     entries = index.join(labels, "id")
-    leader = entries.groupBy("token").agg(
-        F.min(F.struct("label", "id", "n", "at")).alias("lead"), F.max("label").alias("most")).filter("most <> lead.label")
+    leads = entries.groupBy("token").agg(
+        F.min(F.struct("at", "id", "n", "label")).alias("central"),
+        F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "at", "id", "n", "label")).alias("drawn"),
+        F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    drawn = F.struct("drawn.at", "drawn.id", "drawn.n", "drawn.label")
+    leader = leads.select("token", F.explode(F.array_distinct(F.array("central", drawn))).alias("lead"))
     met = entries.join(leader, "token").filter(
         (F.col("label") != F.col("lead.label")) & can_link(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at")))
     pairs = met.select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.label").alias("la"), F.col("label").alias("lb"),
@@ -283,15 +293,20 @@ def _cross_pairs(index: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFr
     return pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b"), F.col("label_1").alias("la"), F.col("label_2").alias("lb")).distinct()
 
 
-def linked_sets(sets: DataFrame) -> DataFrame:
-    """``id, label`` of the classes of linked sets, for ``sets`` (id, n, shingles) that are already written."""
-    index, bits = index_lists(sets), written(bitmaps(sets), "bitmaps")
+def led_labels(sets: DataFrame, index: DataFrame, bits: DataFrame) -> DataFrame:
+    """``id, label`` of the classes that links with leaders make."""
     labels = sets.select("id", F.col("id").alias("label"))
-    while True:
-        links = written(verified(_leader_pairs(index, labels, bits), sets), "links")
+    for turn in itertools.count():
+        links = written(verified(_leader_pairs(index, labels, bits, turn), sets), "links")
         if links.isEmpty():
-            break
+            return labels
         labels = merged_labels(labels, links)
+
+
+def linked_sets(sets: DataFrame) -> DataFrame:
+    """``id, label`` of the classes of linked sets, for ``sets`` (id, n, shingles) that are already written."""
+    index, bits = index_lists(sets), written(bitmaps(sets), "bitmaps")
+    labels = led_labels(sets, index, bits)
     return merged_labels(labels, verified(_cross_pairs(index, labels, bits), sets))
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from llm_helpers import clashing, rows
 
@@ -67,6 +68,21 @@ def test_equals_brute_force(spark, seed):
     assert rows(j.report(df)) == sorted(brute(docs), key=repr)
 
 
+def test_leaders_leave_few_pairs_of_a_large_family(spark):
+    # most near copies link to their base but not to each other's leader; the base doesn't have the least id
+    rnd, n = np.random.default_rng(6), 120
+    base = rnd.integers(0, 2**63, 150).astype("<u8")
+    sets = [base, *(np.concatenate([rnd.permutation(base)[:150 - k], rnd.integers(0, 2**63, k).astype("<u8")])
+                    for k in rnd.integers(8, 18, n - 1))]
+    table = [(int(i), 150, bytearray(np.sort(s).tobytes())) for i, s in zip(np.roll(np.arange(n), 60), sets)]
+    df = j.written(spark.createDataFrame(table, "id long, n long, shingles binary"), "family")
+    index, bits = j.index_lists(df), j.written(j.bitmaps(df), "bitmaps")
+    assert j._cross_pairs(index, df.selectExpr("id", "id as label"), bits).count() > 20 * n
+    labels = j.led_labels(df, index, bits)
+    assert j._cross_pairs(index, labels, bits).count() < n
+    assert j.linked_sets(df).select("label").distinct().count() == 1
+
+
 def test_odd_inputs(edge, edge_rows, empty):
     want = sorted(brute([r[:2] for r in edge_rows]), key=repr)
     assert rows(j.report(clashing(edge))) == want
