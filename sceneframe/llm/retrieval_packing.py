@@ -34,6 +34,7 @@ WINDOW = 4096
 SHARD_ROWS = 2000
 PIVOTS, NEAREST = 64, 3
 DRAW_BITS = 31
+COMMON = 50
 K1, B = 1.2, 0.75  # usual BM25 constants
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -51,34 +52,64 @@ def rest_of(ids: np.ndarray, window: int) -> np.ndarray:
     return ids[len(ids) // window * window:]
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and where each begins among the sorted ids; a stable sort of two-byte ids is a radix sort."""
+    ids = np.sort(ids, kind="stable")
+    new = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return ids[first], first
+
+
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms and how often each occurs."""
+    terms, first = terms_of(ids)
+    times = np.full(len(terms), len(ids))
+    times[:-1] = first[1:]
+    times -= first
+    return terms, times
+
+
 class Bm25:
-    """Inverted index over the distinct terms of some token arrays, weighted by ``corpus`` or else by these alone."""
+    """Index over the distinct terms of some token arrays, weighted by ``corpus`` or else by these alone.
+
+    Terms that more than a ``COMMON``-th of the texts hold are rows of weights of all texts, the others are lists.
+    """
 
     def __init__(self, texts: list[np.ndarray], corpus: Corpus | None = None):
-        sets = [np.unique(t, return_counts=True) for t in texts]
+        sets = [counted(t) for t in texts]
         sizes = np.array([len(s[0]) for s in sets], np.int64)
-        terms = np.concatenate([s[0] for s in sets]) if sets else np.zeros(0, np.uint32)
+        terms = np.concatenate([s[0] for s in sets]) if sets else np.zeros(0, np.int64)
         tf = np.concatenate([s[1] for s in sets]).astype(np.float32) if sets else np.zeros(0, np.float32)
         holder = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         length = np.array([len(t) for t in texts], np.float32)
-        self.terms, index, held = np.unique(terms, return_inverse=True, return_counts=True)
+        held = np.bincount(terms)
+        self.terms = np.flatnonzero(held)
+        index = (np.cumsum(held > 0) - 1)[terms]
+        held = held[self.terms]
         n, mean, df = (corpus.n, corpus.mean, corpus.df[self.terms]) if corpus else (len(sets), length.mean() if sets else 0, held)
         norm = K1 * (1 - B + B * length / max(mean, 1))
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         weight = idf[index] * tf * (K1 + 1) / (tf + norm[holder])
-        order = np.argsort(index, kind="stable")
+        common = held * COMMON > len(sets)
+        self.row = np.where(common, np.cumsum(common) - 1, -1)  # of each term, -1 if it has a list
+        in_row = common[index]
+        self.rows = np.zeros((int(common.sum()), len(sets)), np.float32)
+        self.rows[self.row[index[in_row]], holder[in_row]] = weight[in_row]
+        listed = np.flatnonzero(~in_row)
+        order = listed[np.argsort(index[listed], kind="stable")]
         self.holder, self.weight = holder[order], weight[order]
-        self.first = np.append(0, np.cumsum(held))
+        self.first = np.append(0, np.cumsum(np.where(common, 0, held)))
         self.queries = np.split(index, np.cumsum(sizes)[:-1]) if sets else []  # the query of each text: all its terms
         self.n = len(sets)
 
     def neighbours(self, seed: int, free: np.ndarray) -> np.ndarray:
         """Free texts that share a query term with ``seed``, best first."""
-        spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed]]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.holder[s] for s in spans]),
-                            np.concatenate([self.weight[s] for s in spans]), self.n)
+        row = self.row[self.queries[seed]]
+        score = self.rows[row[row >= 0]].sum(0, dtype=np.float32).astype(np.float64)
+        spans = [slice(self.first[t], self.first[t + 1]) for t in self.queries[seed][row < 0]]
+        if spans:
+            score += np.bincount(np.concatenate([self.holder[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         found = np.flatnonzero((score > 0) & free)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -176,7 +207,7 @@ def corpus_of(tokens: DataFrame, window: int, kind: str = "<u4") -> Corpus:
         for b in batches:
             for x in b.column("ids").to_pylist():
                 rest = rest_of(np.frombuffer(x, kind), window)
-                terms = np.unique(rest)
+                terms, _ = terms_of(rest)
                 if len(terms) and terms[-1] >= len(df):
                     df = np.append(df, np.zeros(terms[-1] + 1 - len(df), np.int64))
                 df[terms] += 1
@@ -206,7 +237,7 @@ class Cells:
         self.columns = np.ascontiguousarray(columns[:, np.argsort(direction, kind="stable")])
 
     def of(self, rest: np.ndarray) -> int:
-        terms = np.unique(rest)
+        terms, _ = terms_of(rest)
         near = np.argsort(-(self.idf[terms] @ self.columns[terms]), kind="stable")[:NEAREST]
         cell = 0
         for rank in near:

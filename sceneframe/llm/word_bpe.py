@@ -38,24 +38,32 @@ class WordBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.shown = byte_characters()
+        self.written = dict(enumerate(self.shown))
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.chunks = Recent(self._chunk, limit)
 
     def _chunk(self, chunk: bytes) -> bytes:
+        small = chunk.lower()
+        if small.isalpha():  # ASCII letters: one piece that is written as it is
+            if small != chunk:
+                return self.chunks[small]
+            return self._ids(small.decode())
+        if small[:-1].isalpha() and b"!" <= small[-1:] <= b"~":  # these and one mark or digit, a piece of its own
+            return self.chunks[small[:-1]] + self.chunks[small[-1:]]
         text = chunk.decode("utf-8")
-        lower = text.lower()
-        if lower.isascii() and lower.isalpha():  # most chunks: one piece that is written as it is
-            if lower != text:
-                return self.chunks[lower.encode()]
-            ids = [t.id for t in self.model.tokenize(lower)]
-        elif PLAIN.fullmatch(text) and "<|" not in text:
-            pieces = PIECES.findall(lower)
-            if len(pieces) > 1:  # each is a chunk as well, and most have been seen: words and marks
-                return b"".join([self.chunks[piece.encode()] for piece in pieces])
-            shown = lower if lower.isascii() else "".join(map(self.shown.__getitem__, lower.encode("utf-8")))
-            ids = [t.id for t in self.model.tokenize(shown)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            lower = text.lower()
+            if not lower.isalpha():
+                pieces = PIECES.findall(lower)
+                if len(pieces) > 1:  # each is a chunk as well, and most have been seen: words and marks
+                    return b"".join([self.chunks[piece.encode()] for piece in pieces])
+            return self._ids(lower if lower.isascii() else lower.encode("utf-8").decode("latin-1").translate(self.written))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, piece: str) -> bytes:
+        """Of one piece, as the vocabulary writes it."""
+        ids = [t.id for t in self.model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:

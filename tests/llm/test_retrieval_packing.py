@@ -115,6 +115,31 @@ def test_rarity_is_that_of_all_documents():
     assert r.Bm25(texts, r.Corpus(1000, 2.0, df)).neighbours(0, free)[0] == 2
 
 
+def test_rows_and_lists_give_the_same_scores(monkeypatch):
+    # terms of all rarities, so that some are rows and some are lists; equal texts tie in their order
+    rnd = np.random.default_rng(8)
+    texts = [np.minimum(rnd.geometric(0.01, 120), 900) for _ in range(150)]
+    texts += texts[:20]
+    free = np.arange(170) % 7 > 0
+    mixed = r.Bm25(texts)
+    assert 0 < len(mixed.rows) < len(mixed.terms) and len(mixed.holder) < sum(map(len, mixed.queries)) / 4
+    monkeypatch.setattr(r, "COMMON", 0)
+    lists = r.Bm25(texts)
+    assert len(lists.rows) == 0
+    for seed in range(170):
+        a, b = mixed.neighbours(seed, free), lists.neighbours(seed, free)
+        assert sorted(a) == sorted(b) and (a == b).mean() > 0.9
+        assert all(list(a).index(k) < list(a).index(k + 150) for k in range(20) if free[k] and free[k + 150] and k in a)
+
+
+def test_terms_are_the_distinct_ids():
+    for ids in ([], [3, 1, 3], [60_000, 5, 5], [2]):
+        for kind in ("<u2", "<u4"):
+            want = np.unique(np.array(ids, kind), return_counts=True)
+            got = r.counted(np.array(ids, kind))
+            assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
 def test_documents(edge, edge_rows, empty):
     from tokenizers import Tokenizer
 

@@ -28,3 +28,6 @@ def test_chunks_of_known_pieces_equal_the_library():
     asked.clear()
     encoder.encode(b"Unseenword unseenword, (unseenword) UNSEENWORD")
     assert asked.count("unseenword") == 1
+    for text in ("x\x00", "word\x7f", "word\x01", "q|", "word<", "Word7", "É,", "ªº", "µ", "A", ",", "Éé", "a\xad"):
+        ids = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text.encode()) == struct.pack(f"<{len(ids)}I", *ids), text
