@@ -20,8 +20,11 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.compute(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value

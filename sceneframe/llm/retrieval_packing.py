@@ -188,13 +188,13 @@ def id_type(tokenizer: str) -> str:
 
 def encoded(rows: DataFrame, tokenizer: str, end_id: int = END_ID, kind: str = "<u4") -> DataFrame:
     """``key, tie, ids`` of the rows ``key, tie, body``: the packed ids of each text and its end, as integers of a ``kind``."""
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
         encoder = word_bpe(tokenizer)
         for b in batches:
-            ids = [np.frombuffer(encoder.encode(body) + end, "<u4").astype(kind).tobytes() for body in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("tie"), pa.array(ids, pa.binary())], ["key", "tie", "ids"])
+            for ids in encoder.encode_all(b.column("body"), end_id, kind):
+                part, b = b.slice(0, len(ids)), b.slice(len(ids))
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("tie"), ids.cast(pa.binary())], ["key", "tie", "ids"])
 
     return rows.select("key", "tie", "body").mapInArrow(encode, "key long, tie long, ids binary")
 

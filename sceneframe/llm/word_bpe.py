@@ -2,7 +2,8 @@
 
 The file's splitting pattern never crosses white space, so the ids of a text are those of its white-space-separated chunks
 in order. Each task keeps the ids of recent chunks; a chunk it has not seen is put together from
-its pieces, and a piece it has not seen goes through the tokenizers library.
+its pieces, and a piece it has not seen goes through the tokenizers library. ``encode_all`` takes an Arrow array of texts:
+it looks up each distinct chunk of some megabytes of text once, and the words it has not seen go through the library together.
 """
 
 from __future__ import annotations
@@ -10,7 +11,11 @@ from __future__ import annotations
 import functools
 import os
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from sceneframe.llm.recent import Recent
@@ -19,6 +24,12 @@ from sceneframe.llm.recent import Recent
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # printable Latin-1 only: there lower-casing is one to one and normal form C changes nothing
 PLAIN = regex.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xFF]+")
+# for texts of Latin-1 without special tokens: there marks behind a letter are made a chunk of their own, since only a piece
+# like 's has both, and it begins with its mark
+OTHER = r"[^\x00-\x{FF}]|<\|"
+MARKED, PARTED = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)(\s|$)", r"\1 \2\3"
+WORD = r"^[a-zß-öø-ÿ]+$"
+SLICE = 4 << 20  # bytes of text that are looked up together
 
 
 def byte_characters() -> list[str]:
@@ -39,6 +50,7 @@ class WordBpe:
         self.model = self.tokenizer.model
         self.shown = byte_characters()
         self.written = dict(enumerate(self.shown))
+        self.written_apart = self.written | {ord(" "): " "}
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.chunks = Recent(self._chunk, limit)
 
@@ -69,6 +81,46 @@ class WordBpe:
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Ask the library for the unseen ones of some words of small Latin-1 letters, each one piece."""
+        chunks = self.chunks
+        new = [word for word in words if word not in chunks and word not in chunks.old]
+        for word, piece in zip(new, b" ".join(new).decode("latin-1").translate(self.written_apart).split(" ")):
+            chunks.keep(word, self._ids(piece))
+
+    def encode_all(self, texts: pa.Array, end_id: int, kind: str = "<u4") -> Iterator[pa.Array]:
+        """The packed ids of each text and its end as integers of a ``kind``, for one slice of the texts after the other."""
+        texts = texts.cast(pa.large_binary())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE)))
+            yield self._encode_slice(texts.slice(at, stop - at), end_id, kind)
+            at = stop
+
+    def _encode_slice(self, texts: pa.Array, end_id: int, kind: str) -> pa.Array:
+        texts = texts.cast(pa.large_string())
+        latin = pc.invert(pc.match_substring_regex(texts, OTHER))
+        texts = pc.if_else(latin, pc.utf8_lower(pc.replace_substring_regex(texts, MARKED, PARTED)), texts)
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        chunks = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+        self._learn(chunks[pc.match_substring_regex(found.dictionary, WORD).to_numpy(zero_copy_only=False)].tolist())
+        ids = [*map(self.chunks.__getitem__, chunks), struct.pack("<I", end_id)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        borders = np.asarray(split.offsets) - split.offsets[0].as_py()
+        each = np.insert(found.indices.to_numpy(), borders[1:], len(chunks))  # with the end behind each text
+        borders = borders + np.arange(len(borders))
+        n = size[each]
+        before = np.append(0, np.cumsum(n))
+        integer = np.int32 if max(before[-1], size.sum()) < 1 << 31 else np.int64
+        place = np.repeat((first[each] - before[:-1]).astype(integer), n)
+        place += np.arange(len(place), dtype=integer)
+        data = np.frombuffer(b"".join(ids), "<u4").astype(kind)[place]
+        offsets = before[borders] * data.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
 
 @functools.cache
 def word_bpe(path: str) -> WordBpe:
