@@ -33,6 +33,7 @@ END_ID = 2
 WINDOW = 4096
 SHARD_ROWS = 2000
 PIVOTS, NEAREST = 64, 3
+BLOCK = 64  # rests whose cells are found together
 DRAW_BITS = 31
 COMMON = 50
 K1, B = 1.2, 0.75  # usual BM25 constants
@@ -205,7 +206,7 @@ def corpus_of(tokens: DataFrame, window: int, kind: str = "<u4") -> Corpus:
     def count(batches):
         df, n, length = np.zeros(0, np.int64), 0, 0
         for b in batches:
-            for x in b.column("ids").to_pylist():
+            for x in b.column("ids").to_numpy(zero_copy_only=False):
                 rest = rest_of(np.frombuffer(x, kind), window)
                 terms, _ = terms_of(rest)
                 if len(terms) and terms[-1] >= len(df):
@@ -236,13 +237,26 @@ class Cells:
         direction = np.linalg.svd(likeness - likeness.mean(0))[0][:, 0]  # similar pivots get neighbouring ranks
         self.columns = np.ascontiguousarray(columns[:, np.argsort(direction, kind="stable")])
 
+        self.held = np.flatnonzero(self.columns.any(1))  # terms of pivots; the others weigh nothing
+        self.place = np.full(len(self.idf), len(self.held))
+        self.place[self.held] = np.arange(len(self.held))
+        self.weight = np.append(self.idf[self.held, None] * self.columns[self.held], np.zeros((1, self.columns.shape[1]), np.float32), axis=0)
+
     def of(self, rest: np.ndarray) -> int:
-        terms, _ = terms_of(rest)
-        near = np.argsort(-(self.idf[terms] @ self.columns[terms]), kind="stable")[:NEAREST]
-        cell = 0
-        for rank in near:
-            cell = cell * PIVOTS + int(rank)
-        return cell
+        return int(self.of_all([rest])[0])
+
+    def of_all(self, rests: list[np.ndarray]) -> np.ndarray:
+        """The cell of each rest; blocks of them become rows of zeros and ones that are multiplied with the pivots."""
+        cells = np.zeros(len(rests), np.int64)
+        rows = np.zeros((BLOCK, len(self.weight)), np.float32)
+        for at in range(0, len(rests), BLOCK):
+            block = rests[at:at + BLOCK]
+            rows[:] = 0
+            rows[np.repeat(np.arange(len(block)), [len(x) for x in block]), self.place[np.concatenate(block)]] = 1
+            near = np.argsort(-(rows[:len(block)] @ self.weight), axis=1, kind="stable")[:, :NEAREST]
+            for ranks in near.T:
+                cells[at:at + BLOCK] = cells[at:at + BLOCK] * PIVOTS + ranks
+        return cells
 
 
 def cells_of(tokens: DataFrame, window: int, kind: str, corpus: Corpus) -> Cells:
@@ -263,7 +277,7 @@ def dealt(tokens: DataFrame, window: int, kind: str, corpus: Corpus, shard_rows:
     cells = cells_of(tokens, window, kind, corpus)
 
     def number(ids: pa.Array) -> np.ndarray:
-        return np.array([cells.of(rest_of(np.frombuffer(x, kind), window)) for x in ids.to_pylist()], np.int64)
+        return cells.of_all([rest_of(np.frombuffer(x, kind), window) for x in ids.to_numpy(zero_copy_only=False)])
 
     def count(batches):
         for b in batches:

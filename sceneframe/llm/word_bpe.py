@@ -107,19 +107,13 @@ class WordBpe:
         chunks = found.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
         self._learn(chunks[pc.match_substring_regex(found.dictionary, WORD).to_numpy(zero_copy_only=False)].tolist())
         ids = [*map(self.chunks.__getitem__, chunks), struct.pack("<I", end_id)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(ids), "<u4").astype(kind)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4 * data.itemsize
+        table = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.append(0, np.cumsum(size))), pa.py_buffer(data)])
         borders = np.asarray(split.offsets) - split.offsets[0].as_py()
-        each = np.insert(found.indices.to_numpy(), borders[1:], len(chunks))  # with the end behind each text
-        borders = borders + np.arange(len(borders))
-        n = size[each]
-        before = np.append(0, np.cumsum(n))
-        integer = np.int32 if max(before[-1], size.sum()) < 1 << 31 else np.int64
-        place = np.repeat((first[each] - before[:-1]).astype(integer), n)
-        place += np.arange(len(place), dtype=integer)
-        data = np.frombuffer(b"".join(ids), "<u4").astype(kind)[place]
-        offsets = before[borders] * data.itemsize
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        taken = table.take(pa.array(np.insert(found.indices.to_numpy(), borders[1:], len(chunks))))  # with the end behind each text
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[borders + np.arange(len(borders))]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), taken.buffers()[2]])
 
 
 @functools.cache

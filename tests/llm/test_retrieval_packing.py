@@ -188,3 +188,18 @@ def test_a_cell_names_the_nearest_pivots():
     near = cells.of(np.array([4, 5, 5, 3, 1]))
     assert (near // r.PIVOTS ** 2, near // r.PIVOTS % r.PIVOTS) == (rank[1], rank[0])
     assert r.Cells([], r.Corpus(0, 0, np.zeros(0, np.int64))).of(np.zeros(0, np.int64)) == 0
+
+
+def test_cells_of_blocks_equal_brute_force():
+    rnd = np.random.default_rng(6)
+    rests = [np.minimum(rnd.geometric(0.02, rnd.integers(0, 90)), 400).astype("<u2") for _ in range(3 * r.BLOCK + 5)]
+    df = np.maximum(1, np.bincount(np.concatenate([np.unique(x) for x in rests]), minlength=401))
+    cells = r.Cells([x for x in rests if len(x) > 60][:9], r.Corpus(len(rests), 45.0, df))
+    got = cells.of_all(rests)
+    assert len(set(got.tolist())) > 20 and got.tolist() == [cells.of(x) for x in rests]
+    for rest, cell in zip(rests, got.tolist()):
+        terms = np.unique(rest)
+        score = (cells.idf[terms, None] * cells.columns[terms]).sum(0)
+        ranks = [cell // r.PIVOTS ** 2, cell // r.PIVOTS % r.PIVOTS, cell % r.PIVOTS]
+        assert len(set(ranks)) == 3 and np.allclose(score[ranks], -np.sort(-score)[:3], atol=1e-5)
+    assert cells.of_all([]).tolist() == []
