@@ -136,7 +136,6 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, text: str = "text",
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out = word_bpe(tokenizer), None
-        end = np.asarray([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         for batch in batches:
             if out is None:
@@ -145,8 +144,10 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, text: str = "text",
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
                 sink = fs.open_output_stream(f"{root}/{name}")
                 out = ShardWriter(sink, bits_for(encoder.vocabulary))
-            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out.add(doc_id, encoder.encode(body) + end)
+            keys = iter(batch.column(0).to_pylist())
+            for encoded in encoder.encode_all(batch.column(1), end_id):
+                for ids in encoded.to_numpy(zero_copy_only=False):
+                    out.add(next(keys), ids)
         if out is not None:
             out.close()
             sink.close()
